@@ -222,18 +222,17 @@ class Halo:
         return Halo(frame, axis, Window.partitionBy(*keys, "_block").orderBy(*axis.order))
 
     @staticmethod
-    def exact(df: DataFrame, axis: Axis = BARS, back: int = 0, block: int | None = None, rn: str | None = None) -> "Halo":
-        """Blocks of exactly ``block`` rows plus ``back`` copied rows; adds ``rn`` and ``_k``.
+    def exact(df: DataFrame, axis: Axis = BARS, back: int = 0, block: int | None = None) -> "Halo":
+        """Blocks of exactly ``block`` rows plus ``back`` copied rows; adds ``_rn`` and ``_k``.
 
         Costs a second shuffle for the numbering, but bounds the block length, which decayed sums need.
+        A table that already carries ``_rn`` and ``_rows`` from ``numbered`` is not numbered again.
         """
         size = max(block or axis.block, 1)
-        base = df if rn else numbered(df, axis, "rn", size="_rows")
-        place = F.col(rn or "rn") - 1
+        base = df if {"_rn", "_rows"} <= set(df.columns) else numbered(df, axis, "_rn", size="_rows")
+        place = F.col("_rn") - 1
         own = F.floor(place / size)
-        end = F.floor((place + back) / size)
-        if not rn:
-            end = F.least(end, F.floor((F.col("_rows") - 1) / size))
+        end = F.floor(F.least(place + back, F.col("_rows") - 1) / size)
         frame = base.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, end)))
         frame = frame.withColumns(
             {
@@ -257,5 +256,5 @@ class Halo:
 
     def settle(self, frame: DataFrame, *drop: str) -> DataFrame:
         """Keep each row once, in its own block, and drop the helper columns."""
-        helpers = ["_cell", "_start", "_own", "_block", "_core", "_k", "_rows", *drop]
+        helpers = ["_cell", "_start", "_own", "_block", "_core", "_k", "_rn", "_rows", *drop]
         return frame.filter("_core").drop(*helpers)
