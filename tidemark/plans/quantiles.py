@@ -106,20 +106,26 @@ def quantile_columns(
     return long.groupBy(*by).agg(*picks)
 
 
-def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with their count ``c``, rows below ``below`` and rows of the group ``n``.
+def sketch_parts(df: DataFrame, column: str, by: Sequence[str] = (), size: str | None = None) -> DataFrame:
+    """Append ``_part`` 0..63, growing with ``column``, cut at sketched quantiles of each group, so that the
+    order of one group is spread over tasks; ``size`` names a column for the group's rows."""
+    by = list(by)
+    cuts = F.percentile_approx(column, [i / 64 for i in range(1, 64)], 1000).alias("_cuts")
+    sketch = df.groupBy(*by).agg(cuts, *([F.count(F.lit(1)).alias(size)] if size else []))
+    # Without groups the sketch is a single row of 63 numbers.
+    joined = df.join(sketch, by) if by else df.crossJoin(F.broadcast(sketch))
+    return joined.withColumn("_part", F.size(F.filter("_cuts", lambda s: s <= F.col(column))).cast("bigint")).drop("_cuts")
 
-    The order is split at sketched quantiles, so the ranking of one group is spread over tasks.
-    """
+
+def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values with their count ``c``, the rows ``below`` and the rows ``n`` of the group."""
     by = list(by)
-    splits = [i / 64 for i in range(1, 64)]
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
-    sketch = df.groupBy(*by).agg(F.percentile_approx(column, splits, 1000).alias("_splits"), F.count(column).alias("n"))
-    # Each group has one sketch of 63 numbers; without groups it is a single row.
-    joined = counts.join(sketch, by) if by else counts.crossJoin(F.broadcast(sketch))
-    placed = joined.withColumn("_part", F.size(F.filter("_splits", lambda s: s <= F.col(column))).cast("bigint")).drop("_splits")
-    ranked = running(placed, Axis(keys=tuple(by), ts=column), cell=F.col("_part"), _upto=total("c"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
+    parts = sketch_parts(counts, column, by)
+    ranked = running(parts, Axis(keys=tuple(by), ts=column), cell=F.col("_part"), _upto=total("c"))
+    sizes = df.groupBy(*by).agg(F.count(column).alias("n"))
+    ranked = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
     return ranked.select(*by, column, "c", (F.col("_upto") - F.col("c")).alias("below"), "n")
 
 
-__all__ = ["exact_quantiles", "quantile_columns", "unpivot", "value_ranks"]
+__all__ = ["exact_quantiles", "quantile_columns", "sketch_parts", "unpivot", "value_ranks"]
