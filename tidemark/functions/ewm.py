@@ -56,6 +56,17 @@ def ewm_from(h: Halo, x: Column, alpha: float, start: Column) -> Column:
     return F.sum(x * weight * F.exp(F.lit(lam) * k)).over(h.so_far) * F.exp(F.lit(-lam) * k)
 
 
+def ewm_plain(h: Halo, x: Column, alpha: float) -> Column:
+    """The decayed sum alpha * (x + (1 - alpha) * x_before + ...) without a start value."""
+    lam, k = _lam(alpha), F.col("_k")
+    return F.sum(x * alpha * F.exp(F.lit(lam) * k)).over(h.so_far) * F.exp(F.lit(-lam) * k)
+
+
+def forget(alpha: float, rows: Column) -> Column:
+    """What is left of a value after ``rows`` rows."""
+    return F.exp(F.lit(-_lam(alpha)) * rows)
+
+
 def ema(df: DataFrame, column: str = "close", *, span: float | None = None, alpha: float | None = None, adjust: bool = False, name: str = "ema", axis: Axis = BARS) -> DataFrame:
     """Append the exponential mean of ``column``."""
     a = alpha if alpha is not None else span_alpha(span)

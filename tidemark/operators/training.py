@@ -145,9 +145,9 @@ def classifier(kind: str, label: str, weight: str, **params):
             featuresCol="_scaled", labelCol=label, weightCol=weight, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
             predictionCol="y_pred", probabilityCol="_probability", rawPredictionCol="_raw",
         )
-    trees = GBTClassifier(maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["step"], seed=SEED, rawPredictionCol="_raw")
+    trees = GBTClassifier(maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["step"], seed=SEED)
     return OneVsRest(
-        classifier=trees, featuresCol="_scaled", labelCol=label, weightCol=weight, predictionCol="y_pred", rawPredictionCol="_raw"
+        classifier=trees, featuresCol="_scaled", labelCol=label, weightCol=weight, predictionCol="y_pred"
     )
 
 
@@ -171,7 +171,7 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     if "_probability" in scored.columns:
         probs = vector_to_array("_probability")
     else:
-        odds = F.transform(vector_to_array("_raw"), lambda v: 1 / (1 + F.exp(-v)))
+        odds = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-v)))
         whole = F.aggregate(odds, F.lit(0.0), lambda a, v: a + v)
         probs = F.transform(odds, lambda v: v / whole)
     scored = scored.withColumns({"probs": probs, "y_pred": F.col("y_pred").cast("int")})
