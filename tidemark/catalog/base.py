@@ -35,7 +35,13 @@ def query(name: str, oracle: str | None = None, using: tuple[str, ...] = ()):
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    """Round for comparison. A nudge far above rounding noise and far below the last digit settles values that
+    lie exactly between two results, as amounts of money often do."""
+    return df.withColumns({c: F.round(F.col(c) + nudge(digits), digits) for c in cols})
+
+
+def nudge(digits: int) -> float:
+    return 10.0 ** -(digits + 3)
 
 
 def sql(text: str, using: tuple[str, ...] = ()) -> str:
@@ -78,9 +84,9 @@ def expand_rounding(text: str) -> str:
             depth += {"(": 1, ")": -1}.get(text[j], 0)
             j += 1
         digits = int(m.group(1) or 6)
-        inner = expand_rounding(text[m.end() : j - 1])
+        inner = f"(({expand_rounding(text[m.end() : j - 1])})::DOUBLE + {nudge(digits):.12f}::DOUBLE)"
         half = f"{0.5 * 10 ** -digits:.12f}".rstrip("0")
-        out.append(f"(CASE WHEN abs({inner}) < {half} THEN 0.0::DOUBLE ELSE round(({inner})::DOUBLE, {digits}) END)")
+        out.append(f"(CASE WHEN abs({inner}) < {half} THEN 0.0::DOUBLE ELSE round({inner}, {digits}) END)")
         i = j
 
 

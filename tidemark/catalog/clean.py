@@ -271,7 +271,7 @@ def _(spark, sf):
        SELECT symbol, ts,
               R(CASE WHEN symbol IN ('click', 'view') THEN CASE WHEN count(ret) OVER v >= 20 THEN stddev_samp(ret) OVER v END
                    WHEN symbol = 'error' THEN coalesce(stddev_samp(ret) OVER v, 0) ELSE 1.5 END) AS volatility,
-              R(CASE WHEN symbol IN ('error', 'signup') THEN coalesce(ret, 0) ELSE 0.25 END) AS returns_1
+              R8(CASE WHEN symbol IN ('error', 'signup') THEN coalesce(ret, 0) ELSE 0.25 END) AS returns_1
        FROM r WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     ("bars30",),
 )
@@ -284,7 +284,8 @@ def _(spark, sf):
         F.when(symbol.isin("click", "view"), 0.0).when((symbol == "error") & half, None).otherwise(1.5).alias("volatility"),
         F.when(symbol.isin("error", "signup") & half, None).otherwise(0.25).alias("returns_1"),
     )
-    return rounded(C.recompute_dead_features(stage(df, "bars")).drop("close"), "volatility", "returns_1")
+    fixed = C.recompute_dead_features(stage(df, "bars")).drop("close")
+    return rounded(rounded(fixed, "volatility"), "returns_1", digits=8)
 
 
 def cleaning_sql(mode: str) -> str:

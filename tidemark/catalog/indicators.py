@@ -210,7 +210,7 @@ _CHANGES = {
     "price_change_10": ("close", 10),
     "volume_change_5": ("volume", 5),
 }
-register("returns", [pct(*v) for v in _CHANGES.values()], lambda df: X.relative_changes(df, _CHANGES), columns=list(_CHANGES))
+register("returns", [pct(*v) for v in _CHANGES.values()], lambda df: X.relative_changes(df, _CHANGES), columns=list(_CHANGES), digits=8)
 
 
 def vol(n: int, least: int) -> str:

@@ -192,14 +192,18 @@ def match_sql(per: str) -> str:
        R((epoch_us(exit_ts) - epoch_us(entry_ts)) / 3.6e9) AS holding_hours FROM pr"""
 
 
+def money(pairs):
+    return rounded(pairs, "profit", "holding_hours")
+
+
 @query("match_fifo", match_sql("lot"), ("ledger",))
 def _(spark, sf):
-    return rounded(L.match_fifo(ledger(spark, sf)), "profit", "holding_hours")
+    return money(L.match_fifo(ledger(spark, sf)))
 
 
 @query("match_fifo_compat", match_sql("remaining"), ("ledger",))
 def _(spark, sf):
-    return rounded(L.match_fifo(ledger(spark, sf), compat=True), "profit", "holding_hours")
+    return money(L.match_fifo(ledger(spark, sf), compat=True))
 
 
 LAST = "last_p AS (SELECT symbol, max(ts) AS last_ts, last(close ORDER BY ts) AS last_price FROM bars_user GROUP BY 1)"
@@ -216,12 +220,12 @@ def _open_sql(commission: str) -> str:
 
 @query("mark_open", _open_sql("greatest(price * shares * 0.0005, 1) * open_shares / shares"), ("ledger", "bars_user"))
 def _(spark, sf):
-    return rounded(L.mark_open(ledger(spark, sf), last_prices(spark, sf)), "profit", "holding_hours")
+    return money(L.mark_open(ledger(spark, sf), last_prices(spark, sf)))
 
 
 @query("mark_open_compat", _open_sql("greatest(price * shares * 0.0005, 1)"), ("ledger", "bars_user"))
 def _(spark, sf):
-    return rounded(L.mark_open(ledger(spark, sf), last_prices(spark, sf), compat=True), "profit", "holding_hours")
+    return money(L.mark_open(ledger(spark, sf), last_prices(spark, sf), compat=True))
 
 
 PAIRS = f"""{LOTS}, pairs AS (SELECT symbol, entry_ts, exit_ts, {profit('lot')} AS profit FROM pr)"""
@@ -374,7 +378,7 @@ _SUMS = ("total_return", "monthly_win_rate", "total_commission", "total_slippage
     "performance_report",
     f"""WITH {STATS}, {FLAT}, {CURVE}, {PERFORMANCE.format(source='curve')}, {MONTHS.format(source='curve')},
         ct AS (SELECT symbol, sum(greatest(v * 0.0005, 1)) AS total_commission, sum(v * rate) AS total_slippage FROM costs GROUP BY 1)
-        SELECT symbol, total_days, {', '.join(f'R4(coalesce({c}, 0)) AS {c}' for c in ('annual_return', 'max_drawdown', 'win_rate', 'sharpe_ratio'))},
+        SELECT symbol, total_days, {', '.join(f'round(coalesce({c}, 0)::DOUBLE, 4) AS {c}' for c in ('annual_return', 'max_drawdown', 'win_rate', 'sharpe_ratio'))},
           {', '.join(f'R(coalesce({c}, 0)) AS {c}' for c in _SUMS)},
           {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('total_trades', 'winning_trades', 'winning_months', 'total_months'))}
         FROM perf LEFT JOIN stats USING (symbol) LEFT JOIN win USING (symbol) LEFT JOIN ct USING (symbol)""",

@@ -23,7 +23,7 @@ def preds(spark, sf):
     h = Halo.spread(states, BARS, ahead=1)
     rows = h.settle(h.frame.withColumn("y_true", F.lead("y_pred").over(h.w))).filter("y_true is not null")
     share, half = F.col("close") / (F.col("open") + F.col("close")), F.col("open") / (F.col("open") + F.col("close")) / 2
-    return rows.select("symbol", "ts", "y_true", "y_pred", F.round(half, 2).alias("p0"), F.round(half, 2).alias("p1"), F.round(share, 2).alias("p2"))
+    return rounded(rows.select("symbol", "ts", "y_true", "y_pred", half.alias("p0"), half.alias("p1"), share.alias("p2")), "p0", "p1", "p2", digits=2)
 
 
 @query(

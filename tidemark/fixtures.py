@@ -9,8 +9,8 @@ from tidemark.functions.time import day
 from tidemark.operators.keys import ticks_to_bars
 from tidemark.plans.series import BARS, Axis, numbered, running, total
 
-TICKS = Axis(ts="ts", ties=("event_id",))
-FILLS = Axis(ts="ts", ties=("event_id",))
+TICKS = Axis(ts="ts", ties=("event_id",), cell=None)
+FILLS = TICKS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

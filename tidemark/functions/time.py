@@ -1,4 +1,5 @@
-"""Time expressions that read the wall clock of the column and never the session time zone."""
+"""Time expressions on wall-clock stamps (NTZ). The session time zone must be UTC, which ``prepare`` sets and
+``Axis`` checks: then a stamp and its instant have the same number of microseconds."""
 
 from __future__ import annotations
 
@@ -6,16 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970-01-01 of the wall clock in ``ts`` (NTZ, or a timestamp in UTC)."""
-    days = F.unix_date(F.to_date(ts)).cast("bigint")
-    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def epoch_micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
 
 
-def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of the wall clock in ``ts``."""
-    fraction = F.date_part(F.lit("SECOND"), ts) - F.second(ts)
-    return epoch_seconds(ts) * 1_000_000 + (fraction * 1_000_000).cast("bigint")
+def epoch_seconds(ts: Column) -> Column:
+    return F.unix_seconds(ts.cast("timestamp"))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -25,12 +22,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def bucket(ts: Column, seconds: int) -> Column:
     """Start of the epoch-aligned bucket of ``seconds`` that holds ``ts``."""
-    return from_seconds(F.floor(epoch_seconds(ts) / seconds) * seconds)
-
-
-def from_seconds(seconds: Column) -> Column:
-    """Wall-clock timestamp (NTZ) of whole epoch seconds."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    whole = epoch_seconds(ts)
+    return F.timestamp_seconds(whole - F.pmod(whole, F.lit(seconds))).cast("timestamp_ntz")
 
 
 def month(ts: Column) -> Column:

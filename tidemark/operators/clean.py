@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import OHLCV, PRICES, fill_time_gaps, resample_ohlcv
+from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import quantile_columns
 from tidemark.plans.series import BARS, Axis, Halo, latest, numbered, running, upcoming
 from tidemark.session import stage
@@ -64,23 +65,22 @@ def ffill_bfill(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFr
     return filled.withColumns({c: F.coalesce(f"_prev_{c}", f"_next_{c}") for c in cols}).select(*df.columns)
 
 
-def _per_key(df: DataFrame, stats: DataFrame, axis: Axis) -> DataFrame:
-    """Bring one row of statistics per series to its rows; the join strategy follows the measured size."""
-    return df.join(stats, list(axis.keys), "left")
+def with_stats(df: DataFrame, stats: DataFrame, axis: Axis) -> DataFrame:
+    return join_stats(df, stats, axis.keys, [axis.ts])
 
 
 def median_fill(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) -> DataFrame:
     """Nulls take the median of their column and series."""
     medians = quantile_columns(df, {f"_median_{c}": (c, 0.5) for c in cols}, axis.keys)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in cols}
-    return _per_key(df, medians, axis).withColumns(filled).select(*df.columns)
+    return with_stats(df, medians, axis).withColumns(filled).select(*df.columns)
 
 
 def mean_fill(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) -> DataFrame:
     """Nulls take the mean of their column and series."""
     means = df.groupBy(*axis.keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols])
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_mean_{c}")) for c in cols}
-    return _per_key(df, means, axis).withColumns(filled).select(*df.columns)
+    return with_stats(df, means, axis).withColumns(filled).select(*df.columns)
 
 
 def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median", axis: Axis = BARS) -> DataFrame:
@@ -112,13 +112,13 @@ def fix_outliers_iqr(df: DataFrame, cols: Sequence[str] = OHLCV, how: str = "med
     cols = list(cols)
     if how == "drop":
         for i, c in enumerate(cols):
-            kept = _per_key(df, iqr_bounds(df, [c], axis), axis)
+            kept = with_stats(df, iqr_bounds(df, [c], axis), axis)
             outside = (F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))
             df = kept.filter(~F.coalesce(outside, F.lit(False))).select(*df.columns)
             if i < len(cols) - 1:
                 df = stage(df, "outliers")
         return df
-    fenced = _per_key(df, iqr_bounds(df, cols, axis), axis)
+    fenced = with_stats(df, iqr_bounds(df, cols, axis), axis)
     fixed = {}
     for c in cols:
         outside = (F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))
@@ -158,7 +158,7 @@ def winsorize(df: DataFrame, cols: Sequence[str] = PRICES, axis: Axis = BARS) ->
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         reach = 3 * (hi - lo)
         clipped[c] = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), lo - reach), hi + reach))
-    return _per_key(df, q, axis).withColumns(clipped).select(*df.columns)
+    return with_stats(df, q, axis).withColumns(clipped).select(*df.columns)
 
 
 def nonfinite_to_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -181,7 +181,7 @@ def adaptive_null_fix(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) ->
     shares = df.groupBy(*axis.keys).agg(*[(F.count(c) / F.count(F.lit(1))).alias(f"_known_{c}") for c in cols])
     medians = quantile_columns(df, {f"_median_{c}": (c, 0.5) for c in cols}, axis.keys)
     around = {f"_prev_{c}": latest(c) for c in cols} | {f"_next_{c}": upcoming(c) for c in cols}
-    filled = _per_key(_per_key(running(df, axis, **around), shares, axis), medians, axis)
+    filled = with_stats(with_stats(running(df, axis, **around), shares, axis), medians, axis)
     fixed = {}
     for c in cols:
         by_median = F.coalesce(F.col(c), F.col(f"_median_{c}"))
@@ -227,7 +227,7 @@ def recompute_dead_features(df: DataFrame, axis: Axis = BARS, volatility: str =
     over = halo.last(20)
     spread = F.stddev_samp("_ret").over(over)
     frame = frame.withColumns({"_strict": F.when(F.count("_ret").over(over) >= 20, spread), "_loose": F.coalesce(spread, F.lit(0.0))})
-    rows = _per_key(halo.settle(frame), flags, axis)
+    rows = with_stats(halo.settle(frame), flags, axis)
     fixed = {
         volatility: F.when(F.col("_dead"), F.col("_strict")).when(F.col("_sparse_v"), F.col("_loose")).otherwise(F.col(volatility)),
         returns: F.when(F.col("_sparse_r"), F.coalesce(F.col("_ret"), F.lit(0.0))).otherwise(F.col(returns)),

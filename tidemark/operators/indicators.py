@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import decayed_halo, ewm_from, ewm_mean, reach, span_alpha
+from tidemark.plans.parts import join_stats
 from tidemark.plans.series import BARS, Axis, Halo, row_count, running, total
 
 TINY = 1e-10
@@ -137,7 +138,7 @@ def macd_dynamic(
     if level == "asof":
         leveled = volatility_level_asof(df, axis).drop("volatility")
     else:
-        leveled = df.join(volatility_level(df, axis).drop("volatility"), list(axis.keys), "left")
+        leveled = join_stats(df, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
     h = _macd_halo(leveled, list(params.values()), axis)
     frame = h.frame
     for key, spans in params.items():
@@ -296,7 +297,7 @@ def market_state(df: DataFrame, name: str = "market_state", axis: Axis = BARS) -
 
     All inputs are shifted back, so a row's label uses earlier rows only (but for the series' level).
     """
-    leveled = df.join(volatility_level(df, axis).drop("volatility"), list(axis.keys), "left")
+    leveled = join_stats(df, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
     alphas = _state_alphas()
     h = decayed_halo(leveled, alphas, max(map(reach, alphas)) + 40, axis)
     return h.settle(_market_state(h, h.frame, name), "level")
@@ -332,7 +333,7 @@ def rolling_volatility(df: DataFrame, n: int, min_rows: int, whole: int = 0, nam
     out = h.settle(frame.withColumn(name, spread), *([] if whole else ["_ret"]))
     if whole:
         counts = out.groupBy(*axis.keys).agg(F.count("_ret").alias("_n"))
-        out = out.join(counts, list(axis.keys)).withColumn(name, F.when(F.col("_n") >= whole, F.col(name))).drop("_ret", "_n")
+        out = join_stats(out, counts, axis.keys, [axis.ts]).withColumn(name, F.when(F.col("_n") >= whole, F.col(name))).drop("_ret", "_n")
     return out
 
 
@@ -395,7 +396,7 @@ def base_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     """
     prefixes = {"_rn": row_count(), "_pv": total(F.col("close") * F.col("volume")), "_v": total("volume")}
     rows = running(df, axis, size="_rows", **prefixes)
-    rows = rows.join(volatility_level(df, axis).drop("volatility"), list(axis.keys), "left")
+    rows = join_stats(rows, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
     spans = [span_alpha(s) for p in MACD_PARAMS.values() for s in p] + [span_alpha(10), 1 / 14, *_state_alphas()]
     back = max(
         max(reach(span_alpha(max(p[:2]))) + reach(span_alpha(p[2])) for p in MACD_PARAMS.values()),
@@ -446,7 +447,8 @@ def realtime_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     bars = F.sort_array(F.collect_list(F.struct(*axis.order, *rows)))
     series = tail.groupBy(*axis.keys).agg(bars.alias("_bars"), F.first("_n").alias("_n"))
     series = series.withColumn("_bars", F.slice("_bars", -F.least(realtime_window(F.col("_n")), F.size("_bars")).cast("int"), F.lit(80)))
-    return series.select(*axis.keys, F.col("_bars")[F.size("_bars") - 1][axis.ts].alias(axis.ts), *realtime_columns(F.col("_bars")))
+    series = series.withColumn(axis.ts, F.col("_bars")[F.size("_bars") - 1][axis.ts])
+    return with_realtime(series, "_bars").select(*axis.keys, axis.ts, *REALTIME)
 
 
 def _fold(values: Column, zero: Column, merge) -> Column:
@@ -470,31 +472,44 @@ def _ewm_last(values: Column, span: float) -> Column:
     return F.aggregate(values, zero, merge, lambda a: a["s"] / a["w"])
 
 
-def realtime_columns(bars: Column) -> list[Column]:
-    """Short-window features of the last of an ordered array of bars; shared by batch and streams."""
-    close = F.transform(bars, lambda b: b["close"].cast("double"))
-    n = F.size(bars)
-    previous = F.transform(bars, lambda b, i: F.when(i > 0, F.get(bars, i - 1)["close"].cast("double")))
-    delta = F.transform(close, lambda c, i: c - F.get(previous, i))
-    gain = _mean(_tail(F.transform(delta, gains), 7))
-    loss = _mean(_tail(F.transform(delta, losses), 7))
-    ranges = F.transform(
-        bars,
-        lambda b, i: F.greatest(
-            b["high"] - b["low"], F.abs(b["high"] - F.get(previous, i)), F.abs(b["low"] - F.get(previous, i))
-        ),
+def with_realtime(df: DataFrame, bars: str) -> DataFrame:
+    """Append the short-window features of the last of an ordered array of bars; shared by batch and streams.
+
+    The arrays are columns of their own, so each is made once per row.
+    """
+    df = df.withColumns(
+        {
+            "_close": F.transform(bars, lambda b: b["close"].cast("double")),
+            "_recent": _tail(F.col(bars), 7),
+            "_volumes": F.transform(_tail(F.col(bars), 5), lambda b: b["volume"].cast("double")),
+        }
+    )
+    # The closes before the recent bars; null before the first bar of all.
+    before = F.slice(F.concat(F.array(F.lit(None).cast("double")), F.col("_close")), -F.size("_recent") - 1, F.size("_recent"))
+    df = df.withColumn("_before", before)
+    df = df.withColumns(
+        {
+            "_delta": F.zip_with("_recent", "_before", lambda b, p: b["close"].cast("double") - p),
+            "_ranges": F.zip_with("_recent", "_before", lambda b, p: F.greatest(b["high"] - b["low"], F.abs(b["high"] - p), F.abs(b["low"] - p))),
+        }
+    )
+    df = df.withColumns(
+        {"_gain": _mean(F.transform("_delta", gains)), "_loss": _mean(F.transform("_delta", losses)), "_mean_volume": _mean(F.col("_volumes"))}
+    )
+    close, zero = F.col("_close"), F.lit(0.0)
+    last_close = F.element_at(close, -1)
+    change = last_close / F.nullif(F.element_at("_before", -1), zero) - 1
+    out = df.withColumns(
+        {
+            "rsi": F.coalesce(100 - 100 / (1 + F.col("_gain") / _or_tiny(F.col("_loss"))), F.lit(50.0)),
+            "macd_hist": F.coalesce(_ewm_last(close, 8) - _ewm_last(close, 17), zero),
+            "atr": F.coalesce(_mean(F.col("_ranges")), zero),
+            "ema_short": F.coalesce(_ewm_last(close, 5), zero),
+            "volume_ma_ratio": F.coalesce(F.element_at("_volumes", -1) / F.nullif(F.col("_mean_volume"), zero), zero),
+            "price_change": F.coalesce(change, zero),
+            "_short": _mean(_tail(close, 5)),
+            "_long": _mean(_tail(close, 20)),
+        }
     )
-    volume = F.transform(bars, lambda b: b["volume"].cast("double"))
-    last_close = F.get(close, n - 1)
-    mean_volume = _mean(_tail(volume, 5))
-    change = last_close / F.nullif(F.get(close, n - 2), F.lit(0.0)) - 1
-    zero = F.lit(0.0)
-    return [
-        F.coalesce(100 - 100 / (1 + gain / _or_tiny(loss)), F.lit(50.0)).alias("rsi"),
-        F.coalesce(_ewm_last(close, 8) - _ewm_last(close, 17), zero).alias("macd_hist"),
-        F.coalesce(_mean(_tail(ranges, 7)), zero).alias("atr"),
-        F.coalesce(_ewm_last(close, 5), zero).alias("ema_short"),
-        F.coalesce(F.get(volume, n - 1) / F.nullif(mean_volume, zero), zero).alias("volume_ma_ratio"),
-        F.coalesce(F.when(n > 1, change), zero).alias("price_change"),
-        simple_state(_mean(_tail(close, 5)), _mean(_tail(close, 20))).alias("market_state"),
-    ]
+    out = out.withColumn("market_state", simple_state(F.col("_short"), F.col("_long")))
+    return out.drop("_close", "_recent", "_volumes", "_before", "_delta", "_ranges", "_gain", "_loss", "_mean_volume", "_short", "_long")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import bucket, epoch_seconds, from_seconds, seconds_between
+from tidemark.functions.time import bucket, epoch_seconds, seconds_between
 from tidemark.plans.series import BARS, Axis, Halo, latest, numbered, running
 
 PRICES = ("open", "high", "low", "close")
@@ -91,7 +91,7 @@ def resample_ohlcv(df: DataFrame, seconds: int, axis: Axis = BARS) -> DataFrame:
         return pick(F.col(column), F.when(F.col(column).isNotNull(), order)).alias(column)
 
     bars = (
-        df.withColumn("_bucket", bucket(F.col(axis.ts), seconds))
+        df.withColumn("_bucket", F.window(axis.ts, f"{seconds} seconds")["start"])
         .groupBy(*axis.keys, "_bucket")
         .agg(
             edge(F.min_by, "open"),

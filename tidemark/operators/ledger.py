@@ -10,7 +10,7 @@ from tidemark.operators.signals import flat_commission
 from tidemark.plans.series import Axis, Halo, highest, running, total, upcoming
 from tidemark.session import stage
 
-FILLS = Axis(ts="ts", ties=("event_id",))
+FILLS = Axis(ts="ts", ties=("event_id",), cell=None)
 
 
 def sided(fills: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def lot_segments(fills: DataFrame, axis: Axis = FILLS, cell: float = 65536) -> D
     zero = F.lit(0).cast("bigint")
     matched = F.col("_closed") - F.greatest(F.col("_lost"), zero)
     matched_before = F.col("_closed") - shares - F.greatest(F.col("_lost_before"), zero)
-    fill = F.struct(*axis.order, "price", shares.alias("shares"))
+    fill = F.struct(*axis.order, "price", shares.alias("shares"), F.col("_opened").alias("end"))
     ends = lost.filter(opens | (matched > matched_before)).select(
         *keys,
         "side",
@@ -62,7 +62,6 @@ def lot_segments(fills: DataFrame, axis: Axis = FILLS, cell: float = 65536) -> D
     h = Halo.spread(pieces, along, back=1, block=4096)
     start = F.coalesce(F.lag("_end").over(h.w), zero)
     cut = h.settle(h.frame.withColumn("_from", start)).filter("_open is not null")
-    # The lot of a piece ends at the opening fill's end, which is the next end of that kind.
     return cut.select(
         *keys, "side", F.col("_open").alias("opened"), F.col("_close").alias("closed"), F.col("_from"), (F.col("_end") - F.col("_from")).alias("shares")
     )
@@ -72,26 +71,20 @@ def _direction() -> Column:
     return F.when(F.col("side") == "LONG", 1).otherwise(-1)
 
 
-def _open_commission(segments: DataFrame, axis: Axis, compat: bool) -> DataFrame:
+def _open_commission(segments: DataFrame, compat: bool) -> DataFrame:
     """Append the part of the opening commission a piece bears: by its share of the lot, or (``compat``) of
     what was left of the lot before it."""
     whole = flat_commission(F.col("opened.price") * F.col("opened.shares"))
     if not compat:
         return segments.withColumn("_commission", whole * F.col("shares") / F.col("opened.shares"))
-    lot = [*axis.keys, "side", "opened"]
-    # Pieces of one lot: the first starts at the lot's start.
-    starts = segments.groupBy(*lot).agg(F.min("_from").alias("_lot_from"))
-    joined = segments.join(starts, lot)
-    left = F.col("opened.shares") - (F.col("_from") - F.col("_lot_from"))
-    return joined.withColumn("_commission", whole * F.col("shares") / left).drop("_lot_from")
+    left = F.col("opened.end") - F.col("_from")
+    return segments.withColumn("_commission", whole * F.col("shares") / left)
 
 
 def match_fifo(fills: DataFrame, axis: Axis = FILLS, compat: bool = False, segments: DataFrame | None = None) -> DataFrame:
     """Closed pairs: entry, exit, shares, profit net of both commissions, holding hours."""
     pieces = segments if segments is not None else lot_segments(fills, axis)
-    if compat:
-        pieces = stage(pieces, "pieces")
-    pairs = _open_commission(pieces, axis, compat).filter("closed is not null")
+    pairs = _open_commission(pieces, compat).filter("closed is not null")
     move = (F.col("closed.price") - F.col("opened.price")) * F.col("shares") * _direction()
     close_commission = flat_commission(F.col("closed.price") * F.col("shares"))
     return pairs.select(

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import sample_kurtosis, sample_skewness
-from tidemark.operators.clean import ffill, high_ok, interpolate_linear, iqr_bounds, low_ok
+from tidemark.operators.clean import ffill, high_ok, interpolate_linear, iqr_bounds, low_ok, with_stats
 from tidemark.operators.keys import OHLCV, PRICES, dedupe_ts, missing_grid_points, steps
+from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import exact_quantiles
 from tidemark.plans.series import BARS, Axis, Halo
 from tidemark.session import stage
@@ -73,7 +74,7 @@ def repair_missing(df: DataFrame, cols: Sequence[str] = OHLCV, threshold: float
     shares = df.groupBy(*axis.keys).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(f"_null_{c}") for c in cols])
     copies = df.withColumns({f"_line_{c}": F.col(c) for c in cols if c != "volume"} | {f"_carry_of_{c}": F.col(c) for c in cols if c in PRICES})
     filled = interpolate_linear(copies, [f"_line_{c}" for c in cols if c != "volume"], axis)
-    filled = ffill(filled, [f"_carry_of_{c}" for c in cols if c in PRICES], axis).join(shares, list(axis.keys), "left")
+    filled = with_stats(ffill(filled, [f"_carry_of_{c}" for c in cols if c in PRICES], axis), shares, axis)
     fixed = {}
     for c in cols:
         few = F.col(f"_null_{c}") <= threshold
@@ -98,7 +99,7 @@ def outlier_stats(df: DataFrame, cols: Sequence[str] = OHLCV, z: float = 3.0, ax
         *[F.avg(c).alias(f"avg_{c}") for c in cols], *[F.stddev_samp(c).alias(f"std_{c}") for c in cols]
     )
     limits = iqr_bounds(df, cols, axis).join(moments, keys)
-    rows = df.join(limits, keys, "left")
+    rows = with_stats(df, limits, axis)
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(is_outlier(c, z)).alias(f"n_{c}") for c in cols],
@@ -147,7 +148,7 @@ def repair_outliers(df: DataFrame, z: float = 3.0, axis: Axis = BARS) -> DataFra
     moments = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"avg_{c}") for c in cols], *[F.stddev_samp(c).alias(f"std_{c}") for c in cols]
     )
-    rows = df.join(iqr_bounds(df, cols, axis).join(moments, keys), keys, "left")
+    rows = with_stats(df, iqr_bounds(df, cols, axis).join(moments, keys), axis)
     fixed = {c: F.when(is_outlier(c, z), F.col(f"median_{c}")).otherwise(F.col(c)) for c in cols}
     fixed["volume"] = F.when(F.col("volume") < 0, F.lit(0)).otherwise(F.col("volume")).cast(df.schema["volume"].dataType)
     return rows.withColumns(fixed).select(*df.columns)
@@ -158,7 +159,7 @@ def step_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     lengths = steps(df.select(*axis.id), axis).filter("step is not null")
     counts = lengths.groupBy(*axis.keys, "step").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*axis.keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "step"))["step"].alias("modal_step"))
-    joined = counts.join(best, list(axis.keys))
+    joined = join_stats(counts, best, axis.keys, ["step"])
     return joined.groupBy(*axis.keys).agg(
         F.sum("n").alias("n_steps"),
         F.max("modal_step").alias("modal_step"),
@@ -325,7 +326,7 @@ def legacy_health(df: DataFrame, cols: Sequence[str] = OHLCV, axis: Axis = BARS)
     )
     n = F.count(F.lit(1))
     far = [F.count_if(F.abs(F.col(c) - F.col(f"avg_{c}")) > 5 * F.col(f"std_{c}")) / n for c in cols]
-    stats = rows.join(moments, keys).groupBy(*keys).agg(
+    stats = with_stats(rows, moments, axis).groupBy(*keys).agg(
         F.greatest(*[F.count_if(F.col(c).isNull()) / n for c in cols]).alias("missing_ratio"),
         F.greatest(*[F.count_if(F.col(c) == 0) / n for c in cols]).alias("zero_ratio"),
         F.greatest(*far).alias("outlier_ratio"),
@@ -346,7 +347,7 @@ def quality_profile(df: DataFrame, seconds: int, cols: Sequence[str] = OHLCV, ax
     n = F.count(F.lit(1))
     nulls = sum((F.count_if(F.col(c).isNull()) for c in cols[1:]), F.count_if(F.col(cols[0]).isNull()))
     outside = (F.col("close") < F.col("lo_close")) | (F.col("close") > F.col("hi_close"))
-    profile = df.join(limits, keys, "left").groupBy(*keys).agg(
+    profile = with_stats(df, limits, axis).groupBy(*keys).agg(
         n.alias("total_records"),
         nulls.alias("missing_count"),
         (nulls / (n * len(cols)) * 100).alias("missing_pct"),
@@ -398,7 +399,7 @@ def gate_status(report: DataFrame, threshold: str = "warning") -> DataFrame:
 def quality_gate(df: DataFrame, report: DataFrame, threshold: str = "warning", axis: Axis = BARS) -> DataFrame:
     """Rows of the series that pass."""
     passing = gate_status(report, threshold).filter("passed").select(*axis.keys)
-    return df.join(passing, list(axis.keys), "left_semi")
+    return join_stats(df, passing, axis.keys, [axis.ts], "left_semi")
 
 
 def flow_report(raw: DataFrame, cleaned: DataFrame, axis: Axis = BARS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import normal_quantile
 from tidemark.plans.neighbours import nearest
+from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import quantile_columns, value_ranks
 from tidemark.plans.series import BARS, Axis, Halo, numbered
 from tidemark.session import stage
@@ -213,7 +214,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(name)), [label])
+    # A class may hold most rows; its one weight goes to many tasks.
+    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
+    return join_stats(df, weights, [label], [c for c in df.columns if c != label][:2], "inner")
 
 
 def imbalance_profile(df: DataFrame, label: str = "label", limit: float = 0.3) -> DataFrame:
@@ -249,7 +252,7 @@ def smote(df: DataFrame, cols: Sequence[str], id: str, label: str = "label", k:
     counts = class_counts(rows, label)
     largest = counts.agg(F.max("n").alias("_largest"))
     lacking = counts.crossJoin(F.broadcast(largest)).filter(F.col("n") < F.col("_largest")).select(label, "n", (F.col("_largest") - F.col("n")).alias("_lack"))
-    minority = rows.join(lacking, [label])
+    minority = join_stats(rows, lacking, [label], [id], "inner")
     ranked = numbered(minority, Axis(keys=(label,), ts=id, cell=cell), "_nth")
     extra = (F.col("_nth") <= F.col("_lack") % F.col("n")).cast("bigint")
     copies = F.floor(F.col("_lack") / F.col("n")) + extra

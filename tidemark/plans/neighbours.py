@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.quantiles import sketch_parts
+from tidemark.plans.parts import join_stats
 from tidemark.plans.series import Axis, running, total
 from tidemark.session import stage
 
@@ -21,9 +21,7 @@ _BLOCK = 256
 
 def _ranked(rows: DataFrame, by: list[str], id: str) -> DataFrame:
     """Append the number of base rows (``_base`` = 1) up to each row in the order of ``_pivot``."""
-    parts = sketch_parts(rows, "_pivot", by)
-    axis = Axis(keys=tuple(by), ts="_pivot", ties=("_order", id))
-    return running(parts, axis, cell=F.col("_part"), _rank=total("_base")).drop("_part")
+    return running(rows, Axis(keys=tuple(by), ts="_pivot", ties=("_order", id), cell=None), _rank=total("_base"))
 
 
 def _distance(cols: Sequence[str]) -> Column:
@@ -41,23 +39,25 @@ def nearest(queries: DataFrame, base: DataFrame, cols: Sequence[str], k: int, by
     by, cols = list(by), list(cols)
     base = base.select(*by, id, *[F.col(c).cast("double") for c in cols]).na.drop(subset=cols)
     queries = queries.select(*by, id, *[F.col(c).cast("double") for c in cols])
-    found = None
-    for i, pivot in enumerate(cols):
-        first = F.col(pivot).isNotNull()
-        for earlier in cols[:i]:
-            first = first & F.col(earlier).isNull()
-        part = _nearest_by(queries.filter(first), base, pivot, cols, k, by, id)
-        found = part if found is None else found.unionByName(part)
-    return found
+    # The pivot of a query is the first coordinate it has; base rows stand once per pivot in use.
+    pivot = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(cols)])
+    value = F.get(F.array(*cols), F.col("_p"))
+    queries = queries.withColumn("_p", pivot).filter("_p is not null")
+    used = queries.select(*by, "_p").distinct()
+    base = base.withColumn("_p", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+    group = [*by, "_p"]
+    base = join_stats(base, used, group, [id], "left_semi").withColumn("_x", value)
+    queries = queries.withColumn("_x", value)
+    return _nearest(queries, base, cols, k, group, id).drop("_p")
 
 
-def _nearest_by(queries: DataFrame, base: DataFrame, pivot: str, cols: list[str], k: int, by: list[str], id: str) -> DataFrame:
-    q = queries.select(*by, F.col(id).alias(f"q_{id}"), *[F.col(c).alias(f"q_{c}") for c in cols])
+def _nearest(queries: DataFrame, base: DataFrame, cols: list[str], k: int, by: list[str], id: str) -> DataFrame:
+    q = queries.select(*by, F.col(id).alias(f"q_{id}"), F.col("_x").alias("_qx"), *[F.col(c).alias(f"q_{c}") for c in cols])
 
     def marked(rows: DataFrame, value: Column, order: int, is_base: int) -> DataFrame:
         return rows.select(*by, F.col(id), value.alias("_pivot"), F.lit(order).alias("_order"), F.lit(is_base).cast("bigint").alias("_base"))
 
-    both = marked(base, F.col(pivot), 0, 1).unionByName(marked(queries, F.col(pivot), 1, 0))
+    both = marked(base, F.col("_x"), 0, 1).unionByName(marked(queries, F.col("_x"), 1, 0))
     ranks = stage(_ranked(both, by, id), "ranks")
     base_rank = ranks.filter("_base = 1").select(*by, F.col(id), "_rank")
     ranked_base = stage(
@@ -77,12 +77,12 @@ def _nearest_by(queries: DataFrame, base: DataFrame, pivot: str, cols: list[str]
     bounded = stage(q.join(bounds, [*by, f"q_{id}"]).withColumn("_radius", radius), "bounds")
 
     def probe(sign: int, order: int) -> DataFrame:
-        value = F.col(f"q_{pivot}") + sign * F.col("_radius")
+        value = F.col("_qx") + sign * F.col("_radius")
         return bounded.select(
             *by, F.col(f"q_{id}").alias(id), value.alias("_pivot"), F.lit(order).alias("_order"), F.lit(0).cast("bigint").alias("_base")
         )
 
-    probes = marked(base, F.col(pivot), 0, 1).unionByName(probe(-1, -1)).unionByName(probe(1, 1))
+    probes = marked(base, F.col("_x"), 0, 1).unionByName(probe(-1, -1)).unionByName(probe(1, 1))
     limits = _ranked(probes, by, id).filter("_base = 0").groupBy(*by, F.col(id).alias(f"q_{id}")).agg(
         (F.min("_rank") + 1).alias("_from"), F.max("_rank").alias("_to")
     )

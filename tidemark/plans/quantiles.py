@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.parts import join_stats
 from tidemark.plans.series import Axis, running, total
 
 _INF = float("inf")
@@ -61,7 +62,7 @@ def exact_quantiles(
         width = hi - lo
         slot = slot + F.when((width > 0) & (width < F.lit(_INF)), F.least(F.greatest((x - lo) / width, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     # Rows outside all brackets collapse to one row per gap; rows inside to one per distinct value.
-    placed = long.join(brackets, group).select(
+    placed = join_stats(long, brackets, group, ["x"]).select(
         *group,
         "n",
         F.when(inside, x).alias("_value"),
@@ -106,26 +107,14 @@ def quantile_columns(
     return long.groupBy(*by).agg(*picks)
 
 
-def sketch_parts(df: DataFrame, column: str, by: Sequence[str] = (), size: str | None = None) -> DataFrame:
-    """Append ``_part`` 0..63, growing with ``column``, cut at sketched quantiles of each group, so that the
-    order of one group is spread over tasks; ``size`` names a column for the group's rows."""
-    by = list(by)
-    cuts = F.percentile_approx(column, [i / 64 for i in range(1, 64)], 1000).alias("_cuts")
-    sketch = df.groupBy(*by).agg(cuts, *([F.count(F.lit(1)).alias(size)] if size else []))
-    # Without groups the sketch is a single row of 63 numbers.
-    joined = df.join(sketch, by) if by else df.crossJoin(F.broadcast(sketch))
-    return joined.withColumn("_part", F.size(F.filter("_cuts", lambda s: s <= F.col(column))).cast("bigint")).drop("_cuts")
-
-
 def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their count ``c``, the rows ``below`` and the rows ``n`` of the group."""
     by = list(by)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
-    parts = sketch_parts(counts, column, by)
-    ranked = running(parts, Axis(keys=tuple(by), ts=column), cell=F.col("_part"), _upto=total("c"))
+    ranked = running(counts, Axis(keys=tuple(by), ts=column, cell=None), _upto=total("c"))
     sizes = df.groupBy(*by).agg(F.count(column).alias("n"))
-    ranked = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    ranked = join_stats(ranked, sizes, by, [column])
     return ranked.select(*by, column, "c", (F.col("_upto") - F.col("c")).alias("below"), "n")
 
 
-__all__ = ["exact_quantiles", "quantile_columns", "sketch_parts", "unpivot", "value_ranks"]
+__all__ = ["exact_quantiles", "quantile_columns", "unpivot", "value_ranks"]

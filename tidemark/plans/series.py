@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.time import epoch_seconds
+from tidemark.functions.time import epoch_micros, epoch_seconds
+from tidemark.plans.parts import sketch_parts
 
 _UNBOUNDED_BEFORE = Window.unboundedPreceding
 _UNBOUNDED_AFTER = Window.unboundedFollowing
@@ -34,13 +35,16 @@ class Axis:
 
     ``keys`` name a series, ``ts`` orders it, ``ties`` order rows of equal ``ts``. ``cell`` is the width of
     a cell in the units of ``ts`` (seconds for timestamps) and ``block`` the number of rows per block.
-    Choose ``cell`` so that a series has at most some 1e6 cells and a cell at most some 1e6 rows.
+
+    A fixed width suits bars, of which a day holds a known number. For ticks and fills, whose density is not
+    known, ``cell=None`` cuts each series into parts of equal row counts by a sketch, at the price of one
+    more pass over the order column.
     """
 
     keys: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
     ties: tuple[str, ...] = ()
-    cell: float = 86400
+    cell: float | None = 86400
     block: int = 2048
 
     def with_(self, **changes) -> "Axis":
@@ -54,11 +58,20 @@ class Axis:
     def id(self) -> list[str]:
         return [*self.keys, self.ts, *self.ties]
 
-    def cell_of(self, df: DataFrame) -> Column:
+    def placed(self, df: DataFrame, cell: Column | None = None) -> DataFrame:
+        """Append ``_cell``, a bigint that grows with the order; rows without a stamp go."""
         value = F.col(self.ts)
-        if isinstance(df.schema[self.ts].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            value = epoch_seconds(value)
-        return F.floor(value / F.lit(self.cell)).cast("bigint")
+        timed = isinstance(df.schema[self.ts].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        if timed and zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+            raise ValueError(f"the session time zone must be UTC, not {zone}")
+        known = df.filter(value.isNotNull())
+        if cell is None and self.cell is None:
+            return sketch_parts(known, epoch_micros(value) if timed else value, self.keys, self.id, "_cell")
+        if cell is None:
+            cell = F.floor((epoch_seconds(value) if timed else value) / F.lit(self.cell)).cast("bigint")
+        # The same test stands on both sides of the join with the cells, so a shuffle below can be shared.
+        return known.withColumn("_cell", cell).filter("_cell is not null")
 
     def order_key(self) -> Column:
         return F.struct(*self.order) if self.ties else F.col(self.ts)
@@ -151,9 +164,7 @@ def running(df: DataFrame, axis: Axis, cell: Column | None = None, size: str | N
     keys = list(axis.keys) or ["_all"]
     base = df if axis.keys else df.withColumn("_all", F.lit(0))
     sources = {name: f"_in_{name}" for name in prefixes}
-    base = base.withColumns(
-        {"_cell": cell if cell is not None else axis.cell_of(df), **{sources[n]: p.value for n, p in prefixes.items()}}
-    )
+    base = axis.placed(base, cell).withColumns({sources[n]: p.value for n, p in prefixes.items()})
     aggregates = [_cell_aggregate(axis, p, sources[n]).alias(f"_cell_{n}") for n, p in prefixes.items()]
     if size:
         aggregates.append(F.count(F.lit(1)).alias("_cell_rows"))
@@ -195,7 +206,7 @@ class Halo:
         """One shuffle of the rows; blocks are whole cells, so their length is only about ``block``."""
         size = max(block or axis.block, back, ahead, 1)
         keys = list(axis.keys)
-        base = df.withColumn("_cell", axis.cell_of(df))
+        base = axis.placed(df)
         over = Window.partitionBy(*keys).orderBy("_cell")
         whole = Window.partitionBy(*keys)
         cells = base.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))

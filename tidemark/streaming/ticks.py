@@ -7,7 +7,6 @@ stopped. State is bounded: by the watermark, or by a fixed number of rows per sy
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.indicators import realtime_columns, realtime_features, realtime_window
+from tidemark.operators.indicators import REALTIME, realtime_features, realtime_window, with_realtime
 from tidemark.session import new_path
 
 EVENT = "event string, symbol string, price string, size string, event_id bigint, timestamp string"
@@ -29,7 +28,7 @@ def run(df: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
     return query
 
 
-def collect_stream(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
+def collect_stream(df: DataFrame, name: str) -> DataFrame:
     """Run an append stream into files and return them as a table."""
     path = new_path(df.sparkSession, name)
     run(df, path)
@@ -117,43 +116,50 @@ def stream_dedupe(ticks: DataFrame, delay: str = "1 hour", keys: tuple[str, ...]
 
 
 BUFFER = 80
-_BAR = "ts timestamp, high double, low double, close double, volume bigint"
-_FIELDS = ["ts", "high", "low", "close", "volume"]
-_ARRAYS = ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in _BAR.split(", ")))
+CHUNK = 4096
+_FIELDS = {"ts": "timestamp", "high": "double", "low": "double", "close": "double", "volume": "bigint"}
+_ARRAYS = ", ".join(f"{n} array<{t}>" for n, t in _FIELDS.items())
 
 
 def _buffer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last bars of a symbol and emit, for every arriving bar, the bars up to it."""
-    if state.exists:
-        seen, *columns = state.get
-        columns = [list(c) for c in columns]
-    else:
-        seen, columns = 0, [[] for _ in _FIELDS]
+    """Keep the last 79 bars of a symbol; emit them with the arriving bars, one row per 4096 of these."""
+    seen, *tail = state.get if state.exists else (0, *([] for _ in _FIELDS))
+    tail = [list(c) for c in tail]
     arrived = pd.concat(list(frames)).sort_values("ts")
-    out: list[tuple[Any, ...]] = []
-    for bar in arrived[_FIELDS].itertuples(index=False, name=None):
-        seen += 1
-        columns = [(c + [v])[-BUFFER:] for c, v in zip(columns, bar)]
-        out.append((key[0], seen, *columns))
-    state.update((seen, *columns))
-    yield pd.DataFrame(out, columns=["symbol", "seen", *_FIELDS])
+    out = []
+    for start in range(0, len(arrived), CHUNK):
+        chunk = arrived.iloc[start : start + CHUNK]
+        known = len(tail[0])
+        columns = [old + chunk[name].tolist() for old, name in zip(tail, _FIELDS)]
+        out.append((key[0], seen, known, *columns))
+        seen += len(chunk)
+        tail = [c[-(BUFFER - 1) :] for c in columns]
+    state.update((seen, *tail))
+    yield pd.DataFrame(out, columns=["symbol", "seen", "known", *_FIELDS])
 
 
 def stream_features(bars: DataFrame) -> DataFrame:
-    """Realtime features for every arriving bar from at most 80 bars of state per symbol.
+    """Realtime features for every arriving bar from at most 79 bars of state per symbol.
 
-    Only the buffering is Python, on Arrow batches of bars (ticks are reduced to bars before); the features
-    are the same expressions as in batch. Bars must arrive in order per symbol.
+    Python only keeps the buffer and hands it over once per batch and symbol (ticks are reduced to bars
+    before); the features are the same expressions as in batch. Bars must arrive in order per symbol.
     """
-    rows = bars.select("symbol", "ts", F.col("high").cast("double"), F.col("low").cast("double"), F.col("close").cast("double"), F.col("volume").cast("bigint"))
+    rows = bars.select("symbol", *[F.col(n).cast(t) for n, t in _FIELDS.items()])
     buffered = rows.groupBy("symbol").applyInPandasWithState(
-        _buffer, f"symbol string, seen bigint, {_ARRAYS}", f"seen bigint, {_ARRAYS}", "append", GroupStateTimeout.NoTimeout
+        _buffer, f"symbol string, seen bigint, known int, {_ARRAYS}", f"seen bigint, {_ARRAYS}", "append", GroupStateTimeout.NoTimeout
     )
-    whole = F.arrays_zip(*_FIELDS)
-    size = F.least(realtime_window(F.col("seen")), F.size("ts").cast("bigint")).cast("int")
-    tail = buffered.withColumn("_bars", F.slice(whole, -size, F.lit(BUFFER)))
-    newest = F.col("_bars")[F.size("_bars") - 1]["ts"]
-    return tail.select("symbol", "seen", newest.alias("ts"), *realtime_columns(F.col("_bars")))
+    whole = buffered.select("symbol", "seen", "known", F.arrays_zip(*_FIELDS).alias("_whole"))
+
+    def up_to(i: Column) -> Column:
+        """The bars a feature row may use: those before and with bar ``i`` that the window rule allows."""
+        nth = F.col("seen") + i - F.col("known")
+        n = F.least(realtime_window(nth), i.cast("bigint")).cast("int")
+        return F.struct(nth.alias("nth"), F.slice("_whole", i - n + 1, n).alias("bars"))
+
+    places = F.sequence(F.col("known") + 1, F.size("_whole"))
+    each = whole.select("symbol", F.explode(F.transform(places, up_to)).alias("_e"))
+    each = each.select("symbol", F.col("_e.nth").alias("seen"), F.col("_e.bars").alias("_bars"))
+    return with_realtime(each, "_bars").select("symbol", "seen", F.element_at("_bars", -1)["ts"].alias("ts"), *REALTIME)
 
 
 def append_and_refresh(bars: DataFrame, history: str, features: str) -> None:
