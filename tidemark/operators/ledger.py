@@ -33,16 +33,19 @@ def lot_segments(fills: DataFrame, axis: Axis = FILLS, cell: float = 65536) -> D
     keys = list(axis.keys)
     by_side = axis.with_(keys=(*keys, "side"))
     opens, shares = F.col("opens"), F.col("shares").cast("bigint")
+    # The cells are found once and kept for the second pass.
+    placed = by_side.placed(sided(fills)).withColumnRenamed("_cell", "_at")
     sums = running(
-        sided(fills),
+        placed,
         by_side,
+        cell=F.col("_at"),
         _opened=total(F.when(opens, shares).otherwise(0)),
         _closed=total(F.when(opens, 0).otherwise(shares)),
     )
     sums = stage(sums, "fills")
     ahead = F.col("_closed") - F.col("_opened")
     ahead_before = ahead + F.when(opens, shares).otherwise(-shares)
-    lost = running(sums, by_side, _lost=highest(ahead), _lost_before=highest(ahead_before))
+    lost = running(sums, by_side, cell=F.col("_at"), _lost=highest(ahead), _lost_before=highest(ahead_before))
     zero = F.lit(0).cast("bigint")
     matched = F.col("_closed") - F.greatest(F.col("_lost"), zero)
     matched_before = F.col("_closed") - shares - F.greatest(F.col("_lost_before"), zero)

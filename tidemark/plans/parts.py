@@ -21,8 +21,8 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: S
     """
     keys = list(keys)
     if not keys:
-        # Without keys the statistics are a single row.
-        return rows.crossJoin(F.broadcast(stats))
+        # Without keys the statistics are one row at most.
+        return rows.join(F.broadcast(stats), F.lit(True), how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
@@ -37,18 +37,17 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], spread: Sequen
     by = list(by)
     n = FAN * FAN
     valued = df.withColumn("_v", value)
+    keyed = valued.select(*by, "_v")
+    large = keyed.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > WHOLE).drop("_n")
     # One constant instead of thousands of literals keeps planning short.
     shares = ",".join(str(i / n) for i in range(1, n))
     cuts = F.expr(f"percentile_approx(_v, cast(split('{shares}', ',') as array<double>), {4 * n})")
-    sketch = valued.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_all"))
-    fine = F.when(F.col("_n") > WHOLE, F.col("_all"))
-    coarse = F.transform(F.sequence(F.lit(0), F.lit(FAN - 2)), lambda i: F.get(fine, (i + 1) * FAN - 1))
-    sketch = sketch.select(*by, fine.alias("_cuts"), F.when(F.col("_n") > WHOLE, coarse).alias("_coarse"))
+    wanted = join_stats(keyed, large, by, ["_v"], "left_semi") if by else keyed
+    sketch = wanted.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_cuts")).filter(F.col("_n") > WHOLE).drop("_n")
+    coarse = F.expr(f"transform(sequence(1, {FAN - 1}), i -> _cuts[i * {FAN} - 1])")
+    sketch = sketch.withColumn("_coarse", coarse)
     joined = join_stats(valued, sketch, by, spread)
-    v = F.col("_v")
-    first = F.size(F.filter("_coarse", lambda c: c <= v))
-    joined = joined.withColumn("_first", first)
-    within = F.slice("_cuts", F.col("_first") * FAN + 1, F.lit(FAN - 1))
-    part = F.col("_first") * FAN + F.size(F.filter(within, lambda c: c <= v))
-    placed = F.when(F.col("_cuts").isNull(), 0).otherwise(part).cast("bigint")
+    joined = joined.withColumn("_first", F.expr("size(filter(_coarse, c -> c <= _v))"))
+    within = f"size(filter(slice(_cuts, _first * {FAN} + 1, {FAN - 1}), c -> c <= _v))"
+    placed = F.expr(f"if(_cuts is null, 0L, cast(_first * {FAN} + {within} as bigint))")
     return joined.withColumn(name, placed).drop("_v", "_cuts", "_coarse", "_first")

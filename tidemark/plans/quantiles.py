@@ -9,19 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.parts import join_stats
 from tidemark.plans.series import Axis, running, total
 
-_INF = float("inf")
-
 
 def unpivot(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Long form (by..., column, x) with nulls, NaN and infinities left out."""
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "x")
-    return long.filter(F.abs("x") < F.lit(_INF))
+    return long.filter(F.abs("x") < F.lit(float("inf")))
 
 
 def exact_quantiles(
@@ -35,60 +33,50 @@ def exact_quantiles(
     by = list(by)
     group = [*by, "column"]
     long = unpivot(df, by, cols)
-    reach = 3.0 / accuracy
+    reach, m = 3.0 / accuracy, len(probs)
     low = [max(0.0, p - reach) for p in probs]
     high = [min(1.0, p + reach) for p in probs]
-    sketch = F.percentile_approx("x", [*low, *high], accuracy)
-    n, m = F.col("n"), len(probs)
     # A sketch error is at most n / accuracy ranks. Up to `accuracy` values the whole group is the bracket.
-    def edge(i: int, p: float, open_end: float) -> Column:
-        return F.when((n <= accuracy) | F.lit(p in (0.0, 1.0)), F.lit(open_end)).otherwise(F.col("_sketch")[i])
+    sketch = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", [*low, *high], accuracy).alias("_s"))
+
+    def edge(i: int, p: float, sign: str, name: str) -> str:
+        open_end = f"double('{sign}Infinity')"
+        return f"{open_end} AS {name}" if p in (0.0, 1.0) else f"if(n <= {accuracy}, {open_end}, _s[{i}]) AS {name}"
 
-    brackets = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_sketch"))
-    brackets = brackets.select(
+    brackets = sketch.selectExpr(
         *group,
         "n",
-        *[edge(i, low[i], -_INF).alias(f"_lo{i}") for i in range(m)],
-        *[edge(m + i, high[i], _INF).alias(f"_hi{i}") for i in range(m)],
+        *[edge(i, low[i], "-", f"_lo{i}") for i in range(m)],
+        *[edge(m + i, high[i], "", f"_hi{i}") for i in range(m)],
     )
-    x = F.col("x")
-    inside = F.lit(False)
-    passed = F.lit(0)
-    slot = F.lit(0.0)
-    for i in range(m):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        inside = inside | x.between(lo, hi)
-        passed = passed + (x > hi).cast("int") + (x >= lo).cast("int")
-        width = hi - lo
-        slot = slot + F.when((width > 0) & (width < F.lit(_INF)), F.least(F.greatest((x - lo) / width, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    inside = " OR ".join(f"x BETWEEN _lo{i} AND _hi{i}" for i in range(m))
+    passed = " + ".join(f"int(x > _hi{i}) + int(x >= _lo{i})" for i in range(m))
+    finite = "_hi{0} > _lo{0} AND _hi{0} - _lo{0} < double('Infinity')"
+    share = "least(greatest((x - _lo{0}) / (_hi{0} - _lo{0}), 0D), 1D)"
+    slot = " + ".join(f"CASE WHEN {finite.format(i)} THEN {share.format(i)} ELSE 0D END" for i in range(m))
     # Rows outside all brackets collapse to one row per gap; rows inside to one per distinct value.
-    placed = join_stats(long, brackets, group, ["x"]).select(
+    placed = join_stats(long, brackets, group, ["x"]).selectExpr(
         *group,
         "n",
-        F.when(inside, x).alias("_value"),
-        passed.alias("_passed"),
-        F.floor((passed + slot / (2 * m)) * 512).cast("bigint").alias("_slot"),
+        f"CASE WHEN {inside} THEN x END AS _value",
+        f"{passed} AS _passed",
+        f"bigint(floor(({passed} + ({slot}) / {2 * m}D) * 512)) AS _slot",
     )
     counted = placed.groupBy(*group, "n", "_passed", "_value").agg(F.count(F.lit(1)).alias("c"), F.min("_slot").alias("_slot"))
-    ranked = running(
-        counted,
-        Axis(keys=(*group,), ts="_slot", ties=("_passed", "_value")),
-        cell=F.col("_slot"),
-        _upto=total("c"),
-    )
+    axis = Axis(keys=(*group,), ts="_slot", ties=("_passed", "_value"))
+    ranked = running(counted, axis, cell=F.col("_slot"), _upto=total("c"))
+    # The values at the ranks around each probability, ranks counted from 0.
     picks = []
     for i, p in enumerate(probs):
-        rank = (n - 1) * F.lit(float(p))
-        for name, r in ((f"_a{i}", F.floor(rank)), (f"_b{i}", F.ceil(rank))):
-            hit = (F.col("_upto") > r) & (F.col("_upto") - F.col("c") <= r)
-            picks.append(F.max(F.when(hit, F.col("_value"))).alias(name))
+        for name, whole in ((f"_a{i}", "floor"), (f"_b{i}", "ceil")):
+            rank = f"{whole}((n - 1) * {float(p)!r}D)"
+            picks.append(F.expr(f"max(CASE WHEN _upto > {rank} AND _upto - c <= {rank} THEN _value END)").alias(name))
     values = ranked.groupBy(*group, "n").agg(*picks)
-    q = []
+    parts = []
     for i, p in enumerate(probs):
-        rank = (n - 1) * F.lit(float(p))
-        share = rank - F.floor(rank)
-        q.append(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * share)
-    return values.select(*group, "n", F.array(*q).alias("q"))
+        rank = f"(n - 1) * {float(p)!r}D"
+        parts.append(f"_a{i} + (_b{i} - _a{i}) * ({rank} - floor({rank}))")
+    return values.selectExpr(*group, "n", f"array({', '.join(parts)}) AS q")
 
 
 def quantile_columns(
@@ -101,9 +89,7 @@ def quantile_columns(
     cols = list(dict.fromkeys(c for c, _ in names.values()))
     probs = sorted({p for _, p in names.values()})
     long = exact_quantiles(df, cols, probs, by, accuracy)
-    picks = [
-        F.max(F.when(F.col("column") == c, F.col("q")[probs.index(p)])).alias(name) for name, (c, p) in names.items()
-    ]
+    picks = [F.expr(f"max(CASE WHEN column = '{c}' THEN q[{probs.index(p)}] END)").alias(name) for name, (c, p) in names.items()]
     return long.groupBy(*by).agg(*picks)
 
 
