@@ -221,7 +221,7 @@ def _(spark, sf):
         m AS (SELECT *, median(sparse) OVER (PARTITION BY symbol) AS ms FROM f)
         SELECT symbol, ts, R(coalesce(high, {FILL.format(c='high')}, {BACK.format(c='high')}, 0)) AS high,
                R(coalesce(sparse, ms, 0)) AS sparse,
-               R(coalesce(gone, {FILL.format(c='gone')}, {BACK.format(c='gone')}, 0)) AS gone, 0.0 AS absent
+               R(coalesce(gone, {FILL.format(c='gone')}, {BACK.format(c='gone')}, 0)) AS gone, 0::DOUBLE AS absent
         FROM m {AROUND}""",
     ("dirty",),
 )
@@ -256,7 +256,7 @@ def _(spark, sf):
 
 @query(
     "rebuild_protected",
-    """SELECT symbol, ts, price, price AS close, price AS high, price AS low, 0 AS volume, 1 AS market_state,
+    """SELECT symbol, ts, price, price AS close, price AS high, price AS low, 0::BIGINT AS volume, 1 AS market_state,
               lag(price) OVER (PARTITION BY symbol ORDER BY ts) AS open
        FROM (SELECT symbol, ts, close AS price FROM bars30)""",
     ("bars30",),

@@ -154,7 +154,7 @@ for _method in _FITS:
         flat AS (SELECT w.symbol, w.ts, b.rn - (w.rn - least(w.size, w.rn - 1)) AS step, b.close, b.volume::DOUBLE AS volume
                  FROM sized w JOIN b ON b.symbol = w.symbol AND b.rn BETWEEN w.rn - w.size AND w.rn - 1),
         fit AS (SELECT avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv FROM flat)
-        SELECT symbol, ts, step, R((close - mc) / sc) AS close, R((volume - mv) / sv) AS volume FROM flat, fit""",
+        SELECT symbol, ts, step::INT AS step, R((close - mc) / sc) AS close, R((volume - mv) / sv) AS volume FROM flat, fit""",
     ("bars30",),
 )
 def _(spark, sf):
@@ -279,7 +279,7 @@ def _(spark, sf):
 @query(
     "walk_forward_folds",
     """WITH r AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars_user)
-       SELECT symbol, ts, CASE WHEN i < n - 3 * (n // 4) THEN 0 ELSE (i - (n - 3 * (n // 4))) // (n // 4) + 1 END AS fold FROM r""",
+       SELECT symbol, ts, CASE WHEN i < n - 3 * (n // 4) THEN 0 ELSE (i - (n - 3 * (n // 4))) // (n // 4) + 1 END::INT AS fold FROM r""",
     ("bars_user",),
 )
 def _(spark, sf):

@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the cluster names none (tests)."""
     folder = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(_CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
