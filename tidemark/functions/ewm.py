@@ -28,6 +28,11 @@ def _lam(alpha: float) -> float:
     return -math.log1p(-alpha)
 
 
+def _lam_column(alpha: float | Column) -> Column:
+    """``alpha`` may be a column that is constant along a series."""
+    return -F.log1p(-alpha) if isinstance(alpha, Column) else F.lit(_lam(alpha))
+
+
 def reach(alpha: float) -> int:
     """Rows after which the past weighs nothing."""
     return math.ceil(_FORGOTTEN / _lam(alpha))
@@ -39,21 +44,21 @@ def decayed_halo(df: DataFrame, alphas: Iterable[float], back: int, axis: Axis =
     return Halo.exact(df, axis, back, block=max(1, min(8192, longest - back)))
 
 
-def ewm_mean(h: Halo, x: Column, alpha: float, adjust: bool = True) -> Column:
+def ewm_mean(h: Halo, x: Column, alpha: float | Column, adjust: bool = True) -> Column:
     """``adjust``: weights normalised over the known rows. Otherwise y = alpha * x + (1 - alpha) * y_before
     from the first row, for which ``x`` must not be null."""
     if not adjust:
         return ewm_from(h, x, alpha, F.col("_k") == 1)
-    grow = F.exp(F.lit(_lam(alpha)) * F.col("_k"))
+    grow = F.exp(_lam_column(alpha) * F.col("_k"))
     return F.sum(x * grow).over(h.so_far) / F.sum(F.when(x.isNotNull(), grow)).over(h.so_far)
 
 
-def ewm_from(h: Halo, x: Column, alpha: float, start: Column) -> Column:
+def ewm_from(h: Halo, x: Column, alpha: float | Column, start: Column) -> Column:
     """y = alpha * x + (1 - alpha) * y_before, and y = x on the row where ``start`` holds; rows before it
     must have x = 0."""
-    lam, k = _lam(alpha), F.col("_k")
+    lam, k = _lam_column(alpha), F.col("_k")
     weight = F.when(start, 1.0).otherwise(alpha)
-    return F.sum(x * weight * F.exp(F.lit(lam) * k)).over(h.so_far) * F.exp(F.lit(-lam) * k)
+    return F.sum(x * weight * F.exp(lam * k)).over(h.so_far) * F.exp(-lam * k)
 
 
 def ewm_plain(h: Halo, x: Column, alpha: float) -> Column:

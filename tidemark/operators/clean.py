@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.keys import OHLCV, PRICES, fill_time_gaps, resample_ohlcv
 from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import quantile_columns
-from tidemark.plans.series import BARS, Axis, Halo, latest, numbered, running, upcoming
+from tidemark.plans.series import BARS, Axis, Halo, highest, latest, numbered, running, upcoming
 from tidemark.session import stage
 
 
@@ -26,19 +26,18 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) ->
     Rows after the last known value repeat it; rows before the first stay null.
     """
     cols = list(cols)
-    known = {
-        c: F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("at"), F.col(c).cast("double").alias("v"))) for c in cols
-    }
-    prefixes = {f"_prev_{c}": latest(known[c]) for c in cols} | {f"_next_{c}": upcoming(known[c]) for c in cols}
+    prefixes = {}
+    for c in cols:
+        value, at = F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col("_rn"))
+        prefixes |= {f"_v0_{c}": latest(value), f"_v1_{c}": upcoming(value), f"_at0_{c}": highest(at), f"_at1_{c}": upcoming(at)}
     around = running(numbered(df, axis, "_rn"), axis, **prefixes)
     filled = {}
     for c in cols:
-        before, after = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        share = (F.col("_rn") - before["at"]) / (after["at"] - before["at"])
+        v0, v1, at0, at1 = (F.col(f"_{n}_{c}") for n in ("v0", "v1", "at0", "at1"))
         filled[c] = (
             F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-            .when(after.isNull(), before["v"])
-            .when(before.isNotNull(), before["v"] + (after["v"] - before["v"]) * share)
+            .when(at1.isNull(), v0)
+            .when(at0.isNotNull(), v0 + (v1 - v0) * ((F.col("_rn") - at0) / (at1 - at0)))
         )
     return around.withColumns(filled).select(*df.columns)
 

@@ -66,11 +66,13 @@ def rsi_fast(df: DataFrame, n: int = 7, name: str = "rsi", axis: Axis = BARS) ->
     return rsi(df, n, name, axis)
 
 
-def _macd(h: Halo, frame: DataFrame, fast: int, slow: int, signal: int, name: str, close: str = "close") -> DataFrame:
-    x = F.col(close).cast("double")
-    line = ewm_mean(h, x, span_alpha(fast), adjust=False) - ewm_mean(h, x, span_alpha(slow), adjust=False)
+def _macd(h: Halo, frame: DataFrame, spans: tuple, name: str) -> DataFrame:
+    """``spans``: fast, slow, signal; numbers or columns that are constant along a series."""
+    x = F.col("close").cast("double")
+    fast, slow, signal = (span_alpha(s) for s in spans)
+    line = ewm_mean(h, x, fast, adjust=False) - ewm_mean(h, x, slow, adjust=False)
     frame = frame.withColumn(f"_line_{name}", line)
-    hist = F.col(f"_line_{name}") - ewm_mean(h, F.col(f"_line_{name}"), span_alpha(signal), adjust=False)
+    hist = F.col(f"_line_{name}") - ewm_mean(h, F.col(f"_line_{name}"), signal, adjust=False)
     return frame.withColumn(name, hist).drop(f"_line_{name}")
 
 
@@ -83,7 +85,7 @@ def _macd_halo(df: DataFrame, params: list[tuple[int, int, int]], axis: Axis) ->
 def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd_hist", axis: Axis = BARS) -> DataFrame:
     """EMA(fast) - EMA(slow), minus its own EMA(signal)."""
     h = _macd_halo(df, [(fast, slow, signal)], axis)
-    return h.settle(_macd(h, h.frame, fast, slow, signal, name))
+    return h.settle(_macd(h, h.frame, (fast, slow, signal), name))
 
 
 # MACD spans and true-range window per volatility level.
@@ -135,17 +137,33 @@ def macd_dynamic(
     level: str = "last",
 ) -> DataFrame:
     """MACD histogram with the spans of the series' volatility level (``last``) or of the row's (``asof``)."""
-    if level == "asof":
-        leveled = volatility_level_asof(df, axis).drop("volatility")
-    else:
+    if level == "last":
         leveled = join_stats(df, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
-    h = _macd_halo(leveled, list(params.values()), axis)
+        h = _macd_halo(leveled, list(params.values()), axis)
+        frame = h.frame.withColumns(_level_spans(params))
+        return h.settle(_macd(h, frame, tuple(F.col(n) for n in _SPAN_NAMES), name), "level", *_SPAN_NAMES)
+    h = _macd_halo(volatility_level_asof(df, axis).drop("volatility"), list(params.values()), axis)
     frame = h.frame
     for key, spans in params.items():
-        frame = _macd(h, frame, *spans, f"_hist_{key}")
+        frame = _macd(h, frame, spans, f"_hist_{key}")
     return h.settle(frame.withColumn(name, pick_level(params, "_hist_")), "level", *[f"_hist_{k}" for k in params])
 
 
+_SPAN_NAMES = ("_fast", "_slow", "_signal")
+
+
+def by_level(values: Mapping[str, float]) -> Column:
+    """The value for the row's ``level``."""
+    out = F.lit(None).cast("double")
+    for key, value in values.items():
+        out = F.when(F.col("level") == key, float(value)).otherwise(out)
+    return out
+
+
+def _level_spans(params: Mapping[str, tuple[int, int, int]]) -> dict[str, Column]:
+    return {name: by_level({k: p[i] for k, p in params.items()}) for i, name in enumerate(_SPAN_NAMES)}
+
+
 def pick_level(params: Mapping[str, object], prefix: str) -> Column:
     value = F.lit(None).cast("double")
     for key in params:
@@ -180,10 +198,11 @@ def atr_sma(df: DataFrame, n: int = 14, min_rows: int = 14, name: str = "atr", a
     return h.settle(frame.withColumn(name, mean), "_tr")
 
 
-def _wilder(h: Halo, tr: str, n: int) -> Column:
-    """Needs ``_seed_<n>``, the mean of the first n ranges on row n. Earlier rows give 0."""
+def _wilder(h: Halo, tr: str, n: int | Column) -> Column:
+    """Needs ``_mean_tr``, the mean of the ranges of the block so far, which on row n is the mean of the
+    first n ranges. Earlier rows give 0. ``n`` may be a column that is constant along a series."""
     rn = F.col("_rn")
-    x = F.when(rn < n, 0.0).when(rn == n, F.col(f"_seed_{n}")).otherwise(F.col(tr))
+    x = F.when(rn < n, 0.0).when(rn == n, F.col("_mean_tr")).otherwise(F.col(tr))
     return ewm_from(h, x, 1.0 / n, (rn == n) | ((F.col("_k") == 1) & (rn > n)))
 
 
@@ -192,8 +211,8 @@ def atr_wilder(df: DataFrame, n: int = 14, name: str = "atr", axis: Axis = BARS)
     0 before row ``n``."""
     h = decayed_halo(df, [1.0 / n], reach(1.0 / n), axis)
     frame = h.frame.withColumn("_tr", true_range_of(F.lag("close").over(h.w)))
-    frame = frame.withColumn(f"_seed_{n}", F.avg("_tr").over(h.last(n)))
-    return h.settle(frame.withColumn(name, _wilder(h, "_tr", n)), "_tr", f"_seed_{n}")
+    frame = frame.withColumn("_mean_tr", F.avg("_tr").over(h.so_far))
+    return h.settle(frame.withColumn(name, _wilder(h, "_tr", n)), "_tr", "_mean_tr")
 
 
 def adx(df: DataFrame, n: int = 14, name: str = "adx", axis: Axis = BARS) -> DataFrame:
@@ -263,12 +282,12 @@ def _slope(h: Halo, n: int, column: str) -> Column:
 
 def _market_state(h: Halo, frame: DataFrame, name: str) -> DataFrame:
     """Needs ``level`` on the row."""
-    frame = frame.withColumn("_ms_tr", true_range_of(F.lag("close").over(h.w)))
-    frame = frame.withColumns({f"_seed_{n}": F.avg("_ms_tr").over(h.last(n)) for n in ATR_WINDOWS.values()})
-    frame = frame.withColumns({f"_atr_{k}": _wilder(h, "_ms_tr", n) for k, n in ATR_WINDOWS.items()})
+    if "_tr" not in frame.columns:
+        frame = frame.withColumn("_tr", true_range_of(F.lag("close").over(h.w)))
+    frame = frame.withColumns({"_mean_tr": F.avg("_tr").over(h.so_far), "_n": by_level(ATR_WINDOWS)})
     frame = frame.withColumns(
         {
-            "_atr": pick_level(ATR_WINDOWS, "_atr_"),
+            "_atr": _wilder(h, "_tr", F.col("_n")),
             "_m5": F.avg("close").over(h.w.rowsBetween(-5, -1)),
             "_m20": F.avg("close").over(h.w.rowsBetween(-20, -1)),
         }
@@ -276,15 +295,14 @@ def _market_state(h: Halo, frame: DataFrame, name: str) -> DataFrame:
     before = h.w.rowsBetween(-30, -1)
     frame = frame.withColumns(
         {
-            "_band": F.when(F.count("_atr").over(before) >= 30, F.avg("_atr").over(before) * 0.3),
+            "_band": F.when(F.col("_rn") > 30, F.avg("_atr").over(before) * 0.3),
             "_slope": _slope(h, 5, "_m5"),
         }
     )
     frame = frame.withColumn("_slope", F.lag("_slope").over(h.w))
     up = (F.col("_m5") > F.col("_m20") + F.col("_band")) & (F.col("_slope") > 0.05)
     down = (F.col("_m5") < F.col("_m20") - F.col("_band")) & (F.col("_slope") < -0.05)
-    helpers = ["_ms_tr", "_atr", "_m5", "_m20", "_band", "_slope"]
-    helpers += [f"_seed_{n}" for n in ATR_WINDOWS.values()] + [f"_atr_{k}" for k in ATR_WINDOWS]
+    helpers = ["_tr", "_mean_tr", "_n", "_atr", "_m5", "_m20", "_band", "_slope"]
     return frame.withColumn(name, F.when(up, 2).when(down, 0).otherwise(1)).drop(*helpers)
 
 
@@ -389,7 +407,7 @@ BASE_FEATURES = ("rsi", "atr", "bb_width", "macd_hist", "vwap_gap", "volume_ma_r
 
 
 def base_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
-    """All base features and the regime label, in one numbering pass and one blocked pass.
+    """All base features and the regime label of complete bars, in one numbering and one blocked pass.
 
     Numbering and the cumulative price share their cells; every other feature shares the blocks, so
     Spark sorts each block once.
@@ -410,19 +428,17 @@ def base_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     frame = frame.withColumns(
         {
             "rsi": relative_strength(F.avg(gains(F.col("_d"))).over(over), F.avg(losses(F.col("_d"))).over(over)),
-            "atr": F.when(F.count("_tr").over(over) >= 14, F.avg("_tr").over(over)),
-            "bb_width": _bb_width(h),
+            "atr": F.when(F.col("_rn") >= 14, F.avg("_tr").over(over)),
+            "bb_width": F.when(F.col("_rn") >= 20, 4 * F.stddev_pop("close").over(h.last(20)) / F.nullif(F.col("close"), F.lit(0.0))),
             "vwap_gap": (F.col("close") - price) / F.nullif(price, F.lit(0.0)),
             "ema_short": ewm_mean(h, F.col("close").cast("double"), span_alpha(10), adjust=False),
-            "volume_ma_ratio": _volume_ma_ratio(h, 5, 5),
+            "volume_ma_ratio": F.when(F.col("_rn") >= 5, F.col("volume") / _or_tiny(F.avg("volume").over(h.last(5)))),
         }
     )
     frame = _adx(h, frame, 14, "adx")
-    for key, params in MACD_PARAMS.items():
-        frame = _macd(h, frame, *params, f"_hist_{key}")
-    frame = frame.withColumn("macd_hist", pick_level(MACD_PARAMS, "_hist_"))
+    frame = _macd(h, frame.withColumns(_level_spans(MACD_PARAMS)), tuple(F.col(n) for n in _SPAN_NAMES), "macd_hist")
     frame = _market_state(h, frame, "market_state")
-    drop = ["_d", "_tr", "_pv", "_v", "level", *[f"_hist_{k}" for k in MACD_PARAMS]]
+    drop = ["_d", "_pv", "_v", "level", *_SPAN_NAMES]
     return h.settle(frame, *drop).select(*df.columns, *BASE_FEATURES, "market_state")
 
 

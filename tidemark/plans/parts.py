@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
-FAN = 64
+FAN = 16
 WHOLE = 200_000
 
 
@@ -32,10 +32,10 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], spread: Sequen
     """Append ``name`` 0..4095, growing with ``value``: cuts of equal row counts, whatever the distribution.
 
     Groups up to 200,000 rows stay whole. Others are cut at quantiles from a mergeable sketch; a row finds
-    its part by 64 comparisons with every 64th cut and 64 within.
+    its part in three steps of 15 comparisons, among every 256th cut, every 16th in between, and the rest.
     """
     by = list(by)
-    n = FAN * FAN
+    n = FAN * FAN * FAN
     valued = df.withColumn("_v", value)
     keyed = valued.select(*by, "_v")
     large = keyed.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > WHOLE).drop("_n")
@@ -44,10 +44,11 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], spread: Sequen
     cuts = F.expr(f"percentile_approx(_v, cast(split('{shares}', ',') as array<double>), {4 * n})")
     wanted = join_stats(keyed, large, by, ["_v"], "left_semi") if by else keyed
     sketch = wanted.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_cuts")).filter(F.col("_n") > WHOLE).drop("_n")
-    coarse = F.expr(f"transform(sequence(1, {FAN - 1}), i -> _cuts[i * {FAN} - 1])")
-    sketch = sketch.withColumn("_coarse", coarse)
     joined = join_stats(valued, sketch, by, spread)
-    joined = joined.withColumn("_first", F.expr("size(filter(_coarse, c -> c <= _v))"))
-    within = f"size(filter(slice(_cuts, _first * {FAN} + 1, {FAN - 1}), c -> c <= _v))"
-    placed = F.expr(f"if(_cuts is null, 0L, cast(_first * {FAN} + {within} as bigint))")
-    return joined.withColumn(name, placed).drop("_v", "_cuts", "_coarse", "_first")
+    steps = (FAN * FAN, FAN, 1)
+    places = [f"transform(sequence(1, {FAN - 1}), i -> _cuts[_cut + i * {step} - 1])" for step in steps]
+    joined = joined.withColumn("_cut", F.lit(0))
+    for step, cuts_here in zip(steps, places):
+        below = f"size(filter({cuts_here}, c -> c <= _v))"
+        joined = joined.withColumn("_cut", F.expr(f"if(_cuts is null, 0, _cut + {step} * {below})"))
+    return joined.withColumn(name, F.expr("coalesce(bigint(_cut), 0L)")).drop("_v", "_cuts", "_cut")

@@ -32,6 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Quantile sketches of up to this many groups stay hashed before the aggregate sorts instead.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "512")
     return spark
 
 
