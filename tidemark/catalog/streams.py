@@ -113,7 +113,11 @@ def _(spark, sf):
     return rounded(wall(newest), *X.REALTIME[:-1])
 
 
-@query("fan_out")
+@query(
+    "fan_out",
+    """SELECT count(*) AS n, 'all' AS handler FROM events UNION ALL SELECT count(*), 'clicks' FROM events WHERE event_type = 'click'
+       UNION ALL SELECT 1, 'broken'""",
+)
 def _(spark, sf):
     """Rows each handler wrote; the failing handler between them stops neither."""
     first, second, failures = new_path(spark, "fan"), new_path(spark, "fan"), []

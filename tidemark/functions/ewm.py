@@ -9,7 +9,8 @@ double precision can hold.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,25 @@ def _lam(alpha: float) -> float:
     return -math.log1p(-alpha)
 
 
-def _lam_column(alpha: float | Column) -> Column:
-    """``alpha`` may be a column that is constant along a series."""
-    return -F.log1p(-alpha) if isinstance(alpha, Column) else F.lit(_lam(alpha))
+@dataclass(frozen=True)
+class Rate:
+    """A weight and its decay as columns that are constant along a series."""
+
+    alpha: Column
+    lam: Column
+
+    @staticmethod
+    def of(alpha: "float | Rate") -> "Rate":
+        return alpha if isinstance(alpha, Rate) else Rate(F.lit(alpha), F.lit(_lam(alpha)))
+
+
+def rate_columns(name: str, alphas: Mapping[str, float], choose: Callable[[Mapping[str, float]], Column]) -> dict[str, Column]:
+    """Columns for ``rate(name)``: per series the weight that ``choose`` picks, with its decay."""
+    return {f"{name}_alpha": choose(alphas), f"{name}_lam": choose({k: _lam(a) for k, a in alphas.items()})}
+
+
+def rate(name: str) -> Rate:
+    return Rate(F.col(f"{name}_alpha"), F.col(f"{name}_lam"))
 
 
 def reach(alpha: float) -> int:
@@ -44,20 +61,20 @@ def decayed_halo(df: DataFrame, alphas: Iterable[float], back: int, axis: Axis =
     return Halo.exact(df, axis, back, block=max(1, min(8192, longest - back)))
 
 
-def ewm_mean(h: Halo, x: Column, alpha: float | Column, adjust: bool = True) -> Column:
+def ewm_mean(h: Halo, x: Column, alpha: float | Rate, adjust: bool = True) -> Column:
     """``adjust``: weights normalised over the known rows. Otherwise y = alpha * x + (1 - alpha) * y_before
     from the first row, for which ``x`` must not be null."""
     if not adjust:
         return ewm_from(h, x, alpha, F.col("_k") == 1)
-    grow = F.exp(_lam_column(alpha) * F.col("_k"))
+    grow = F.exp(Rate.of(alpha).lam * F.col("_k"))
     return F.sum(x * grow).over(h.so_far) / F.sum(F.when(x.isNotNull(), grow)).over(h.so_far)
 
 
-def ewm_from(h: Halo, x: Column, alpha: float | Column, start: Column) -> Column:
+def ewm_from(h: Halo, x: Column, alpha: float | Rate, start: Column) -> Column:
     """y = alpha * x + (1 - alpha) * y_before, and y = x on the row where ``start`` holds; rows before it
     must have x = 0."""
-    lam, k = _lam_column(alpha), F.col("_k")
-    weight = F.when(start, 1.0).otherwise(alpha)
+    r, k = Rate.of(alpha), F.col("_k")
+    lam, weight = r.lam, F.when(start, 1.0).otherwise(r.alpha)
     return F.sum(x * weight * F.exp(lam * k)).over(h.so_far) * F.exp(-lam * k)
 
 

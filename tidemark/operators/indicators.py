@@ -6,14 +6,14 @@ values with per-cell carries; see ``tidemark.plans.series``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ewm import decayed_halo, ewm_from, ewm_mean, reach, span_alpha
+from tidemark.functions.ewm import Rate, decayed_halo, ewm_from, ewm_mean, rate, rate_columns, reach, span_alpha
 from tidemark.plans.parts import join_stats
-from tidemark.plans.series import BARS, Axis, Halo, row_count, running, total
+from tidemark.plans.series import BARS, Axis, Halo, numbered, row_count, running, total
 
 TINY = 1e-10
 
@@ -66,10 +66,10 @@ def rsi_fast(df: DataFrame, n: int = 7, name: str = "rsi", axis: Axis = BARS) ->
     return rsi(df, n, name, axis)
 
 
-def _macd(h: Halo, frame: DataFrame, spans: tuple, name: str) -> DataFrame:
-    """``spans``: fast, slow, signal; numbers or columns that are constant along a series."""
+def _macd(h: Halo, frame: DataFrame, rates: Sequence[float | Rate], name: str) -> DataFrame:
+    """``rates``: fast, slow, signal."""
     x = F.col("close").cast("double")
-    fast, slow, signal = (span_alpha(s) for s in spans)
+    fast, slow, signal = rates
     line = ewm_mean(h, x, fast, adjust=False) - ewm_mean(h, x, slow, adjust=False)
     frame = frame.withColumn(f"_line_{name}", line)
     hist = F.col(f"_line_{name}") - ewm_mean(h, F.col(f"_line_{name}"), signal, adjust=False)
@@ -85,7 +85,7 @@ def _macd_halo(df: DataFrame, params: list[tuple[int, int, int]], axis: Axis) ->
 def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd_hist", axis: Axis = BARS) -> DataFrame:
     """EMA(fast) - EMA(slow), minus its own EMA(signal)."""
     h = _macd_halo(df, [(fast, slow, signal)], axis)
-    return h.settle(_macd(h, h.frame, (fast, slow, signal), name))
+    return h.settle(_macd(h, h.frame, [span_alpha(s) for s in (fast, slow, signal)], name))
 
 
 # MACD spans and true-range window per volatility level.
@@ -129,6 +129,12 @@ def volatility_level_asof(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     return sums.withColumns({"volatility": volatility, "level": level_of(volatility)}).drop("_ret", "_n", "_s", "_q")
 
 
+def _leveled(df: DataFrame, axis: Axis) -> DataFrame:
+    """Numbered rows with the level of their series; numbering first keeps the level out of its count pass."""
+    levels = volatility_level(df, axis).drop("volatility")
+    return join_stats(numbered(df, axis, "_rn", size="_rows"), levels, axis.keys, [axis.ts])
+
+
 def macd_dynamic(
     df: DataFrame,
     params: Mapping[str, tuple[int, int, int]] = MACD_PARAMS,
@@ -138,18 +144,17 @@ def macd_dynamic(
 ) -> DataFrame:
     """MACD histogram with the spans of the series' volatility level (``last``) or of the row's (``asof``)."""
     if level == "last":
-        leveled = join_stats(df, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
-        h = _macd_halo(leveled, list(params.values()), axis)
-        frame = h.frame.withColumns(_level_spans(params))
-        return h.settle(_macd(h, frame, tuple(F.col(n) for n in _SPAN_NAMES), name), "level", *_SPAN_NAMES)
+        h = _macd_halo(_leveled(df, axis), list(params.values()), axis)
+        frame = h.frame.withColumns(_macd_rates(params))
+        return h.settle(_macd(h, frame, [rate(n) for n in _RATES], name), "level", *_macd_rates(params))
     h = _macd_halo(volatility_level_asof(df, axis).drop("volatility"), list(params.values()), axis)
     frame = h.frame
     for key, spans in params.items():
-        frame = _macd(h, frame, spans, f"_hist_{key}")
+        frame = _macd(h, frame, [span_alpha(s) for s in spans], f"_hist_{key}")
     return h.settle(frame.withColumn(name, pick_level(params, "_hist_")), "level", *[f"_hist_{k}" for k in params])
 
 
-_SPAN_NAMES = ("_fast", "_slow", "_signal")
+_RATES = ("_fast", "_slow", "_signal")
 
 
 def by_level(values: Mapping[str, float]) -> Column:
@@ -160,8 +165,11 @@ def by_level(values: Mapping[str, float]) -> Column:
     return out
 
 
-def _level_spans(params: Mapping[str, tuple[int, int, int]]) -> dict[str, Column]:
-    return {name: by_level({k: p[i] for k, p in params.items()}) for i, name in enumerate(_SPAN_NAMES)}
+def _macd_rates(params: Mapping[str, tuple[int, int, int]]) -> dict[str, Column]:
+    out: dict[str, Column] = {}
+    for i, name in enumerate(_RATES):
+        out |= rate_columns(name, {k: span_alpha(p[i]) for k, p in params.items()}, by_level)
+    return out
 
 
 def pick_level(params: Mapping[str, object], prefix: str) -> Column:
@@ -198,12 +206,12 @@ def atr_sma(df: DataFrame, n: int = 14, min_rows: int = 14, name: str = "atr", a
     return h.settle(frame.withColumn(name, mean), "_tr")
 
 
-def _wilder(h: Halo, tr: str, n: int | Column) -> Column:
+def _wilder(h: Halo, tr: str, n: int | Column, weight: float | Rate) -> Column:
     """Needs ``_mean_tr``, the mean of the ranges of the block so far, which on row n is the mean of the
-    first n ranges. Earlier rows give 0. ``n`` may be a column that is constant along a series."""
+    first n ranges. Earlier rows give 0. ``weight`` is 1 / n."""
     rn = F.col("_rn")
     x = F.when(rn < n, 0.0).when(rn == n, F.col("_mean_tr")).otherwise(F.col(tr))
-    return ewm_from(h, x, 1.0 / n, (rn == n) | ((F.col("_k") == 1) & (rn > n)))
+    return ewm_from(h, x, weight, (rn == n) | ((F.col("_k") == 1) & (rn > n)))
 
 
 def atr_wilder(df: DataFrame, n: int = 14, name: str = "atr", axis: Axis = BARS) -> DataFrame:
@@ -212,7 +220,7 @@ def atr_wilder(df: DataFrame, n: int = 14, name: str = "atr", axis: Axis = BARS)
     h = decayed_halo(df, [1.0 / n], reach(1.0 / n), axis)
     frame = h.frame.withColumn("_tr", true_range_of(F.lag("close").over(h.w)))
     frame = frame.withColumn("_mean_tr", F.avg("_tr").over(h.so_far))
-    return h.settle(frame.withColumn(name, _wilder(h, "_tr", n)), "_tr", "_mean_tr")
+    return h.settle(frame.withColumn(name, _wilder(h, "_tr", n, 1.0 / n)), "_tr", "_mean_tr")
 
 
 def adx(df: DataFrame, n: int = 14, name: str = "adx", axis: Axis = BARS) -> DataFrame:
@@ -284,10 +292,11 @@ def _market_state(h: Halo, frame: DataFrame, name: str) -> DataFrame:
     """Needs ``level`` on the row."""
     if "_tr" not in frame.columns:
         frame = frame.withColumn("_tr", true_range_of(F.lag("close").over(h.w)))
-    frame = frame.withColumns({"_mean_tr": F.avg("_tr").over(h.so_far), "_n": by_level(ATR_WINDOWS)})
+    rates = rate_columns("_wilder", {k: 1.0 / n for k, n in ATR_WINDOWS.items()}, by_level)
+    frame = frame.withColumns({"_mean_tr": F.avg("_tr").over(h.so_far), "_n": by_level(ATR_WINDOWS), **rates})
     frame = frame.withColumns(
         {
-            "_atr": _wilder(h, "_tr", F.col("_n")),
+            "_atr": _wilder(h, "_tr", F.col("_n"), rate("_wilder")),
             "_m5": F.avg("close").over(h.w.rowsBetween(-5, -1)),
             "_m20": F.avg("close").over(h.w.rowsBetween(-20, -1)),
         }
@@ -302,7 +311,7 @@ def _market_state(h: Halo, frame: DataFrame, name: str) -> DataFrame:
     frame = frame.withColumn("_slope", F.lag("_slope").over(h.w))
     up = (F.col("_m5") > F.col("_m20") + F.col("_band")) & (F.col("_slope") > 0.05)
     down = (F.col("_m5") < F.col("_m20") - F.col("_band")) & (F.col("_slope") < -0.05)
-    helpers = ["_tr", "_mean_tr", "_n", "_atr", "_m5", "_m20", "_band", "_slope"]
+    helpers = [*rates, "_tr", "_mean_tr", "_n", "_atr", "_m5", "_m20", "_band", "_slope"]
     return frame.withColumn(name, F.when(up, 2).when(down, 0).otherwise(1)).drop(*helpers)
 
 
@@ -315,9 +324,8 @@ def market_state(df: DataFrame, name: str = "market_state", axis: Axis = BARS) -
 
     All inputs are shifted back, so a row's label uses earlier rows only (but for the series' level).
     """
-    leveled = join_stats(df, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
     alphas = _state_alphas()
-    h = decayed_halo(leveled, alphas, max(map(reach, alphas)) + 40, axis)
+    h = decayed_halo(_leveled(df, axis), alphas, max(map(reach, alphas)) + 40, axis)
     return h.settle(_market_state(h, h.frame, name), "level")
 
 
@@ -436,9 +444,9 @@ def base_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
         }
     )
     frame = _adx(h, frame, 14, "adx")
-    frame = _macd(h, frame.withColumns(_level_spans(MACD_PARAMS)), tuple(F.col(n) for n in _SPAN_NAMES), "macd_hist")
+    frame = _macd(h, frame.withColumns(_macd_rates(MACD_PARAMS)), [rate(n) for n in _RATES], "macd_hist")
     frame = _market_state(h, frame, "market_state")
-    drop = ["_d", "_pv", "_v", "level", *_SPAN_NAMES]
+    drop = ["_d", "_pv", "_v", "level", *_macd_rates(MACD_PARAMS)]
     return h.settle(frame, *drop).select(*df.columns, *BASE_FEATURES, "market_state")
 
 
