@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, rounded
-from tidemark.fixtures import FILLS, TICKS, bars30, bars_user, dirty_bars, table, ticks
+from tidemark.fixtures import TICKS, bars30, bars_user, dirty_bars, table, ticks
 from tidemark.operators import keys as K
-from tidemark.plans.series import BARS
 
 HALF_HOUR = 1800
 

@@ -31,7 +31,7 @@ _UNBOUNDED_AFTER = Window.unboundedFollowing
 
 @dataclass(frozen=True)
 class Axis:
-    """Layout of a series table.
+    """Layout of a series table. Rows without a key or a stamp belong to no series.
 
     ``keys`` name a series, ``ts`` orders it, ``ties`` order rows of equal ``ts``. ``cell`` is the width of
     a cell in the units of ``ts`` (seconds for timestamps) and ``block`` the number of rows per block.
