@@ -1,9 +1,9 @@
 """Exponentially decayed means as running sums, without a row loop.
 
-With lam = -ln(1 - alpha), the decayed sum of x up to row k of a block is
-exp(-lam * k) * sum(x_j * exp(lam * j)): one running window sum. The block must be short enough for exp to
-stay finite, and it starts ``reach`` copied rows early, after which what came before weighs less than
-double precision can hold.
+With keep = 1 - alpha, the decayed sum of x up to row k of a block is keep^k * sum(x_j * keep^-j): one running
+window sum. The block must be short enough for the powers to stay finite, and it starts ``reach`` copied rows
+early, after which what came before weighs less than double precision can hold. ``pow`` is exact to the last
+digit for any exponent, which exp of a product is not.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.series import BARS, Axis, Halo
 
 _FORGOTTEN = 39.2  # exp(-39.2) < 1e-17
-_LARGEST = 640.0  # exp(640) < 1e278
+_LARGEST = 640.0  # powers stay below exp(640) < 1e278
 
 
 def span_alpha(span: float) -> float:
@@ -31,23 +31,29 @@ def _lam(alpha: float) -> float:
 
 @dataclass(frozen=True)
 class Rate:
-    """A weight and its decay as columns that are constant along a series."""
+    """A weight and its complement as columns that are constant along a series."""
 
     alpha: Column
-    lam: Column
+    keep: Column
 
     @staticmethod
     def of(alpha: "float | Rate") -> "Rate":
-        return alpha if isinstance(alpha, Rate) else Rate(F.lit(alpha), F.lit(_lam(alpha)))
+        return alpha if isinstance(alpha, Rate) else Rate(F.lit(alpha), F.lit(1.0 - alpha))
+
+    def grow(self, rows: Column) -> Column:
+        return F.pow(self.keep, -rows)
+
+    def shrink(self, rows: Column) -> Column:
+        return F.pow(self.keep, rows)
 
 
 def rate_columns(name: str, alphas: Mapping[str, float], choose: Callable[[Mapping[str, float]], Column]) -> dict[str, Column]:
-    """Columns for ``rate(name)``: per series the weight that ``choose`` picks, with its decay."""
-    return {f"{name}_alpha": choose(alphas), f"{name}_lam": choose({k: _lam(a) for k, a in alphas.items()})}
+    """Columns for ``rate(name)``: per series the weight that ``choose`` picks, with its complement."""
+    return {f"{name}_alpha": choose(alphas), f"{name}_keep": choose({k: 1.0 - a for k, a in alphas.items()})}
 
 
 def rate(name: str) -> Rate:
-    return Rate(F.col(f"{name}_alpha"), F.col(f"{name}_lam"))
+    return Rate(F.col(f"{name}_alpha"), F.col(f"{name}_keep"))
 
 
 def reach(alpha: float) -> int:
@@ -66,7 +72,7 @@ def ewm_mean(h: Halo, x: Column, alpha: float | Rate, adjust: bool = True) -> Co
     from the first row, for which ``x`` must not be null."""
     if not adjust:
         return ewm_from(h, x, alpha, F.col("_k") == 1)
-    grow = F.exp(Rate.of(alpha).lam * F.col("_k"))
+    grow = Rate.of(alpha).grow(F.col("_k"))
     return F.sum(x * grow).over(h.so_far) / F.sum(F.when(x.isNotNull(), grow)).over(h.so_far)
 
 
@@ -74,19 +80,19 @@ def ewm_from(h: Halo, x: Column, alpha: float | Rate, start: Column) -> Column:
     """y = alpha * x + (1 - alpha) * y_before, and y = x on the row where ``start`` holds; rows before it
     must have x = 0."""
     r, k = Rate.of(alpha), F.col("_k")
-    lam, weight = r.lam, F.when(start, 1.0).otherwise(r.alpha)
-    return F.sum(x * weight * F.exp(lam * k)).over(h.so_far) * F.exp(-lam * k)
+    weight = F.when(start, 1.0).otherwise(r.alpha)
+    return F.sum(x * weight * r.grow(k)).over(h.so_far) * r.shrink(k)
 
 
 def ewm_plain(h: Halo, x: Column, alpha: float) -> Column:
     """The decayed sum alpha * (x + (1 - alpha) * x_before + ...) without a start value."""
-    lam, k = _lam(alpha), F.col("_k")
-    return F.sum(x * alpha * F.exp(F.lit(lam) * k)).over(h.so_far) * F.exp(F.lit(-lam) * k)
+    r, k = Rate.of(alpha), F.col("_k")
+    return F.sum(x * alpha * r.grow(k)).over(h.so_far) * r.shrink(k)
 
 
 def forget(alpha: float, rows: Column) -> Column:
     """What is left of a value after ``rows`` rows."""
-    return F.exp(F.lit(-_lam(alpha)) * rows)
+    return Rate.of(alpha).shrink(rows)
 
 
 def ema(df: DataFrame, column: str = "close", *, span: float | None = None, alpha: float | None = None, adjust: bool = False, name: str = "ema", axis: Axis = BARS) -> DataFrame:
