@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OPEN: list[list[str]] = []
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession:
@@ -23,6 +25,9 @@ def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not (spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)):
+        # One machine: its own folder is shared by all tasks.
+        spark.conf.set(_CHECKPOINT_CONF, f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch")
     return prepare(spark)
 
 
@@ -38,19 +43,41 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the cluster names none (tests)."""
+    """The folder all executors share, as the session names it."""
     folder = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(_CHECKPOINT_CONF, folder)
+        raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on exit what operators staged inside.
+
+    Results are lazy and read the staged tables, so write or collect them before leaving. Without this
+    context staged tables stay until the shared folder's owner removes them.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -62,5 +89,5 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
