@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, naming, pieces, simhash
+from tidemark.llm import decontaminate, language, naming, pieces, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,46 @@ DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), DIGESTS)
+
+
+@query("op5_karmarkar_karp")
+def op5_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_bytes(table(spark, sf_dir, "documents"))
+
+
+def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, {least} AS least, generate_subscripts(z, 1) AS pos, unnest(z) AS z
+    FROM (SELECT doc_id, list_zip([length(x) FOR x IN string_split_regex(t, '{pattern}')],
+                                  [length(x) FOR x IN regexp_extract_all(t, '{pattern}', 0)],
+                                  [length(x) FOR x IN regexp_extract_all(t, '{pattern}', {group})]) AS z
+          FROM d WHERE regexp_matches(t, '{pattern}'))"""
+
+
+SECRETS = " UNION ALL ".join(
+    [
+        _spans("assign", 0, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        _spans("access", 1, "AKIA[A-Z0-9]+", 0, 20),
+        _spans("hex", 2, "[0-9a-f]+", 0, 24),
+        _spans("pem", 3, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+        _spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ]
+)
+
+
+@query(
+    "op6_secret_ledger",
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({SECRETS}),
+    s AS (SELECT *, sum(z[1] + z[2]) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS upto FROM m WHERE z[2] IS NOT NULL),
+    f AS (SELECT *, kind || ':' || (upto - z[2])::BIGINT || ':' || upto::BIGINT AS span FROM s WHERE z[3] >= least),
+    g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                 count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY upto - z[2], ord) AS spans,
+                 string_agg(span, ',' ORDER BY upto - z[2], ord) FILTER (ord < 3) AS base
+          FROM f GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (doc_id)""",
+)
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
