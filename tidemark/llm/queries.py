@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, naming, pieces, secrets, sharding, simhash
+from tidemark.llm import decontaminate, language, naming, pieces, quality, secrets, sharding, simhash, toxicity, warc
+from tidemark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,35 @@ SECRETS = " UNION ALL ".join(
 )
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+_ALPHABET = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {}) & 31)::INT, 1)"
+_BASE32 = " || ".join(_ALPHABET.format(shift) for shift in (15, 10, 5, 0))
+
+
+@query(
+    "op2_warc_segments",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    h AS (SELECT *, sha1(t) AS hex, max(page_id) OVER (PARTITION BY t) AS first_id FROM p),
+    b AS (SELECT page_id, string_agg({_BASE32}, '' ORDER BY g) AS payload_digest
+          FROM (SELECT page_id, g, ('0x' || substr(hex, (1 + 5 * g)::INT, 5))::BIGINT AS v FROM h, range(8) r(g)) GROUP BY page_id)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS valid
+    FROM h JOIN b USING (page_id)""",
+)
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+@query("op4_toxicity_machine")
+def op4_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_ordinal_quality")
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(table(spark, sf_dir, "documents"), quality.ratings(table(spark, sf_dir, "labels")))
