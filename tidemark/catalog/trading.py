@@ -59,9 +59,13 @@ def _(spark, sf):
     return with_signals(spark, sf).select("symbol", "ts", "prediction", "signal")
 
 
-CAPPED = f"""{SIGNALS}, spaced AS (SELECT * FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS since FROM sg WHERE signal <> 'HOLD')
-     WHERE since IS NULL OR since >= 3600000000),
-   capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS nth FROM spaced) WHERE nth <= CASE WHEN volatility > 0.15 THEN 1 ELSE 3 END)"""
+# One row after the other: the last trade and the day's trades so far decide.
+CAPPED = f"""{SIGNALS}, sgn AS (SELECT *, ts::DATE AS d, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM sg WHERE signal <> 'HOLD'),
+   cap AS (SELECT symbol, k, d, ts AS last, 1 AS cnt, TRUE AS ok FROM sgn WHERE k = 1 UNION ALL
+     SELECT symbol, k, d, CASE WHEN ok THEN ts ELSE last END, cnt + ok::INT, ok FROM (
+       SELECT *, cnt < CASE WHEN volatility > 0.15 THEN 1 ELSE 3 END AND epoch_us(ts) - epoch_us(last) >= 3600000000 AS ok FROM (
+         SELECT n.symbol, n.k, n.d, n.ts, n.volatility, cap.last, CASE WHEN n.d = cap.d THEN cap.cnt ELSE 0 END AS cnt FROM cap JOIN sgn n ON n.symbol = cap.symbol AND n.k = cap.k + 1))),
+   capped AS (SELECT sgn.* FROM sgn JOIN cap USING (symbol, k) WHERE ok)"""
 
 
 def capped(spark, sf):
@@ -117,29 +121,42 @@ def _(spark, sf):
     return rounded(S.costs_per_share(ledger(spark, sf)).select("event_id", "total_cost", "slippage_rate"), "total_cost", "slippage_rate", digits=8)
 
 
-# Open trades: every capped signal opens one, held until the next.
+# Open trades: every capped signal opens one; they may overlap, and each goes on to its own exit.
 PATHS = f"""{CAPPED}, ent AS (SELECT symbol, ts, CASE signal WHEN 'BUY' THEN 'LONG' ELSE 'SHORT' END AS side, close AS price, atr FROM capped),
-   paths AS (SELECT sg.symbol, sg.ts, sg.close, sg.atr, ent.ts AS entry_ts, ent.price AS entry_price, ent.side, ent.atr AS entry_atr FROM sg ASOF JOIN ent ON sg.symbol = ent.symbol AND sg.ts > ent.ts),
+   paths AS (SELECT sg.symbol, sg.ts, sg.close, sg.atr, ent.ts AS entry_ts, ent.price AS entry_price, ent.side, ent.atr AS entry_atr FROM sg JOIN ent ON sg.symbol = ent.symbol AND sg.ts > ent.ts),
    lv0 AS (SELECT *, max(close) OVER t AS hi, min(close) OVER t AS lo, CASE WHEN entry_atr > 0 THEN 2 * entry_atr ELSE entry_price * 0.05 END AS reach
            FROM paths WINDOW t AS (PARTITION BY symbol, entry_ts ORDER BY ts)),
    lv1 AS (SELECT *, CASE WHEN side = 'LONG' THEN entry_price - reach ELSE entry_price + reach END AS stop0, CASE WHEN side = 'LONG' THEN entry_price + 2 * reach ELSE entry_price - 2 * reach END AS target,
              CASE WHEN side = 'LONG' THEN greatest(hi, entry_price) ELSE least(lo, entry_price) END AS peak FROM lv0),
    lv2 AS (SELECT *, CASE WHEN side = 'LONG' AND (peak - entry_price) / entry_price > 0.05 THEN greatest(stop0, peak * 0.99)
              WHEN side = 'SHORT' AND (entry_price - peak) / entry_price > 0.05 THEN least(stop0, peak * 1.01) ELSE stop0 END AS stop FROM lv1),
-   lv AS (SELECT *, CASE WHEN side = 'LONG' AND close <= stop OR side = 'SHORT' AND close >= stop THEN 'stop'
-             WHEN side = 'LONG' AND close >= target OR side = 'SHORT' AND close <= target THEN 'target' END AS touched FROM lv2)"""
+   lv3 AS (SELECT *, CASE WHEN side = 'LONG' AND close <= stop OR side = 'SHORT' AND close >= stop THEN 'stop'
+             WHEN side = 'LONG' AND close >= target OR side = 'SHORT' AND close <= target THEN 'target' END AS touched FROM lv2),
+   lv AS (SELECT * FROM (SELECT *, count(touched) OVER (PARTITION BY symbol, entry_ts ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lv3) WHERE before = 0)"""
 
 
-def paths(spark, sf):
+def paths(spark, sf, until="touched"):
     signals = stage(with_signals(spark, sf), "signals")
     taken = S.daily_cap(signals, high=0.15, min_gap_minutes=60)
     entries = taken.select("symbol", "ts", F.when(F.col("signal") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.col("close").alias("price"), "atr")
-    return stage(S.with_open_trade(signals.select("symbol", "ts", "close", "atr"), stage(entries, "entries")), "paths")
+    return S.trade_paths(signals.select("symbol", "ts", "close", "atr"), stage(entries, "entries"), until=until)
+
+
+@query(
+    "open_trades",
+    f"WITH RECURSIVE {CAPPED} SELECT sg.symbol, sg.ts, c.ts AS entry_ts, c.close AS entry_price FROM sg ASOF JOIN capped c ON sg.symbol = c.symbol AND sg.ts > c.ts",
+    ("bars30",),
+)
+def _(spark, sf):
+    """The newest trade entered before each bar."""
+    signals = stage(with_signals(spark, sf), "signals")
+    entries = S.daily_cap(signals, high=0.15, min_gap_minutes=60).select("symbol", "ts", "signal", F.col("close").alias("price"), "atr").withColumnRenamed("signal", "side")
+    return S.with_open_trade(signals.select("symbol", "ts"), stage(entries, "entries")).select("symbol", "ts", "entry_ts", "entry_price")
 
 
 @query("exit_levels", f"WITH RECURSIVE {PATHS} SELECT symbol, ts, entry_ts, side, R(stop) AS stop, R(target) AS target, touched FROM lv", ("bars30",))
 def _(spark, sf):
-    levels = S.exit_levels(paths(spark, sf)).select("symbol", "ts", "entry_ts", "side", "stop", "target", "touched")
+    levels = paths(spark, sf).select("symbol", "ts", "entry_ts", "side", "stop", "target", "touched")
     return rounded(levels, "stop", "target")
 
 
@@ -150,7 +167,7 @@ def _(spark, sf):
     ("bars30",),
 )
 def _(spark, sf):
-    return S.first_exit(S.exit_levels(paths(spark, sf)))
+    return S.first_exit(paths(spark, sf))
 
 
 @query(
@@ -158,12 +175,12 @@ def _(spark, sf):
     f"""WITH RECURSIVE {PATHS}, x AS (SELECT symbol, ts, entry_ts, side, epoch_us(ts) - epoch_us(entry_ts) > 14400000000 AS held,
           coalesce(CASE side WHEN 'LONG' THEN close / entry_price - 1 ELSE entry_price / close - 1 END > 0.03, FALSE) AS gained,
           coalesce(atr > 0 AND CASE side WHEN 'LONG' THEN close - entry_price ELSE entry_price - close END > 2 * atr, FALSE) AS beyond FROM paths)
-        SELECT *, CASE WHEN held THEN 'held' WHEN gained THEN 'gain' WHEN beyond THEN 'range' END AS reason FROM x""",
+        SELECT * EXCLUDE before FROM (SELECT *, count(reason) OVER (PARTITION BY symbol, entry_ts ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT *, CASE WHEN held THEN 'held' WHEN gained THEN 'gain' WHEN beyond THEN 'range' END AS reason FROM x)) WHERE before = 0""",
     ("bars30",),
 )
 def _(spark, sf):
-    out = S.exit_signal_columns(paths(spark, sf))
-    return out.select("symbol", "ts", "entry_ts", "side", "held", "gained", "beyond", "reason")
+    return paths(spark, sf, "reason").select("symbol", "ts", "entry_ts", "side", "held", "gained", "beyond", "reason")
 
 
 # ---------------------------------------------------------------------------------------------------------

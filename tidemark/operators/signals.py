@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import decayed_halo, ewm_plain, forget, reach
 from tidemark.functions.time import day, seconds_between
-from tidemark.plans.series import BARS, Axis, Halo, highest, latest, lowest, running
+from tidemark.plans.series import BARS, Axis, latest, running
+from tidemark.session import stage
 
 HOLD, BUY, SHORT = "HOLD", "BUY", "SHORT"
 
@@ -49,20 +50,33 @@ def entry_signal(
 def daily_cap(
     df: DataFrame, n: int = 3, high_vol: int = 1, high: float = 0.05, min_gap_minutes: float = 30, axis: Axis = BARS
 ) -> DataFrame:
-    """The signals that may trade: not within the gap after the signal before, at most ``n`` a day, or
-    ``high_vol`` when volatility is high.
+    """The signals that trade, in order of time: not within the gap after the last one that traded, and while fewer
+    than ``n`` have traded that day, or ``high_vol`` for a signal in high volatility.
 
-    The limit is also applied before the shuffle, so a day of very many signals stays small.
+    A day's signals of a series are folded in order; a trade shortly before midnight holds the next day back, so
+    days are folded again with the last trade of the day before until these agree.
     """
-    signals = df.filter(F.col("signal") != HOLD)
-    h = Halo.spread(signals, axis, back=1)
-    since = seconds_between(F.lag(axis.ts).over(h.w), F.col(axis.ts))
-    spaced = h.settle(h.frame.withColumn("_since", since)).filter(F.col("_since").isNull() | (F.col("_since") >= min_gap_minutes * 60))
-    spaced = spaced.withColumn("_day", day(F.col(axis.ts)))
-    over = Window.partitionBy(*axis.keys, "_day").orderBy(*axis.order)
-    first = spaced.withColumn("_nth", F.row_number().over(over)).filter(F.col("_nth") <= max(n, high_vol))
-    cap = F.when(F.col("volatility") > high, high_vol).otherwise(n)
-    return first.filter(F.col("_nth") <= cap).select(*df.columns)
+    keys = list(axis.keys)
+    rows = df.filter((F.col("signal") != HOLD) & F.col(axis.ts).isNotNull())
+    found = F.sort_array(F.collect_list(F.struct(*axis.order, F.struct(*df.columns).alias("_row"))))
+    # Bounded by what a day holds.
+    days = rows.groupBy(*keys, day(F.col(axis.ts)).alias("_day")).agg(found.alias("_signals"))
+    days = stage(days.withColumn("_seed", F.lit(None).cast(df.schema[axis.ts].dataType)), "days")
+    kind = days.schema["_signals"].dataType.simpleString()
+    start = f"named_struct('last', _seed, 'taken', cast(array() as {kind}))"
+    cap = f"if(coalesce(s._row.volatility > {high}D, false), {high_vol}, {n})"
+    waited = f"(a.last is null or timestampdiff(MICROSECOND, a.last, s.{axis.ts}) >= {round(min_gap_minutes * 60e6)})"
+    taken = f"named_struct('last', s.{axis.ts}, 'taken', concat(a.taken, array(s)))"
+    fold = F.expr(f"aggregate(_signals, {start}, (a, s) -> if(size(a.taken) < {cap} and {waited}, {taken}, a))")
+    over = Window.partitionBy(*keys).orderBy("_day")
+    while True:
+        folded = stage(days.withColumn("_fold", fold), "folded")
+        before = F.lag("_fold.last").over(over)
+        near = seconds_between(before, F.col("_signals")[0][axis.ts]) < min_gap_minutes * 60
+        seeded = folded.withColumn("_next", F.when(near, before))
+        if seeded.filter(~F.col("_seed").eqNullSafe(F.col("_next"))).isEmpty():
+            return folded.select(F.inline("_fold.taken")).select("_row.*")
+        days = stage(seeded.select(*keys, "_day", "_signals", F.col("_next").alias("_seed")), "days")
 
 
 def kelly_shares(
@@ -71,18 +85,20 @@ def kelly_shares(
     confidence: Column,
     balance: float = 50_000.0,
     win_rate: float = 0.5,
-    avg_win: float = 0.02,
-    avg_loss: float = -0.01,
+    payoff: float = 2.0,
     max_pct: float = 0.1,
 ) -> Column:
-    """Whole shares for the scaled Kelly fraction within 1%..``max_pct`` of the balance; 0 for odd prices."""
-    b = avg_win / abs(avg_loss) if avg_loss else 1.0
-    base = (b * win_rate - (1 - win_rate)) / b if b else 0.0
-    vol_factor = F.greatest(F.lit(0.5), 1 - volatility / 0.1)
-    fraction = F.lit(base) * vol_factor * F.greatest(F.lit(0.7), confidence)
-    fraction = F.greatest(F.lit(0.01), F.least(fraction, F.lit(max_pct)))
-    shares = F.floor(F.lit(balance) * fraction / price)
-    return F.when((price > 0.1) & (price < 10_000), shares).otherwise(0).cast("bigint")
+    """Whole shares for the Kelly fraction ``p - (1 - p) / payoff``, where ``payoff`` is the mean win over the mean loss.
+
+    The fraction falls with volatility, to half at 5% and more, and with confidence, to 0.7 at the least; between 1% and
+    ``max_pct`` of the balance are staked. Prices outside 0.1..10,000 get no shares.
+    """
+    edge = win_rate - (1 - win_rate) / payoff
+    calm = F.greatest(1 - 10 * volatility, F.lit(0.5))
+    sure = F.greatest(confidence, F.lit(0.7))
+    stake = F.greatest(F.least(edge * calm * sure, F.lit(max_pct)), F.lit(0.01))
+    tradable = (price > 0.1) & (price < 10_000)
+    return F.coalesce(F.when(tradable, F.floor(balance * stake / price)), F.lit(0)).cast("bigint")
 
 
 def confidence_of(prediction: Column) -> Column:
@@ -151,8 +167,8 @@ def cost_totals(df: DataFrame, axis: Axis = BARS) -> DataFrame:
 def with_open_trade(bars: DataFrame, entries: DataFrame, axis: Axis = BARS) -> DataFrame:
     """Each bar with the newest entry before it: entry_ts, entry_price, side, entry_atr.
 
-    A trade lasts until the next entry, so every bar belongs to one trade at most. As-of by one union and a
-    carried value, never a join of trades with all later bars. ``entries``: (keys, ts, side, price, atr).
+    As-of by one union and a carried value. For the whole path of trades that may overlap see ``trade_paths``.
+    ``entries``: (keys, ts, side, price, atr).
     """
     lot = F.struct(
         F.col(axis.ts).alias("entry_ts"), F.col("price").alias("entry_price"), F.col("side"), F.col("atr").alias("entry_atr")
@@ -166,33 +182,79 @@ def with_open_trade(bars: DataFrame, entries: DataFrame, axis: Axis = BARS) -> D
 
 
 def gain_of(side: Column, entry: Column, price: Column) -> Column:
-    """Gain as a share, positive when the trade earns."""
-    return F.when(side == "LONG", price / entry - 1).otherwise(entry / price - 1)
-
+    """Gain as a share, positive when the trade earns; null where it would divide by a zero price."""
+    zero = F.lit(0.0)
+    return F.when(side == "LONG", price / F.nullif(entry, zero) - 1).otherwise(entry / F.nullif(price, zero) - 1)
 
-TRADE = ("symbol", "entry_ts")
 
-
-def exit_levels(paths: DataFrame, axis: Axis = BARS, price: str = "close") -> DataFrame:
-    """Append stop, target and what the bar touches, along each open trade.
-
-    The stop starts two ranges (5% without one) from the entry and the target twice that risk away; once the
-    best price has earned 5%, the stop trails it by 1%.
-    """
-    along = Axis(keys=(*axis.keys, "entry_ts"), ts=axis.ts, ties=axis.ties, cell=axis.cell)
-    best = running(paths, along, _high=highest(price), _low=lowest(price))
+def _levels(df: DataFrame, price: str) -> DataFrame:
+    """Stop, target and what a bar touches, from the extremes ``_high`` and ``_low`` since the entry."""
     entry, atr, long = F.col("entry_price"), F.col("entry_atr"), F.col("side") == "LONG"
+    zero = F.lit(0.0)
     reach_ = F.when(atr > 0, 2 * atr).otherwise(entry * 0.05)
     first_stop = F.when(long, entry - reach_).otherwise(entry + reach_)
     target = F.when(long, entry + 2 * reach_).otherwise(entry - 2 * reach_)
     peak = F.when(long, F.greatest(F.col("_high"), entry)).otherwise(F.least(F.col("_low"), entry))
-    earned = F.when(long, (peak - entry) / entry).otherwise((entry - peak) / entry)
+    earned = F.when(long, (peak - entry) / F.nullif(entry, zero)).otherwise((entry - peak) / F.nullif(entry, zero))
     trailing = F.when(long, F.greatest(first_stop, peak * 0.99)).otherwise(F.least(first_stop, peak * 1.01))
-    out = best.withColumns({"stop": F.when(earned > 0.05, trailing).otherwise(first_stop), "target": target})
+    out = df.withColumns({"stop": F.when(earned > 0.05, trailing).otherwise(first_stop), "target": target})
     p = F.col(price)
     hit_stop = F.when(long, p <= F.col("stop")).otherwise(p >= F.col("stop"))
     hit_target = F.when(long, p >= F.col("target")).otherwise(p <= F.col("target"))
-    return out.withColumn("touched", F.when(hit_stop, "stop").when(hit_target, "target")).drop("_high", "_low")
+    return out.withColumn("touched", F.when(hit_stop, "stop").when(hit_target, "target"))
+
+
+def trade_paths(bars: DataFrame, entries: DataFrame, axis: Axis = BARS, price: str = "close", until: str = "touched") -> DataFrame:
+    """Each bar of each trade, from the first one after its entry to the first one with an exit: entry columns, stop,
+    target, ``touched`` (levels) and held, gained, beyond, ``reason`` (rules, where ``bars`` have ``atr``).
+
+    ``entries``: (keys, ts, side, price, atr). Trades may overlap, each keeps its own path; one that never exits goes
+    on to the last bar. The stop starts two ranges (5% without one) from the entry and the target twice that risk
+    away; once the best price has earned 5%, the stop trails it by 1%. ``until``: ``touched`` or ``reason``.
+
+    Open trades meet the bars of the next cell of their series, those left the next four cells, then sixteen, and
+    so on: the work is that of the paths themselves.
+    """
+    keys, trade = list(axis.keys), ["entry_ts", "entry_price", "side", "entry_atr", "_trade"]
+    placed = axis.placed(bars)
+    over = Window.partitionBy(*keys).orderBy("_cell")
+    cells = stage(placed.select(*keys, "_cell").distinct().withColumn("_at", F.row_number().over(over)), "cells")
+    rows = stage(placed.join(cells, [*keys, "_cell"]), "bars")
+    opened = entries.select(*keys, axis.ts, F.col("price").alias("entry_price"), "side", F.col("atr").alias("entry_atr"))
+    first = axis.placed(opened).withColumn("_trade", F.monotonically_increasing_id())
+    # The first cell that can hold a bar after the entry: its own or the next one there is.
+    begins = cells.select(*keys, "_cell", F.col("_at")).unionByName(first.select(*keys, "_cell").distinct(), allowMissingColumns=True)
+    begins = begins.groupBy(*keys, "_cell").agg(F.max("_at").alias("_at"))
+    back = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(0, Window.unboundedFollowing)
+    begins = begins.withColumn("_at", F.first("_at", ignorenulls=True).over(back)).filter("_at is not null")
+    number = F.lit(None).cast(bars.schema[price].dataType)
+    todo = first.join(begins, [*keys, "_cell"]).select(*keys, F.col(axis.ts).alias("entry_ts"), *trade[1:], "_at", number.alias("_best"), number.alias("_worst"))
+    todo, span, parts = stage(todo, "trades"), 1, []
+    at = Window.partitionBy("_trade").orderBy(*axis.order)
+    while not todo.isEmpty():
+        reach_ = todo.withColumn("_from", F.col("_at")).withColumn("_at", F.explode(F.sequence(F.col("_at"), F.col("_at") + span - 1)))
+        pairs = rows.join(reach_, [*keys, "_at"]).filter(F.col(axis.ts) > F.col("entry_ts"))
+        so_far = at.rowsBetween(Window.unboundedPreceding, 0)
+        pairs = pairs.withColumn("_high", F.greatest(F.max(price).over(so_far), F.col("_best"))).withColumn("_low", F.least(F.min(price).over(so_far), F.col("_worst")))
+        pairs = _levels(pairs, price)
+        if "atr" in bars.columns:
+            pairs = exit_signal_columns(pairs, axis, price)
+        ended = F.coalesce(F.max(F.col(until).isNotNull()).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        part = stage(pairs.withColumn("_ended", ended).filter("not _ended"), "paths")
+        parts.append(part)
+        state = part.groupBy("_trade").agg(F.max("_high").alias("_h"), F.min("_low").alias("_l"), F.max(F.col(until).isNotNull()).alias("_done"))
+        ends = cells.groupBy(*keys).agg(F.max("_at").alias("_end"))
+        left = todo.join(state, "_trade", "left").filter("not coalesce(_done, false)").join(ends, keys)
+        left = left.withColumns({"_at": F.col("_at") + span, "_best": F.coalesce("_h", "_best"), "_worst": F.coalesce("_l", "_worst")})
+        todo, span = stage(left.filter("_at <= _end").select(*todo.columns), "trades"), span * 4
+    named = [*bars.columns, *trade[:4], "stop", "target", "touched", *(["held", "gained", "beyond", "reason"] if "atr" in bars.columns else [])]
+    if not parts:
+        empty = _levels(rows.join(todo, [*keys, "_at"]).withColumns({"_high": F.col("_best"), "_low": F.col("_worst")}), price)
+        return (exit_signal_columns(empty, axis, price) if "atr" in bars.columns else empty).select(*named)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*named)
 
 
 def first_exit(levels: DataFrame, axis: Axis = BARS, reason: str = "touched", price: str = "close") -> DataFrame:
