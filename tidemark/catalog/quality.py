@@ -7,6 +7,7 @@ from tidemark.catalog.clean import AROUND, cleaning_sql, line, out
 from tidemark.fixtures import bars30, dirty_bars
 from tidemark.operators import clean as C
 from tidemark.operators import quality as Q
+from tidemark.operators.process import process
 from tidemark.operators.keys import OHLCV, PRICES
 from tidemark.plans.series import BARS
 from tidemark.session import stage
@@ -356,3 +357,27 @@ def _(spark, sf):
 def _(spark, sf):
     return rounded(Q.batch_summary(flow(spark, sf)), "success_pct", "retention_pct")
 
+
+def processed(spark, sf, threshold="warning"):
+    return process(dirty_bars(spark, sf).filter("dup = 0"), threshold=threshold)
+
+
+@query(
+    "process_flow",
+    f"""WITH {flow_ctes()} SELECT * REPLACE (R(removed_pct) AS removed_pct), final_status IN ('healthy', 'warning') AS passed FROM flow""",
+    ("dirty",),
+)
+def _(spark, sf):
+    """Check, clean, check and gate of all series in one call."""
+    out = processed(spark, sf)
+    kept = out.passed.select("symbol").distinct().withColumn("passed", F.lit(True))
+    return rounded(out.flow.join(kept, "symbol", "left").withColumn("passed", F.coalesce("passed", F.lit(False))), "removed_pct")
+
+
+@query(
+    "process_rows",
+    f"""WITH {flow_ctes()} SELECT symbol, ts, R(open) AS open, R(close) AS close, R(volume) AS volume FROM cleaned JOIN flow USING (symbol) WHERE final_status IN ('healthy', 'warning', 'critical')""",
+    ("dirty",),
+)
+def _(spark, sf):
+    return rounded(processed(spark, sf, "critical").passed.select("symbol", "ts", "open", "close", "volume"), "open", "close", "volume")

@@ -363,9 +363,8 @@ _RATES = ("annual_return", "max_drawdown", "monthly_win_rate")
           monthly_win_rate >= 0.45::DOUBLE * 0.9::DOUBLE AS monthly_win_rate_feasible FROM mt),
         s AS (SELECT *, annual_return_feasible::INT + max_drawdown_feasible::INT + monthly_win_rate_feasible::INT AS met FROM f)
         SELECT symbol, {', '.join(f'R({c}) AS {c}, R({c}_gap) AS {c}_gap, {c}_feasible' for c in _RATES)}, R(met / 3) AS score, met >= 2 AS feasible,
-          CASE met WHEN 3 THEN 'feasible: try with real money' WHEN 2 THEN 'mostly feasible: improve ' || CASE WHEN NOT annual_return_feasible THEN 'annual return'
-            WHEN NOT max_drawdown_feasible THEN 'max drawdown' ELSE 'monthly win rate' END
-          WHEN 1 THEN 'too ambitious: adjust expectations or strategy' ELSE 'unrealistic: make a new plan' END AS recommendation FROM s""",
+          met AS targets_met, CASE WHEN NOT annual_return_feasible THEN 'annual_return' WHEN NOT max_drawdown_feasible THEN 'max_drawdown'
+            WHEN NOT monthly_win_rate_feasible THEN 'monthly_win_rate' END AS missed FROM s""",
     ("equity",),
 )
 def _(spark, sf):

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, rounded
-from tidemark.catalog.indicators import bars, simple_state_sql
+from tidemark.catalog.indicators import FEATURES, bars, simple_state_sql
 from tidemark.fixtures import bars30, table, vectors
 from tidemark.operators import evaluation as V
 from tidemark.operators import indicators as X
 from tidemark.operators import training as T
 from tidemark.operators.clean import adaptive_null_fix, strip_zero_bars
-from tidemark.plans.series import BARS, Halo
+from tidemark.plans.series import BARS, Halo, numbered
 from tidemark.session import new_path, stage
 
 # Predictions: the regime of the next bar against this bar's; scores from the bar, rounded so that ties occur.
@@ -164,15 +164,15 @@ def _(spark, sf):
 @query("train_boosted")
 def _(spark, sf):
     rows = split(features(spark, sf))
-    model = T.train(rows.filter("split = 'train'"), X.BASE_FEATURES, "label", "boosted", rounds=10)
+    model = T.train(rows.filter("split = 'train'"), X.BASE_FEATURES, "label", "boosted")
     return V.evaluate(T.score(rows.filter("split = 'test'"), model), "label")
 
 
 @query("score")
 def _(spark, sf):
-    """Predicted class, probabilities and confidence of every bar."""
-    rows = features(spark, sf)
-    scored = T.score(rows, T.train(rows, X.BASE_FEATURES, "label", trees=20))
+    """Predicted class, probabilities and confidence of the last fifth of every series."""
+    rows = split(features(spark, sf))
+    scored = T.score(rows.filter("split = 'test'"), T.train(rows.filter("split = 'train'"), X.BASE_FEATURES, "label"))
     probs = [F.col("probs")[i].alias(f"p{i}") for i in range(3)]
     return scored.select("symbol", "ts", "label", "y_pred", "confidence", *probs)
 
@@ -200,7 +200,7 @@ def _(spark, sf):
     from tidemark.operators.sampling import walk_forward_folds
 
     rows = stage(walk_forward_folds(features(spark, sf), 2), "folds")
-    models = [T.train(rows.filter(F.col("fold") < f), X.BASE_FEATURES, "label", trees=20) for f in (1, 2)]
+    models = [T.train(rows.filter(F.col("fold") < f), X.BASE_FEATURES, "label") for f in (1, 2)]
     scored = T.ensemble_mean(rows.filter("fold = 2"), models)
     return scored.select("symbol", "ts", "label", "y_pred", "confidence")
 
@@ -216,6 +216,116 @@ def _(spark, sf):
     )
 
 
+@query(
+    "score_with_nulls",
+    f"""WITH RECURSIVE {FEATURES}, n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM features)
+        SELECT symbol, ts, rn % 17 <> 5 AS scored FROM n""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Every row comes back; those that lack a feature without a prediction."""
+    rows = stage(features(spark, sf), "rows")
+    model = T.train(rows, X.BASE_FEATURES, "label", trees=5)
+    hole = F.when(F.col("rn") % 17 != 5, F.col("atr"))
+    holed = numbered(rows, BARS).withColumn("atr", hole).drop("rn")
+    return T.score(holed, model).select("symbol", "ts", (F.col("y_pred").isNotNull() & F.col("confidence").isNotNull()).alias("scored"))
+
+
+def windows(spark, sf, length=10):
+    """Full windows of close and volume as columns, with the regime of the newest row."""
+    from tidemark.operators.sampling import sequences_fixed
+
+    rows = bars30(spark, sf).select("symbol", "ts", "open", "close", "volume")
+    labels = X.market_state_simple(rows, "label").select("symbol", "ts", "label")
+    made = sequences_fixed(rows, ["close", "volume"], length).join(labels, ["symbol", "ts"])
+    return stage(T.flat_windows(made, ["close", "volume"], length), "windows")
+
+
+@query(
+    "flat_windows",
+    """WITH n AS (SELECT *, row_number() OVER w AS rn, lag(close, 9) OVER w AS old_close, lag(volume, 3) OVER w AS some_volume FROM bars30 WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+       SELECT symbol, ts, R(close) AS close_0, volume::DOUBLE AS volume_0, R(old_close) AS close_9, some_volume::DOUBLE AS volume_3 FROM n WHERE rn >= 10""",
+    ("bars30",),
+)
+def _(spark, sf):
+    return rounded(windows(spark, sf).select("symbol", "ts", "close_0", "volume_0", "close_9", "volume_3"), "close_0", "close_9")
+
+
+@query(
+    "register_and_score",
+    """WITH n AS (SELECT symbol, count(*) - 9 AS n FROM bars30 GROUP BY 1 HAVING count(*) > 9)
+       SELECT symbol, (n - floor(n * (1 - 0.2)::DOUBLE))::BIGINT AS rows, (n - floor(n * (1 - 0.2)::DOUBLE))::BIGINT AS scored, 'random_forest_20240101_000000_' || substr(md5('bars30'), 1, 8) AS version_id FROM n""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Train on flattened windows, save, register, load the best version and score the last fifth."""
+    rows, cols, path = split(windows(spark, sf)), T.window_columns(["close", "volume"], 10), new_path(spark, "registry")
+    for version, trees, value in (("a", 1, 0.1), ("b", 10, 0.5)):
+        model = T.train(rows.filter("split = 'train'"), cols, "label", trees=trees)
+        T.register(model, path, version, "random_forest", "2024-01-01 00:00:00", {"f1_score": value}, cols, "bars30")
+    scored = T.score(rows.filter("split = 'test'"), T.load_best(spark, path))
+    best = T.best_model(T.registry(spark, f"{path}/versions")).select("version_id")
+    counts = scored.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(F.col("y_pred").isNotNull() & (F.size("probs") == 3)).alias("scored"))
+    return counts.crossJoin(F.broadcast(best))
+
+
+# The best first split, by Gini impurity over rows that weigh as much as their class is rare. Values have one decimal.
+STUMP = """long AS (SELECT vec_id, label, 'x' || lpad((i - 1)::VARCHAR, 2, '0') AS feature, round(features[i], 1) AS x FROM vectors, range(1, 65) t(i)),
+  cw AS (SELECT label, (SELECT count(*) FROM vectors) / ((SELECT count(DISTINCT label) FROM vectors) * count(*)) AS w FROM vectors GROUP BY 1),
+  cnt AS (SELECT feature, x, label, sum({w}) AS n FROM long JOIN cw USING (label) GROUP BY 1, 2, 3),
+  grid AS (SELECT f.feature, f.x, l.label FROM (SELECT DISTINCT feature, x FROM cnt) f, (SELECT DISTINCT label FROM vectors) l),
+  cum AS (SELECT feature, x, label, sum(coalesce(n, 0)) OVER (PARTITION BY feature, label ORDER BY x) AS l, sum(coalesce(n, 0)) OVER (PARTITION BY feature, label) AS t FROM grid LEFT JOIN cnt USING (feature, x, label)),
+  cut AS (SELECT feature, x, sum(l) AS ls, sum(t - l) AS rs, sum(l * l) / nullif(sum(l), 0) + sum((t - l) ** 2) / nullif(sum(t - l), 0) AS purity FROM cum GROUP BY 1, 2),
+  top AS (SELECT feature, x FROM cut WHERE purity IS NOT NULL ORDER BY purity DESC, feature, x LIMIT 1)"""
+
+
+def coarse(spark, sf):
+    return dims(spark, sf).withColumns({c: F.round(c, 1) for c in _X})
+
+
+@query("importance_of_stump", f"WITH {STUMP.format(w='1.0')} SELECT feature, 1.0::DOUBLE AS importance FROM top", ("vectors",))
+def _(spark, sf):
+    """A forest of one tree with one split: all importance is that of the best split."""
+    found = T.importances(coarse(spark, sf), _X, "label", trees=1, depth=1, bootstrap=False, featureSubsetStrategy="all")
+    return spark.createDataFrame([(c, v) for c, v in found if v > 0], "feature string, importance double")
+
+
+@query(
+    "train_stump",
+    f"""WITH {STUMP.format(w='w')}, side AS (SELECT vec_id, label, l.x <= top.x AS low FROM long l JOIN top USING (feature)),
+        leaf AS (SELECT low, arg_max(label, n ORDER BY n DESC, label) AS y_pred FROM (SELECT low, label, sum(w) AS n FROM side JOIN cw USING (label) GROUP BY 1, 2) GROUP BY 1)
+        SELECT vec_id, label, y_pred FROM side JOIN leaf USING (low)""",
+    ("vectors",),
+)
+def _(spark, sf):
+    """Predictions of a weighted forest of one tree with one split."""
+    rows = stage(coarse(spark, sf), "coarse")
+    model = T.train(rows, _X, "label", trees=1, depth=1, bootstrap=False, featureSubsetStrategy="all")
+    return T.score(rows, model).select("vec_id", "label", "y_pred")
+
+
+@query(
+    "select_agreed",
+    """WITH long AS (SELECT label, 'x' || lpad((i - 1)::VARCHAR, 2, '0') AS feature, features[i] AS x FROM vectors, range(1, 65) t(i)),
+       c AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2),
+       g AS (SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS grand FROM c),
+       a AS (SELECT feature, row_number() OVER (ORDER BY (sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) DESC, feature) AS r FROM g GROUP BY 1),
+       b AS (SELECT feature, row_number() OVER (ORDER BY sum(abs(m)) DESC, feature) AS r FROM c GROUP BY 1),
+       j AS (SELECT b.feature, b.r, a.r <= 20 AS agreed FROM b JOIN a USING (feature) WHERE b.r <= 20),
+       k AS (SELECT *, count(*) FILTER (agreed) OVER () AS hits FROM j),
+       o AS (SELECT feature, row_number() OVER (ORDER BY CASE WHEN hits >= 10 AND NOT agreed THEN 1 ELSE 0 END, r) AS place FROM k)
+       SELECT place::INT AS place, feature FROM o""",
+    ("vectors",),
+)
+def _(spark, sf):
+    """The choice among two rankings, here by ANOVA and by the size of the class means."""
+    rows = stage(dims(spark, sf), "dims")
+    means = rows.groupBy("label").agg(*[F.abs(F.avg(c)).alias(c) for c in _X]).agg(*[F.sum(c).alias(c) for c in _X]).first()
+    by_size = sorted(_X, key=lambda c: (-means[c], c))
+    chosen = T.agreed(by_size[:20], T.select_anova(rows, _X, "label", 20), 20)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "place int, feature string")
+
+
 def versions(spark, sf):
     """One model version per user: type, time and metrics from its events."""
     events = table(spark, sf, "events")

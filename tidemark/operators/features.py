@@ -78,8 +78,8 @@ def next_change(df: DataFrame, column: str = "close", name: str = "label", axis:
 
 def lasso_coefficients(df: DataFrame, cols: Sequence[str], penalty: float = 0.005, axis: Axis = BARS) -> list[tuple[str, float]]:
     """L1 coefficients for the next change of close, by size; the fit runs as distributed aggregates."""
-    labeled = next_change(df.select(*axis.id, "close", *[c for c in cols if c != "close"]), axis=axis).na.drop(subset=["label"])
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
+    labeled = next_change(df.select(*axis.id, "close", *[c for c in cols if c != "close"]), axis=axis).na.drop(subset=["label", *cols])
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
     model = LinearRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=100).fit(
         assembler.transform(labeled)
     )

@@ -395,7 +395,7 @@ def threshold_flags(df: DataFrame, axis: Axis = BARS) -> DataFrame:
             "adx_above_25": flag(F.col("adx") > 25),
             "rsi_overbought": flag(F.col("rsi") > 70),
             "rsi_oversold": flag(F.col("rsi") < 30),
-            "atr_ratio": F.col("atr") / mean,
+            "atr_ratio": F.col("atr") / F.nullif(mean, F.lit(0.0)),
         }
     )
     return h.settle(frame)

@@ -72,7 +72,7 @@ TOLERANCE = {"annual_return": 0.8, "max_drawdown": 1.2, "monthly_win_rate": 0.9}
 
 
 def target_assessment(metrics: DataFrame, targets: Mapping[str, float] = TARGETS, axis: Axis = CURVE) -> DataFrame:
-    """Append gap and feasibility per target, the share met, the verdict and a recommendation."""
+    """Append gap and feasibility per target, how many are met and their share, the verdict (two of three) and the first target missed."""
     feasible, out = {}, {}
     for name, target in targets.items():
         value, limit = F.col(name), target * TOLERANCE[name]
@@ -83,14 +83,8 @@ def target_assessment(metrics: DataFrame, targets: Mapping[str, float] = TARGETS
     met = sum((f.cast("int") for f in list(feasible.values())[1:]), list(feasible.values())[0].cast("int"))
     missing = F.lit(None).cast("string")
     for name in reversed(list(feasible)):
-        missing = F.when(~feasible[name], name.replace("_", " ")).otherwise(missing)
-    advice = (
-        F.when(met == 3, "feasible: try with real money")
-        .when(met == 2, F.concat(F.lit("mostly feasible: improve "), missing))
-        .when(met == 1, "too ambitious: adjust expectations or strategy")
-        .otherwise("unrealistic: make a new plan")
-    )
-    return metrics.withColumns(out | {"score": met / F.lit(3.0), "feasible": met >= 2, "recommendation": advice})
+        missing = F.when(~feasible[name], name).otherwise(missing)
+    return metrics.withColumns(out | {"score": met / F.lit(3.0), "targets_met": met, "feasible": met >= 2, "missed": missing})
 
 
 def target_ratios(metrics: DataFrame, targets: Mapping[str, float] = ADJUSTED_TARGETS) -> DataFrame:

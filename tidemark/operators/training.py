@@ -25,17 +25,27 @@ from tidemark.session import stage
 SEED = 42
 
 
+def complete(cols: Sequence[str]) -> Column:
+    """Whether a row has a value in each column; models learn from such rows and score no others."""
+    known = F.lit(True)
+    for c in cols:
+        x = F.col(c).cast("double")
+        known = known & x.isNotNull() & ~F.isnan(x)
+    return known
+
+
 def assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="skip").transform(df)
+    """The complete rows with their columns as one vector, to learn from."""
+    return VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df.filter(complete(cols)))
 
 
 def _forest(label: str, trees: int = 100, depth: int = 5, **params) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, **params)
 
 
-def importances(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100) -> list[tuple[str, float]]:
+def importances(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, **params) -> list[tuple[str, float]]:
     """Forest importances, largest first."""
-    model = _forest(label, trees).fit(assembled(df, cols))
+    model = _forest(label, trees, **params).fit(assembled(df, cols))
     pairs = zip(cols, (float(v) for v in model.featureImportances.toArray()))
     return sorted(pairs, key=lambda p: (-p[1], p[0]))
 
@@ -100,12 +110,15 @@ def select_mutual_info(df: DataFrame, cols: Sequence[str], label: str, n: int, b
 def select_auto(df: DataFrame, cols: Sequence[str], label: str, n: int, trees: int = 100) -> list[str]:
     """What forest and ANOVA agree on, filled up by importance; by importance alone if they agree on
     fewer than half."""
-    by_forest = select_importance(df, cols, label, n, trees)
-    by_anova = set(select_anova(df, cols, label, n))
-    common = [c for c in by_forest if c in by_anova]
-    if len(common) < n // 2:
-        return by_forest
-    return common + [c for c in by_forest if c not in by_anova][: n - len(common)]
+    return agreed(select_importance(df, cols, label, n, trees), select_anova(df, cols, label, n), n)
+
+
+def agreed(first: Sequence[str], second: Sequence[str], n: int) -> list[str]:
+    """Up to ``n`` names of ``first``, those also in ``second`` in front; in order of ``first`` if under half are."""
+    both = [c for c in first if c in set(second)]
+    if len(both) < n // 2:
+        return list(first[:n])
+    return (both + [c for c in first if c not in set(second)])[:n]
 
 
 def with_lags(df: DataFrame, cols: Sequence[str], n: int, axis: Axis = BARS) -> DataFrame:
@@ -138,24 +151,25 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 
 
 def classifier(kind: str, label: str, weight: str, **params):
-    """A weighted classifier over ``_scaled``; boosting is one model per class."""
+    """A weighted classifier over ``_scaled``; boosting is one model per class. Further ``params`` are Spark's own."""
     p = {**DEFAULTS[kind], **params}
+    more = {k: v for k, v in p.items() if k not in ("trees", "depth", "rounds", "step")}
     if kind == "random_forest":
         return RandomForestClassifier(
             featuresCol="_scaled", labelCol=label, weightCol=weight, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
-            predictionCol="y_pred", probabilityCol="_probability", rawPredictionCol="_raw",
+            predictionCol="y_pred", probabilityCol="_probability", rawPredictionCol="_raw", **more,
         )
-    trees = GBTClassifier(maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["step"], seed=SEED)
+    trees = GBTClassifier(maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["step"], seed=SEED, **more)
     return OneVsRest(
         classifier=trees, featuresCol="_scaled", labelCol=label, weightCol=weight, predictionCol="y_pred"
     )
 
 
 def train(df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", **params) -> PipelineModel:
-    """Assemble, scale and fit with balanced class weights; everything runs as Spark stages."""
-    weighted = with_class_weight(df, label, "_weight")
+    """Assemble, scale and fit with balanced class weights on the complete rows; everything runs as Spark stages."""
+    weighted = with_class_weight(df.filter(complete(cols) & F.col(label).isNotNull()), label, "_weight")
     stages = [
-        VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="keep"),
         StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True),
         classifier(kind, label, "_weight", **params),
     ]
@@ -165,8 +179,9 @@ def train(df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_fo
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Append ``y_pred``, the class probabilities ``probs`` and their largest as ``confidence``.
 
-    Boosted margins become shares through the logistic function.
+    Every row stays; one that lacks a feature gets nulls. Boosted margins become shares through the logistic function.
     """
+    known = complete(model.stages[0].getInputCols())
     scored = model.transform(df)
     if "_probability" in scored.columns:
         probs = vector_to_array("_probability")
@@ -174,10 +189,34 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
         odds = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-v)))
         whole = F.aggregate(odds, F.lit(0.0), lambda a, v: a + v)
         probs = F.transform(odds, lambda v: v / whole)
-    scored = scored.withColumns({"probs": probs, "y_pred": F.col("y_pred").cast("int")})
+    scored = scored.withColumns({"probs": F.when(known, probs), "y_pred": F.when(known, F.col("y_pred").cast("int"))})
     return scored.withColumn("confidence", F.array_max("probs")).select(*df.columns, "y_pred", "probs", "confidence")
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline, its scaler included, to a folder any session can load it from."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def window_columns(cols: Sequence[str], length: int) -> list[str]:
+    """Names of the flattened window: ``<column>_<step>``, step 0 the newest row."""
+    return [f"{c}_{t}" for t in range(length) for c in cols]
+
+
+def flat_windows(df: DataFrame, cols: Sequence[str], length: int, window: str = "window") -> DataFrame:
+    """One column for each step and feature of a window (array of rows), counted from its newest row; null where a window is shorter.
+
+    So windows of equal length (``pad_sequences``) are model input for ``train``, ``score`` and ``smote``.
+    """
+    at = lambda t, i: F.get(F.get(window, F.size(window) - 1 - t), F.lit(i))
+    flat = [at(t, i).alias(f"{c}_{t}") for t in range(length) for i, c in enumerate(cols)]
+    return df.select(*[c for c in df.columns if c != window], *flat)
+
+
 def score_with(df: DataFrame, predict, cols: Sequence[str]) -> DataFrame:
     """Score by a foreign model: ``predict`` takes a 2-D array and returns class probabilities. It runs on
     Arrow batches in the tasks."""
@@ -261,6 +300,26 @@ def registry_append(entries: DataFrame, path: str) -> None:
     entries.withColumn("version_id", key).write.mode("append").parquet(path)
 
 
+def register(model: PipelineModel, path: str, version: str, model_type: str, created_at: str, metrics: Mapping[str, float], cols: Sequence[str], data_hash: str, description: str = "", config: str = "{}") -> None:
+    """Save a model below ``path``/models and add its version, with where it lies, to the registry ``path``/versions."""
+    spark = SparkSession.getActiveSession()
+    where = f"{path}/models/{version}"
+    save_model(model, where)
+    entry = [(version, model_type, config, dict(metrics), list(cols), data_hash, where, description)]
+    schema = "version string, model_type string, config string, metrics map<string,double>, feature_names array<string>, data_hash string, model_path string, description string"
+    rows = spark.createDataFrame(entry, schema).withColumn("created_at", F.lit(created_at).cast("timestamp_ntz"))
+    registry_append(rows, f"{path}/versions")
+
+
+def load_best(spark: SparkSession, path: str, metric: str = "f1_score") -> PipelineModel:
+    """The registered model with the largest ``metric``; ValueError if there is none."""
+    models = registry(spark, f"{path}/versions")
+    best = best_model(models, metric).join(models, "version_id").select("model_path").first()
+    if best is None:
+        raise ValueError(f"no registered version has {metric}")
+    return load_model(best["model_path"])
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
