@@ -52,7 +52,7 @@ def test_refresh_reads_stored_history(spark):
     stream = land(spark, [rows[:100], rows[100:150], rows[150:]], BAR)
     history, features = new_path(spark, "history"), new_path(spark, "features")
     S.append_and_refresh(stream, history, features)
-    got = S.newest_per_symbol(spark.read.parquet(features), "batch").toPandas().sort_values("symbol").reset_index(drop=True)
+    got = S.newest_per_symbol(spark.read.option("basePath", features).parquet(features), "batch").toPandas().sort_values("symbol").reset_index(drop=True)
     want = realtime_features(spark.createDataFrame(rows, BAR)).toPandas().sort_values("symbol").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[list(REALTIME)], want[list(REALTIME)], check_dtype=False)
     assert spark.read.parquet(history).count() == 180
@@ -102,14 +102,49 @@ def test_messages_are_typed(spark, tmp_path):
     assert S.valid_tick(spark.createDataFrame([("A", 0.0), ("A", 1.0)], "symbol string, price double")).count() == 1
 
 
-def test_handlers_fail_alone(spark):
-    seen, failures = [], []
+def test_handlers_fail_alone_and_get_their_batches_again(spark):
+    seen, again, failed = [], [], new_path(spark, "failed")
 
     def broken(batch, number):
         raise KeyError("x")
 
-    S.fan_out(land(spark, [[tick(1, 1)], [tick(2, 2)]], TICK), {"bad": broken, "good": lambda b, n: seen.append(b.count())}, failures)
-    assert seen == [1, 1] and [f[1:] for f in failures] == [("bad", "KeyError")] * 2
+    S.fan_out(land(spark, [[tick(1, 1)], [tick(2, 2)]], TICK), {"bad": broken, "good": lambda b, n: seen.append(b.count())}, failed)
+    noted = S.failed_rows(spark, failed, TICK).orderBy("batch").collect()
+    assert seen == [1, 1] and [(r.handler, r.error, r.batch, r.event_id) for r in noted] == [("bad", "KeyError", 0, 1), ("bad", "KeyError", 1, 2)]
+    S.replay(spark, failed, TICK, "bad", lambda b, n: again.append((n, b.first().event_id)))
+    assert again == [(0, 1), (1, 2)] and S.failed_rows(spark, new_path(spark, "none"), TICK).count() == 0
+
+
+def test_a_batch_that_is_run_twice_counts_once(spark, monkeypatch):
+    """Each batch's handler runs twice, as after a lost driver."""
+    monkeypatch.setattr(S, "each_batch", lambda df, handle, name, mode="append", run=S.each_batch: run(df, lambda b, n: (handle(b, n), handle(b, n)), name, mode))
+    rows = bars(90)
+    history, features = new_path(spark, "history"), new_path(spark, "features")
+    S.append_and_refresh(land(spark, [rows[:100], rows[100:150], rows[150:]], BAR), history, features)
+    assert spark.read.parquet(history).count() == 180
+    got = S.newest_per_symbol(spark.read.option("basePath", features).parquet(features), "batch").toPandas().sort_values("symbol").reset_index(drop=True)
+    want = realtime_features(spark.createDataFrame(rows, BAR)).toPandas().sort_values("symbol").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[list(REALTIME)], want[list(REALTIME)], check_dtype=False)
+    batches = [[tick(1, 1, price=1.0), tick(2, 2, "b", 2.0)], [tick(3, 5, price=3.0)], [tick(4, 4, price=4.0)]]
+    assert {r.symbol: r.price for r in S.latest_price_table(land(spark, batches, TICK)).collect()} == {"a": 3.0, "b": 2.0}
+
+
+def test_late_bars_do_not_change_features(spark):
+    rows = bars(40)
+    late = [("a", START, 1.0, 1.0, 1.0, 1), rows[20]]
+    stream = land(spark, [rows[:60], late + rows[60:]], BAR)
+    got = S.collect_stream(S.stream_features(stream), "features")
+    assert got.count() == len(rows)
+
+
+def test_spikes_by_the_hours_so_far(spark):
+    hours = [(START + dt.timedelta(hours=h), n) for h, n in enumerate([2, 0, 2, 9, 3, 40, 1])]
+    logs = [[(t + dt.timedelta(minutes=i), "ERROR", 0.1) for i in range(n)] + [(t, "INFO", 0.1)] for t, n in hours]
+    path = new_path(spark, "spikes")
+    logs.append([(START + dt.timedelta(hours=30), "INFO", 0.1)])
+    S.stream_spikes(S.stream_log_hours(land(spark, logs, "timestamp timestamp, level string, execution_time double")), path)
+    got = sorted((r.n_errors, round(r.mean_errors, 6)) for r in spark.read.parquet(f"{path}/alerts").collect())
+    assert got == [(9, round(13 / 3, 6)), (40, round(56 / 5, 6))]
 
 
 @pytest.mark.parametrize("layout", ["lines", "pretty"])

@@ -9,8 +9,7 @@ from tidemark.catalog.base import query, rounded
 from tidemark.catalog.indicators import REALTIME_SQL
 from tidemark.fixtures import bars30, logs, ticks
 from tidemark.operators import indicators as X
-from tidemark.operators.loganalysis import spike_hours
-from tidemark.session import new_path
+from tidemark.session import new_path, stage
 from tidemark.streaming import ticks as S
 
 TICK = "symbol string, ts timestamp, event_id bigint, price double, size bigint"
@@ -21,11 +20,16 @@ def wall(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols or ("ts",)})
 
 
+BATCHES = 5
+
+
 def landed(spark, df, name, schema, order="ts"):
-    """Write a table as files cut by time and read them as a stream."""
+    """Land a table as files one after the other, cut by time, and read them as a stream of a file each batch."""
     path = new_path(spark, name)
-    df.repartitionByRange(8, order).sortWithinPartitions(order).write.parquet(path)
-    return S.read_ticks(spark, path, schema)
+    cut = stage(df.repartitionByRange(BATCHES, order).withColumn("_part", F.spark_partition_id()), name)
+    for part in range(BATCHES):
+        cut.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return S.read_ticks(spark, path, schema, files_per_batch=1)
 
 
 def tick_stream(spark, sf):
@@ -60,10 +64,10 @@ def _(spark, sf):
     return wall(S.collect_stream(S.parse_ticks(S.read_messages(spark, path)), "parsed"))
 
 
-@query("valid_tick", "SELECT event_type AS symbol, count(*) AS n FROM events WHERE value > 0 AND event_id % 50 <> 0 GROUP BY 1")
+@query("valid_tick", "SELECT event_type AS symbol, ts, event_id, value AS price FROM events WHERE value > 0 AND event_id % 50 <> 0")
 def _(spark, sf):
     stream = tick_stream(spark, sf).withColumn("price", F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(F.col("price")))
-    return S.collect_stream(S.valid_tick(stream), "valid").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return wall(S.collect_stream(S.valid_tick(stream), "valid").select("symbol", "ts", "event_id", "price"))
 
 
 LATEST = "SELECT event_type AS symbol, max(ts) AS ts, last(event_id ORDER BY ts, event_id) AS event_id, last(value ORDER BY ts, event_id) AS price FROM events GROUP BY 1"
@@ -89,6 +93,23 @@ def _(spark, sf):
     return S.fresh_price(doubled, closes, F.lit(now))
 
 
+@query(
+    "stream_fresh_price",
+    """WITH m AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 minute', ts) AS b, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1, 2),
+       c AS (SELECT symbol, last(close ORDER BY b) * 2 AS close FROM m GROUP BY 1), now AS (SELECT max(ts) AS t FROM events),
+       l AS (SELECT event_type AS symbol, max(ts) AS ts, last(value ORDER BY ts, event_id) AS price FROM events GROUP BY 1)
+       SELECT symbol, CASE WHEN epoch_us(t) - epoch_us(ts) < 300000000 THEN price ELSE close END AS price, epoch_us(t) - epoch_us(ts) < 300000000 AS live FROM l JOIN c USING (symbol), now""",
+)
+def _(spark, sf):
+    """What the last batch of the stream leaves: live prices, or the close (doubled, to tell them apart)."""
+    path = new_path(spark, "fresh")
+    closes = bars30(spark, sf, 60).groupBy("symbol").agg((F.max_by("close", "ts") * 2).alias("close"))
+    S.stream_fresh_price(tick_stream(spark, sf), stage(closes, "closes"), path)
+    prices = spark.read.option("basePath", f"{path}/prices").parquet(f"{path}/prices")
+    last = prices.agg(F.max("batch")).first()[0]
+    return prices.filter(F.col("batch") == last).drop("batch")
+
+
 @query(
     "stream_bars",
     "SELECT * FROM bars30 WHERE ts + INTERVAL '30 minutes' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
@@ -109,41 +130,47 @@ def _(spark, sf):
 def _(spark, sf):
     history, features = new_path(spark, "history"), new_path(spark, "refreshed")
     S.append_and_refresh(bar_stream(spark, sf), history, features)
-    newest = S.newest_per_symbol(spark.read.parquet(features), "batch").drop("batch")
+    newest = S.newest_per_symbol(spark.read.option("basePath", features).parquet(features), "batch").drop("batch")
     return rounded(wall(newest), *X.REALTIME[:-1])
 
 
 @query(
     "fan_out",
-    """SELECT count(*) AS n, 'all' AS handler FROM events UNION ALL SELECT count(*), 'clicks' FROM events WHERE event_type = 'click'
-       UNION ALL SELECT 1, 'broken'""",
+    """SELECT symbol, event_id, handler FROM (SELECT event_type AS symbol, event_id FROM events), (VALUES ('all'), ('replayed')) h(handler)
+       UNION ALL SELECT event_type, event_id, 'clicks' FROM events WHERE event_type = 'click'""",
 )
 def _(spark, sf):
-    """Rows each handler wrote; the failing handler between them stops neither."""
-    first, second, failures = new_path(spark, "fan"), new_path(spark, "fan"), []
+    """Rows each handler wrote; one that fails stops neither of the others and gets its batches again."""
+    first, second, third, failed = (new_path(spark, name) for name in ("fan", "fan", "fan", "failed"))
 
     def broken(batch, number):
         raise RuntimeError("handler failed")
 
-    handlers = {
-        "all": lambda batch, number: batch.write.mode("append").parquet(first),
-        "broken": broken,
-        "clicks": lambda batch, number: batch.filter("symbol = 'click'").write.mode("append").parquet(second),
-    }
-    S.fan_out(tick_stream(spark, sf), handlers, failures)
-    count = F.count(F.lit(1)).alias("n")
-    everything = spark.read.schema(TICK).parquet(first).agg(count).withColumn("handler", F.lit("all"))
-    clicks = spark.read.schema(TICK).parquet(second).agg(count).withColumn("handler", F.lit("clicks"))
-    failed = spark.range(1).select(F.lit(len(failures)).cast("bigint").alias("n"), F.lit("broken").alias("handler"))
-    return everything.unionByName(clicks).unionByName(failed)
+    def writes(path, keep="true"):
+        return lambda batch, number: batch.filter(keep).write.mode("overwrite").parquet(S.batch_folder(path, number))
+
+    handlers = {"all": writes(first), "broken": broken, "clicks": writes(second, "symbol = 'click'")}
+    S.fan_out(tick_stream(spark, sf), handlers, failed)
+    S.replay(spark, failed, TICK, "broken", writes(third))
+    out = None
+    for path, name in ((first, "all"), (second, "clicks"), (third, "replayed")):
+        rows = spark.read.schema(TICK).parquet(path).select("symbol", "event_id", F.lit(name).alias("handler"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("stream_dedupe", "SELECT event_type AS symbol, ts, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 1")
+@query("stream_dedupe", "SELECT event_type AS symbol, ts, event_id, value AS price FROM events")
 def _(spark, sf):
-    doubled = ticks(spark, sf).withColumns({"ts": F.col("ts").cast("timestamp"), "copy": F.explode(F.array(F.lit(0), F.lit(1)))})
-    stream = landed(spark, doubled.drop("copy").select("symbol", "ts", "event_id", "price", "size"), "doubled", TICK)
-    single = S.collect_stream(S.stream_dedupe(stream), "single")
-    return wall(single.groupBy("symbol", "ts").agg(F.count(F.lit(1)).alias("n")))
+    """Each tick comes again with another price, at once or up to days later: the first arrival counts."""
+    first = ticks(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "size", F.col("ts").alias("at"))
+    again = first.withColumns({"price": F.col("price") + 1000, "at": F.col("at") + F.expr("make_dt_interval(event_id % 9, 0, 1, 0)")})
+    path = new_path(spark, "doubled")
+    cut = stage(first.unionByName(again).repartitionByRange(BATCHES, "at").withColumn("_part", F.spark_partition_id()), "doubled")
+    for part in range(BATCHES):  # within a file the order of arrival is that of its rows
+        cut.filter(F.col("_part") == part).coalesce(1).sortWithinPartitions("at").select("symbol", "ts", "event_id", "price", "size").write.mode("append").parquet(path)
+    stream = S.read_ticks(spark, path, TICK, files_per_batch=1)
+    single = S.collect_stream(S.stream_dedupe(stream, "60 days", ("symbol", "event_id")), "single")
+    return wall(single.select("symbol", "ts", "event_id", "price"))
 
 
 LOG = "timestamp timestamp, level string, execution_time double"
@@ -164,10 +191,21 @@ def _(spark, sf):
 
 @query(
     "stream_log_alerts",
-    f"""WITH {HOURS} SELECT hour, n_errors, R(m) AS mean_errors FROM closed, (SELECT avg(n_errors) AS m FROM closed WHERE n_errors > 0) WHERE n_errors > 2 * m""",
+    f"""WITH {HOURS}, c AS (SELECT *, sum(n_errors) OVER w / nullif(count(*) FILTER (WHERE n_errors > 0) OVER w, 0) AS m FROM closed WINDOW w AS (ORDER BY hour))
+        SELECT hour, n_errors, R(m) AS mean_errors FROM c WHERE n_errors > 1.2 * m""",
     ("logs",),
 )
 def _(spark, sf):
-    spikes = spike_hours(hours(spark, sf)).select("hour", "n_errors", "mean_errors")
-    return rounded(spikes, "mean_errors")
+    """Spikes found as their hours close, by the mean of the hours so far."""
+    rows = logs(spark, sf).select(F.col("timestamp").cast("timestamp").alias("timestamp"), "level", "execution_time")
+    path = new_path(spark, "spikes")
+    S.stream_spikes(S.stream_log_hours(landed(spark, rows, "logs", LOG, "timestamp")), path, 1.2)
+    alerts = spark.read.schema("hour timestamp, n_errors long, mean_errors double").parquet(f"{path}/alerts")
+    return rounded(wall(alerts.select("hour", "n_errors", "mean_errors"), "hour"), "mean_errors")
 
+
+@query("stream_slow_operations", "SELECT timestamp, level, R(execution_time) AS execution_time FROM logs WHERE execution_time > 1", ("logs",))
+def _(spark, sf):
+    rows = logs(spark, sf).select(F.col("timestamp").cast("timestamp").alias("timestamp"), "level", "execution_time")
+    stream = landed(spark, rows, "logs", LOG, "timestamp")
+    return rounded(wall(S.collect_stream(S.stream_slow_operations(stream, 1.0), "slow"), "timestamp"), "execution_time")

@@ -458,14 +458,15 @@ def realtime_window(n: Column) -> Column:
 REALTIME = ("rsi", "macd_hist", "atr", "ema_short", "volume_ma_ratio", "price_change", "market_state")
 
 
-def realtime_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
+def realtime_features(df: DataFrame, axis: Axis = BARS, length: DataFrame | None = None) -> DataFrame:
     """Features of the newest row of every series from its last rows with short windows.
 
-    Only the last 80 rows per series leave the map side, so the windows see a bounded group.
+    Only the last 80 rows per series leave the map side, so the windows see a bounded group. If ``df`` has only the tails
+    of the series, ``length`` (keys, n) says how long they are.
     """
     from tidemark.operators.keys import latest_n
 
-    counts = df.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("_n")) if length is None else length.withColumnRenamed("n", "_n")
     tail = latest_n(df.select(*axis.id, "high", "low", "close", "volume"), 80, axis).join(counts, list(axis.keys))
     rows = [F.col(c) for c in ("high", "low", "close", "volume")]
     bars = F.sort_array(F.collect_list(F.struct(*axis.order, *rows)))

@@ -74,15 +74,20 @@ def latest_price(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(newest.alias("_t")).select("symbol", "_t.ts", "_t.event_id", "_t.price")
 
 
+def batch_folder(path: str, number: int) -> str:
+    """Where a batch's rows go: a batch that is run again writes the same folder again."""
+    return f"{path}/batch={number}"
+
+
 def latest_price_table(ticks: DataFrame) -> DataFrame:
-    """Run ``latest_price`` as a stream: each batch appends the symbols it changed, the newest row of each
+    """Run ``latest_price`` as a stream: each batch writes the symbols it changed, the newest row of each
     symbol counts."""
     spark = ticks.sparkSession
     path = new_path(spark, "latest")
     states = latest_price(ticks)
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(batch_folder(path, number))
 
     each_batch(states, handle, "latest", mode="update")
     return latest_price(spark.read.schema(states.schema).parquet(path))
@@ -97,6 +102,24 @@ def fresh_price(latest: DataFrame, closes: DataFrame, now: Column, max_age: floa
     return joined.select("symbol", F.coalesce("_live", "close").alias("price"), F.col("_live").isNotNull().alias("live"))
 
 
+def stream_fresh_price(ticks: DataFrame, closes: DataFrame, path: str, now: Column | None = None, max_age: float = 300.0) -> None:
+    """After each batch the ``fresh_price`` of all symbols seen so far, or in ``closes``, below ``path``; ``now`` is the
+    newest stamp seen unless given."""
+    spark, latest = ticks.sparkSession, f"{path}/latest"
+    states = latest_price(ticks)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(latest, number))
+        known = latest_price(spark.read.schema(states.schema).parquet(latest))
+        newest = known.agg(F.max("ts").alias("_now"))
+        at = F.lit(known.agg(F.max("ts")).first()[0]) if now is None else now
+        if now is None and newest.first()[0] is None:
+            return
+        fresh_price(known, closes, at, max_age).write.mode("overwrite").parquet(batch_folder(f"{path}/prices", number))
+
+    each_batch(states, handle, "fresh", mode="update")
+
+
 def stream_bars(ticks: DataFrame, freq: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Bars per closed window; ticks later than ``delay`` are dropped, open windows wait."""
     order = F.struct("ts", "event_id")
@@ -117,15 +140,23 @@ def stream_dedupe(ticks: DataFrame, delay: str = "1 hour", keys: tuple[str, ...]
 
 BUFFER = 80
 CHUNK = 4096
+#: Event time without a bar after which a symbol's state goes.
+KEEP_MS = 400 * 86_400_000
 _FIELDS = {"ts": "timestamp", "high": "double", "low": "double", "close": "double", "volume": "bigint"}
 _ARRAYS = ", ".join(f"{n} array<{t}>" for n, t in _FIELDS.items())
 
 
 def _buffer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last 79 bars of a symbol; emit them with the arriving bars, one row per 4096 of these."""
+    """Keep the last 79 bars of a symbol; emit them with the arriving bars, one row per 4096 of these. Bars not newer than
+    the newest one kept are late and dropped; the state of a symbol that is silent too long goes."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     seen, *tail = state.get if state.exists else (0, *([] for _ in _FIELDS))
     tail = [list(c) for c in tail]
-    arrived = pd.concat(list(frames)).sort_values("ts")
+    arrived = pd.concat(list(frames)).sort_values("ts", kind="stable").drop_duplicates("ts")
+    if tail[0]:
+        arrived = arrived[arrived["ts"] > tail[0][-1]]
     out = []
     for start in range(0, len(arrived), CHUNK):
         chunk = arrived.iloc[start : start + CHUNK]
@@ -135,18 +166,21 @@ def _buffer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         seen += len(chunk)
         tail = [c[-(BUFFER - 1) :] for c in columns]
     state.update((seen, *tail))
+    if tail[0]:
+        state.setTimeoutTimestamp(max(int(tail[0][-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP_MS)
     yield pd.DataFrame(out, columns=["symbol", "seen", "known", *_FIELDS])
 
 
-def stream_features(bars: DataFrame) -> DataFrame:
+def stream_features(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Realtime features for every arriving bar from at most 79 bars of state per symbol.
 
     Python only keeps the buffer and hands it over once per batch and symbol (ticks are reduced to bars
-    before); the features are the same expressions as in batch. Bars must arrive in order per symbol.
+    before); the features are the same expressions as in batch. A batch holds what its files hold of a symbol
+    (``files_per_batch`` bounds it), in any order; bars behind the watermark or older than those seen are dropped.
     """
-    rows = bars.select("symbol", *[F.col(n).cast(t) for n, t in _FIELDS.items()])
+    rows = bars.select("symbol", *[F.col(n).cast(t) for n, t in _FIELDS.items()]).withWatermark("ts", delay)
     buffered = rows.groupBy("symbol").applyInPandasWithState(
-        _buffer, f"symbol string, seen bigint, known int, {_ARRAYS}", f"seen bigint, {_ARRAYS}", "append", GroupStateTimeout.NoTimeout
+        _buffer, f"symbol string, seen bigint, known int, {_ARRAYS}", f"seen bigint, {_ARRAYS}", "append", GroupStateTimeout.EventTimeTimeout
     )
     whole = buffered.select("symbol", "seen", "known", F.arrays_zip(*_FIELDS).alias("_whole"))
 
@@ -164,21 +198,34 @@ def stream_features(bars: DataFrame) -> DataFrame:
 
 def append_and_refresh(bars: DataFrame, history: str, features: str) -> None:
     """Per batch: add the new bars to ``history``, then write the features of the newest bar of each symbol
-    that got any, computed from its last rows only."""
+    that got any. Read are the batch and the last 80 bars of each symbol as the batch before left them, never the history.
+    """
+    tails = f"{history}-tails"
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(history)
-        touched = batch.select("symbol").distinct()
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(history)
-        # The newest rows are found before the shuffle; symbols without news are not read further.
-        fresh = realtime_features(stored.join(touched, ["symbol"], "left_semi"))
-        fresh.withColumn("batch", F.lit(number)).write.mode("append").parquet(features)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(batch_folder(history, number))
+        new = spark.read.schema(batch.schema).parquet(batch_folder(history, number))
+        known = new if number == 0 else new.unionByName(spark.read.schema(batch.schema).parquet(batch_folder(tails, number - 1)))
+        nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+        newest = known.withColumn("_nth", nth).filter(F.col("_nth") <= BUFFER).drop("_nth")
+        newest.write.mode("overwrite").parquet(batch_folder(tails, number))
+        tail = spark.read.schema(batch.schema).parquet(batch_folder(tails, number))
+        # How many bars a symbol has had decides how many of the last ones count.
+        counts = new.groupBy("symbol").agg(F.count("*").alias("n"))
+        if number:
+            before = spark.read.schema("symbol string, n long").parquet(batch_folder(f"{tails}-counts", number - 1))
+            counts = counts.unionByName(before).groupBy("symbol").agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(batch_folder(f"{tails}-counts", number))
+        fresh = realtime_features(tail.join(new.select("symbol").distinct(), ["symbol"], "left_semi"), length=spark.read.schema("symbol string, n long").parquet(batch_folder(f"{tails}-counts", number)))
+        fresh.write.mode("overwrite").parquet(batch_folder(features, number))
 
     each_batch(bars, handle, "refresh")
 
 
-def fan_out(ticks: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], None]], failures: list | None = None) -> None:
-    """Give each batch to every handler; one that fails is noted and does not keep the others from running."""
+def fan_out(ticks: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], None]], failed: str) -> None:
+    """Give each batch to every handler; one that fails doesn't keep the others from running, and its batch is written
+    below ``failed`` with the error, for ``replay``."""
 
     def handle(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
@@ -187,14 +234,30 @@ def fan_out(ticks: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int],
                 try:
                     call(kept, number)
                 except Exception as error:  # noqa: BLE001 - a handler's failure is its own
-                    if failures is not None:
-                        failures.append((number, name, type(error).__name__))
+                    noted = kept.withColumns({"handler": F.lit(name), "error": F.lit(type(error).__name__)})
+                    noted.write.mode("overwrite").parquet(f"{failed}/handler={name}/batch={number}")
         finally:
             kept.unpersist()
 
     each_batch(ticks, handle, "fan-out")
 
 
+def failed_rows(spark: SparkSession, failed: str, schema: str) -> DataFrame:
+    """Rows of failed batches with handler, error and batch; none if nothing has failed."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(failed)
+    whole = f"{schema}, error string, handler string, batch int"
+    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", failed).parquet(failed)
+
+
+def replay(spark: SparkSession, failed: str, schema: str, name: str, handler: Callable[[DataFrame, int], None]) -> None:
+    """Give a handler its failed batches again, in order."""
+    rows = failed_rows(spark, failed, schema).filter(F.col("handler") == name)
+    for number in sorted(r["batch"] for r in rows.select("batch").distinct().collect()):
+        handler(rows.filter(F.col("batch") == number).drop("handler", "error", "batch"), number)
+
+
 def stream_log_hours(logs: DataFrame, delay: str = "1 hour", slow: float = 1.0) -> DataFrame:
     """Errors, slow operations and longest time per closed hour."""
     hours = logs.withWatermark("timestamp", delay).groupBy(F.window("timestamp", "1 hour").alias("_w")).agg(
@@ -205,6 +268,33 @@ def stream_log_hours(logs: DataFrame, delay: str = "1 hour", slow: float = 1.0)
     return hours.select(F.col("_w.start").alias("hour"), "n_errors", "n_slow", "max_execution_time")
 
 
+def stream_slow_operations(logs: DataFrame, limit: float) -> DataFrame:
+    """Operations slower than ``limit`` seconds, as they arrive."""
+    return logs.filter(F.col("execution_time") > limit)
+
+
+def stream_spikes(hours: DataFrame, path: str, factor: float = 2.0) -> None:
+    """As hours close (``stream_log_hours``): those with over ``factor`` times the mean of the hours with errors up to and with
+    them, below ``path``/alerts. A batch carries sum and number of these hours on; hours must close in order."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "total long, n long"
+        before = (0, 0) if number == 0 else tuple(spark.read.schema(schema).parquet(batch_folder(f"{path}/carry", number - 1)).first())
+        # A batch closes a few hours: one row each.
+        upto = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum("n_errors").over(upto) + F.lit(before[0])
+        n = F.sum((F.col("n_errors") > 0).cast("long")).over(upto) + F.lit(before[1])
+        marked = batch.select("hour", "n_errors", (total / F.nullif(n, F.lit(0))).alias("mean_errors"))
+        marked.filter(F.col("n_errors") > factor * F.col("mean_errors")).write.mode("overwrite").parquet(batch_folder(f"{path}/alerts", number))
+        more = batch.agg(
+            (F.coalesce(F.sum("n_errors"), F.lit(0)) + before[0]).cast("long").alias("total"), (F.count_if(F.col("n_errors") > 0) + before[1]).cast("long").alias("n")
+        )
+        more.write.mode("overwrite").parquet(batch_folder(f"{path}/carry", number))
+
+    each_batch(hours, handle, "spikes")
+
+
 def newest_per_symbol(df: DataFrame, order: str = "seen") -> DataFrame:
     """The last emitted row of each symbol."""
     over = Window.partitionBy("symbol").orderBy(F.col(order).desc())
