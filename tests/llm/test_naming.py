@@ -68,3 +68,12 @@ def test_a_copy_in_a_real_table(spark, sf):
     got = QUERIES["op1_exact_dedup"](spark, sf)
     assert found(got) == brute(rows)
     assert got.filter(F.col("kept")).count() == docs.select(naming.normalised(F.col("text"))).distinct().count()
+
+
+def test_hash_bits_never_stand_for_texts(spark, monkeypatch):
+    monkeypatch.setattr(naming.F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="same 128 bits"):
+        naming.exact_groups(docs).collect()
+    same = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    assert {r.group_size for r in naming.exact_groups(same).collect()} == {2}

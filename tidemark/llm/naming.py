@@ -2,8 +2,8 @@
 
 A text is cut into blocks of fixed size. All blocks are sorted, and equal blocks get one integer, their rank
 among the distinct ones. Then adjacent pairs of integers are sorted and named the same way, level by level, until
-one integer is left of each document. Equal names at a level mean equal texts: nothing is hashed, so nothing
-can collide. Sorting cuts the order into ranges of rows, not of keys: a block that a third of all rows have is
+one integer is left of each document. Equal names at a level mean equal texts: blocks are told apart by comparing
+them, not by a digest, so nothing can collide. Sorting cuts the order into ranges of rows, not of keys: a block that a third of all rows have is
 spread over many tasks, and its name carries over from range to range.
 """
 
@@ -32,13 +32,18 @@ def normalised(text) -> F.Column:
 def named(rows: DataFrame, keys: list[str], place: list[str], keep: list[str]) -> DataFrame:
     """Replace ``keys`` (not null) by ``name``, the rank of their values among all distinct ones, from 0.
 
-    ``place`` tells rows with equal keys apart, so that cuts of the sorted order may fall between them.
+    ``place`` tells rows with equal keys apart, so that cuts of the sorted order may fall between them. Texts are
+    ordered by 128 bits of hash, then by themselves: the driver, which draws the cuts from a sample, gets numbers only.
+    Names come from comparing the texts; should two that differ share all bits, the job ends rather than mix them.
     """
-    ranged = rows.repartitionByRange(*keys, *place).sortWithinPartitions(*keys, *place)
+    long_keys = [k for k in keys if isinstance(rows.schema[k].dataType, T.StringType)]
+    bits = {f"_bits_{i}_{k}": F.xxhash64(F.lit(i), F.col(k)) for k in long_keys for i in range(2)}
+    ahead = [*bits, *[k for k in keys if k not in long_keys]]
+    ranged = rows.withColumns(bits).repartitionByRange(*ahead, *place).sortWithinPartitions(*ahead, *long_keys, *place)
     fields = [rows.schema[c] for c in keep]
     fields += [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
     schema = T.StructType([*fields, *[T.StructField(f"edge_{k}", rows.schema[k].dataType) for k in keys]])
-    numbered = stage(ranged.mapInArrow(_ranker(keys, keep), schema), "names")
+    numbered = stage(ranged.mapInArrow(_ranker(keys, keep, list(bits)), schema), "names")
 
     # A row or two of each task: its first and last key and how many distinct ones it has.
     edge = [f"edge_{k}" for k in keys]
@@ -56,24 +61,33 @@ def named(rows: DataFrame, keys: list[str], place: list[str], keep: list[str]) -
     return out.select(*keep, (F.col("offset") + F.col("rank")).alias("name"))
 
 
-def _ranker(keys: list[str], keep: list[str]):
+def _ranker(keys: list[str], keep: list[str], bits: list[str]):
     """Rank within the sorted rows of one task; its first and last row also carry their keys."""
 
+    def changes(columns: list[pa.Array], last: list | None) -> pa.Array:
+        """Whether a row differs from the one before it."""
+        first = pa.array([[c[0].as_py() for c in columns] != last], pa.bool_())
+        if len(columns[0]) == 1:
+            return first
+        differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in columns]
+        rest = differs[0]
+        for d in differs[1:]:
+            rest = pc.or_(rest, d)
+        return pa.concat_arrays([first, rest])
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last, at, held = None, -1, None
+        last, last_bits, at, held = None, None, -1, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(k) for k in keys]
-            first = [c[0].as_py() for c in columns]
-            changed = pa.array([first != last], pa.bool_())
-            if batch.num_rows > 1:
-                differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in columns]
-                rest = differs[0]
-                for d in differs[1:]:
-                    rest = pc.or_(rest, d)
-                changed = pa.concat_arrays([changed, rest])
+            changed = changes(columns, last)
+            if bits:
+                hashed = [batch.column(k) for k in bits]
+                if pc.any(pc.and_not(changed, changes(hashed, last_bits))).as_py():
+                    raise ValueError("two different blocks have the same 128 bits of hash")
+                last_bits = [c[-1].as_py() for c in hashed]
             ranks = pc.add(pc.cumulative_sum(pc.cast(changed, pa.int64())), at)
             at = ranks[-1].as_py()
             marks = [False] * batch.num_rows
