@@ -43,9 +43,8 @@ AXES = [
 @pytest.fixture(params=range(len(AXES)))
 def axis(request, monkeypatch):
     # Small limits, so that the sketch cuts even these series.
-    monkeypatch.setattr(parts, "WHOLE", 20)
     monkeypatch.setattr(parts, "FAN", 3)
-    return AXES[request.param]
+    return AXES[request.param].with_(whole=20)
 
 
 def same(a, b, cols):
@@ -118,11 +117,10 @@ def test_hot_series_is_spread_over_blocks(df):
 
 
 def test_sketched_cells_cut_a_burst(df, monkeypatch):
-    monkeypatch.setattr(parts, "WHOLE", 20)
     monkeypatch.setattr(parts, "FAN", 3)
     # Bursts of one stamp stay together, everything else is cut evenly.
     spread = df.withColumn("ts", F.expr("ts + make_interval(0,0,0,0,0,0,id)")).filter("symbol = 'hot'")
-    cells = Axis(ties=("id",), cell=None).placed(spread).groupBy("_cell").count().toPandas()
+    cells = Axis(ties=("id",), cell=None, whole=20).placed(spread).groupBy("_cell").count().toPandas()
     assert len(cells) >= 20 and cells["count"].max() <= 3 * 200 / 27
 
 

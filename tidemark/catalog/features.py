@@ -112,3 +112,30 @@ def _(spark, sf):
 def _(spark, sf):
     return rounded(S.low_variance_columns(wide(spark, sf), WIDE_COLUMNS), "std", digits=8)
 
+
+@query(
+    "lasso_one_column",
+    """WITH n AS (SELECT symbol, ts, open, high, low, lead(close) OVER (PARTITION BY symbol ORDER BY ts) - close AS y FROM bars30),
+       k AS (SELECT * FROM n WHERE y IS NOT NULL), l AS (SELECT 'open' AS feature, open AS x, y FROM k UNION ALL SELECT 'high', high, y FROM k UNION ALL SELECT 'low', low, y FROM k)
+       SELECT feature, R4(sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) - 500, 0) / var_pop(x)) AS coefficient FROM l GROUP BY 1""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """With one column the L1 coefficient is the covariance, shrunk by the penalty, over the variance."""
+    rows = stage(bars30(spark, sf), "bars")
+    found = [S.lasso_coefficients(rows, [c], 500.0)[0] for c in ("open", "high", "low")]
+    return rounded(spark.createDataFrame(found, "feature string, coefficient double"), "coefficient", digits=4)
+
+
+@query(
+    "protect",
+    """SELECT 'close' AS name, count(close) AS known, TRUE AS kept FROM bars30 UNION ALL SELECT 'volume', count(volume), TRUE FROM bars30 UNION ALL SELECT 'market_state', count(*), TRUE FROM bars30
+       UNION ALL SELECT 'poly_close', count(close), FALSE FROM bars30 UNION ALL SELECT 'closeness', count(*), FALSE FROM bars30""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Which columns of a table the patterns protect from selection."""
+    rows = bars30(spark, sf).select("close", "volume", F.lit(1).alias("market_state"), F.col("close").alias("poly_close"), F.lit(1).alias("closeness"))
+    kept = set(S.protect(rows.columns))
+    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("known"), F.lit(c in kept).alias("kept")) for c in rows.columns])))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import query, rounded
 from tidemark.fixtures import TICKS, bars30, bars_user, dirty_bars, table, ticks
 from tidemark.operators import keys as K
+from tidemark.plans.quantiles import exact_quantiles
+from tidemark.plans.series import highest, row_count, running, total
 
 HALF_HOUR = 1800
 
@@ -203,3 +205,27 @@ def _(spark, sf):
 @query("align_head", _PREDICTIONS.format(end="a"), ("bars30",))
 def _(spark, sf):
     return K.align_head(bars30(spark, sf).select("symbol", "ts", "close"), _predictions(spark, sf))
+
+
+# Series beyond the row limits up to which they stay whole; the limits are parameters.
+
+
+@query(
+    "running_in_parts",
+    """SELECT symbol, event_id, R(sum(price) OVER w) AS total, max(price) OVER w AS highest, count(*) OVER w AS rn
+       FROM (SELECT event_type AS symbol, event_id, ts, value AS price FROM events) WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)""",
+)
+def _(spark, sf):
+    rows = ticks(spark, sf)
+    parts = TICKS.with_(whole=100)
+    out = running(rows, parts, total=total("price"), highest=highest("price"), rn=row_count())
+    return rounded(out.select("symbol", "event_id", "total", "highest", "rn"), "total")
+
+
+@query(
+    "quantiles_in_brackets",
+    """SELECT event_type AS symbol, R(quantile_cont(value, 0.1)) AS q10, R(quantile_cont(value, 0.5)) AS q50, R(quantile_cont(value, 0.99)) AS q99 FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    found = exact_quantiles(ticks(spark, sf), ["price"], [0.1, 0.5, 0.99], accuracy=50)
+    return rounded(found.select("symbol", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((10, 50, 99))]), "q10", "q50", "q99")

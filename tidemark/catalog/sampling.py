@@ -249,7 +249,7 @@ def _(spark, sf):
 def _(spark, sf):
     id = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
     items = table(spark, sf, "lineitem").select("l_linenumber", "l_orderkey", id.alias("id"))
-    return P.undersample(items, "id", "l_linenumber", cell=1e12).drop("id")
+    return P.undersample(items, "id", "l_linenumber").drop("id")
 
 
 @query("smote")
@@ -257,7 +257,24 @@ def _(spark, sf):
     """Synthetic bars that bring every regime to the size of the largest."""
     df = labeled(spark, sf).withColumn("id", F.concat_ws("|", "symbol", "ts"))
     ids = df.select("market_state", F.xxhash64("id").alias("id"), "close", F.col("volume").cast("double").alias("volume"))
-    return P.smote(ids, ["close", "volume"], "id", "market_state", cell=2.0**54)
+    return P.smote(ids, ["close", "volume"], "id", "market_state")
+
+
+@query(
+    "smote_sizes",
+    f"""WITH {LABELED}, c AS (SELECT market_state, count(*) AS n FROM lab GROUP BY 1), m AS (SELECT max(n) AS most FROM c)
+        SELECT market_state, n, most - n AS made, TRUE AS on_segment FROM c, m WHERE n < most""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """How many rows are made of each regime, and whether each stays within the range of its class."""
+    df = stage(labeled(spark, sf).withColumn("id", F.xxhash64(F.concat_ws("|", "symbol", "ts"))), "labeled")
+    ids = df.select("market_state", "id", "close", F.col("volume").cast("double").alias("volume"))
+    made = P.smote(ids, ["close", "volume"], "id", "market_state")
+    spans = ids.groupBy("market_state").agg(F.count("*").alias("n"), F.min("close").alias("lo"), F.max("close").alias("hi"), F.min("volume").alias("vlo"), F.max("volume").alias("vhi"))
+    held = made.join(spans, "market_state").groupBy("market_state", "n")
+    within = F.col("close").between(F.col("lo"), F.col("hi")) & F.col("volume").between(F.col("vlo"), F.col("vhi"))
+    return held.agg(F.count("*").alias("made"), F.bool_and(within).alias("on_segment"))
 
 
 @query(

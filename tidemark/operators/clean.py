@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.keys import OHLCV, PRICES, fill_time_gaps, resample_ohlcv
 from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import quantile_columns
-from tidemark.plans.series import BARS, Axis, Halo, highest, latest, numbered, running, upcoming
+from tidemark.plans.series import BARS, Axis, Halo, latest, running, surrounded, upcoming
 from tidemark.session import stage
 
 
@@ -26,14 +26,10 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) ->
     Rows after the last known value repeat it; rows before the first stay null.
     """
     cols = list(cols)
-    prefixes = {}
-    for c in cols:
-        value, at = F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col("_rn"))
-        prefixes |= {f"_v0_{c}": latest(value), f"_v1_{c}": upcoming(value), f"_at0_{c}": highest(at), f"_at1_{c}": upcoming(at)}
-    around = running(numbered(df, axis, "_rn"), axis, **prefixes)
+    around = surrounded(df, axis, cols)
     filled = {}
     for c in cols:
-        v0, v1, at0, at1 = (F.col(f"_{n}_{c}") for n in ("v0", "v1", "at0", "at1"))
+        v0, v1, at0, at1 = (F.col(f"_{n}_{c}.{f}") for f in ("value", "at") for n in ("prev", "next"))
         filled[c] = (
             F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
             .when(at1.isNull(), v0)
@@ -65,7 +61,7 @@ def ffill_bfill(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFr
 
 
 def with_stats(df: DataFrame, stats: DataFrame, axis: Axis) -> DataFrame:
-    return join_stats(df, stats, axis.keys, [axis.ts])
+    return join_stats(df, stats, axis.keys)
 
 
 def median_fill(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) -> DataFrame:

@@ -56,10 +56,10 @@ def evaluate(df: DataFrame, truth: str = "y_true", predicted: str = "y_pred") ->
     )
 
 
-def auc_by_class(df: DataFrame, scores: Sequence[str], truth: str = "y_true", cells: int = 4096) -> DataFrame:
+def auc_by_class(df: DataFrame, scores: Sequence[str], truth: str = "y_true") -> DataFrame:
     """One-vs-rest area under the curve per class from rank sums, equal scores sharing their mean rank.
 
-    Scores lie in 0..1; they are counted per distinct value and ranked in ``cells`` parts per class.
+    Scores are counted per distinct value and ranked in parts of like numbers of values.
     """
     entries = [
         F.struct(F.lit(i).alias("label"), F.col(c).cast("double").alias("score"), (F.col(truth) == i).cast("bigint").alias("hit"))
@@ -67,7 +67,7 @@ def auc_by_class(df: DataFrame, scores: Sequence[str], truth: str = "y_true", ce
     ]
     long = df.select(F.inline(F.array(*entries)))
     counts = long.groupBy("label", "score").agg(F.count(F.lit(1)).alias("c"), F.sum("hit").alias("hits"))
-    ranked = running(counts, Axis(keys=("label",), ts="score", cell=1.0 / cells), _upto=total("c"))
+    ranked = running(counts, Axis(keys=("label",), ts="score", cell=None), _upto=total("c"))
     mean_rank = F.col("_upto") - F.col("c") + (F.col("c") + 1) / 2
     sums = ranked.groupBy("label").agg(
         F.sum(F.col("hits") * mean_rank).alias("_ranks"), F.sum("hits").alias("_p"), F.sum(F.col("c") - F.col("hits")).alias("_n")

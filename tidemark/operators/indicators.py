@@ -132,7 +132,7 @@ def volatility_level_asof(df: DataFrame, axis: Axis = BARS) -> DataFrame:
 def _leveled(df: DataFrame, axis: Axis) -> DataFrame:
     """Numbered rows with the level of their series; numbering first keeps the level out of its count pass."""
     levels = volatility_level(df, axis).drop("volatility")
-    return join_stats(numbered(df, axis, "_rn", size="_rows"), levels, axis.keys, [axis.ts])
+    return join_stats(numbered(df, axis, "_rn", size="_rows"), levels, axis.keys)
 
 
 def macd_dynamic(
@@ -359,7 +359,7 @@ def rolling_volatility(df: DataFrame, n: int, min_rows: int, whole: int = 0, nam
     out = h.settle(frame.withColumn(name, spread), *([] if whole else ["_ret"]))
     if whole:
         counts = out.groupBy(*axis.keys).agg(F.count("_ret").alias("_n"))
-        out = join_stats(out, counts, axis.keys, [axis.ts]).withColumn(name, F.when(F.col("_n") >= whole, F.col(name))).drop("_ret", "_n")
+        out = join_stats(out, counts, axis.keys).withColumn(name, F.when(F.col("_n") >= whole, F.col(name))).drop("_ret", "_n")
     return out
 
 
@@ -422,7 +422,7 @@ def base_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     """
     prefixes = {"_rn": row_count(), "_pv": total(F.col("close") * F.col("volume")), "_v": total("volume")}
     rows = running(df, axis, size="_rows", **prefixes)
-    rows = join_stats(rows, volatility_level(df, axis).drop("volatility"), axis.keys, [axis.ts])
+    rows = join_stats(rows, volatility_level(df, axis).drop("volatility"), axis.keys)
     spans = [span_alpha(s) for p in MACD_PARAMS.values() for s in p] + [span_alpha(10), 1 / 14, *_state_alphas()]
     back = max(
         max(reach(span_alpha(max(p[:2]))) + reach(span_alpha(p[2])) for p in MACD_PARAMS.values()),

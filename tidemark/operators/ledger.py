@@ -21,7 +21,7 @@ def sided(fills: DataFrame) -> DataFrame:
     )
 
 
-def lot_segments(fills: DataFrame, axis: Axis = FILLS, cell: float = 65536) -> DataFrame:
+def lot_segments(fills: DataFrame, axis: Axis = FILLS, cell: float | None = None) -> DataFrame:
     """Pieces of opening fills with the closing fill that takes them (null: still open).
 
     Laid out along the cumulative number of shares of a side, opening fills are intervals, and so are closing

@@ -159,7 +159,7 @@ def step_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     lengths = steps(df.select(*axis.id), axis).filter("step is not null")
     counts = lengths.groupBy(*axis.keys, "step").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*axis.keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "step"))["step"].alias("modal_step"))
-    joined = join_stats(counts, best, axis.keys, ["step"])
+    joined = join_stats(counts, best, axis.keys)
     return joined.groupBy(*axis.keys).agg(
         F.sum("n").alias("n_steps"),
         F.max("modal_step").alias("modal_step"),
@@ -399,7 +399,7 @@ def gate_status(report: DataFrame, threshold: str = "warning") -> DataFrame:
 def quality_gate(df: DataFrame, report: DataFrame, threshold: str = "warning", axis: Axis = BARS) -> DataFrame:
     """Rows of the series that pass."""
     passing = gate_status(report, threshold).filter("passed").select(*axis.keys)
-    return join_stats(df, passing, axis.keys, [axis.ts], "left_semi")
+    return join_stats(df, passing, axis.keys, "left_semi")
 
 
 def flow_report(raw: DataFrame, cleaned: DataFrame, axis: Axis = BARS) -> DataFrame:

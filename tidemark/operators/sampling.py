@@ -216,7 +216,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     # A class may hold most rows; its one weight goes to many tasks.
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return join_stats(df, weights, [label], [c for c in df.columns if c != label][:2], "inner")
+    return join_stats(df, weights, [label], "inner")
 
 
 def imbalance_profile(df: DataFrame, label: str = "label", limit: float = 0.3) -> DataFrame:
@@ -226,10 +226,10 @@ def imbalance_profile(df: DataFrame, label: str = "label", limit: float = 0.3) -
     return sizes.withColumns({"ratio": ratio, "strategy": F.when(ratio < limit, "oversample").otherwise("weights")})
 
 
-def undersample(df: DataFrame, id: str, label: str = "label", cell: float = 100_000) -> DataFrame:
+def undersample(df: DataFrame, id: str, label: str = "label", cell: float | None = None) -> DataFrame:
     """The first rows by ``id`` of every class, as many as the smallest class has.
 
-    Ids are numbered per class in cells, so a large class is not ranked in one task.
+    Ids are numbered per class in cells of like row counts, so a large class is not ranked in one task.
     """
     smallest = class_counts(df, label).agg(F.min("n").alias("_smallest"))
     ranked = numbered(df, Axis(keys=(label,), ts=id, cell=cell), "_nth")
@@ -241,7 +241,7 @@ def _uniform(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def smote(df: DataFrame, cols: Sequence[str], id: str, label: str = "label", k: int = 5, cell: float = 100_000) -> DataFrame:
+def smote(df: DataFrame, cols: Sequence[str], id: str, label: str = "label", k: int = 5, cell: float | None = None) -> DataFrame:
     """Synthetic rows (label, base id, copy, cols) that bring every class to the size of the largest.
 
     Each lies on the segment from a row to one of its ``k`` nearest rows of the same class. A class of n
@@ -252,7 +252,7 @@ def smote(df: DataFrame, cols: Sequence[str], id: str, label: str = "label", k:
     counts = class_counts(rows, label)
     largest = counts.agg(F.max("n").alias("_largest"))
     lacking = counts.crossJoin(F.broadcast(largest)).filter(F.col("n") < F.col("_largest")).select(label, "n", (F.col("_largest") - F.col("n")).alias("_lack"))
-    minority = join_stats(rows, lacking, [label], [id], "inner")
+    minority = join_stats(rows, lacking, [label], "inner")
     ranked = numbered(minority, Axis(keys=(label,), ts=id, cell=cell), "_nth")
     extra = (F.col("_nth") <= F.col("_lack") % F.col("n")).cast("bigint")
     copies = F.floor(F.col("_lack") / F.col("n")) + extra

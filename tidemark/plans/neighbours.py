@@ -2,7 +2,7 @@
 
 Rows are ordered along one coordinate (the pivot). The 2(k+1) rows next to a query in that order give an upper
 bound on the distance to its k-th neighbour; any closer row must lie within that bound on the pivot. A second
-join, on blocks of 256 consecutive rows, looks at exactly those rows.
+join, on blocks of 256 consecutive rows, looks at exactly those rows. The pivot is the coordinate with the most values.
 """
 
 from __future__ import annotations
@@ -38,15 +38,22 @@ def nearest(queries: DataFrame, base: DataFrame, cols: Sequence[str], k: int, by
     """
     by, cols = list(by), list(cols)
     base = base.select(*by, id, *[F.col(c).cast("double") for c in cols]).na.drop(subset=cols)
+    # Of base rows at the same point only the first k + 1 by id can be among the k nearest of any query.
+    same = Window.partitionBy(*by, *cols).orderBy(id)
+    base = base.withColumn("_nth", F.row_number().over(same)).filter(F.col("_nth") <= k + 1).drop("_nth")
     queries = queries.select(*by, id, *[F.col(c).cast("double") for c in cols])
-    # The pivot of a query is the first coordinate it has; base rows stand once per pivot in use.
-    pivot = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(cols)])
+    # The pivot of a query is the coordinate it has with the most values in its group; base rows stand once per pivot in use.
+    values = base.groupBy(*by).agg(*[F.approx_count_distinct(c).alias(f"_values_{c}") for c in cols])
+    ranked = F.sort_array(F.array(*[F.struct((-F.col(f"_values_{c}")).alias("n"), F.lit(i).alias("i")) for i, c in enumerate(cols)]))
+    order = values.select(*by, F.transform(ranked, lambda x: x["i"]).alias("_order"))
+    has = F.array(*[F.col(c).isNotNull() for c in cols])
+    queries = join_stats(queries, order, by, "inner").withColumn("_p", F.get(F.filter("_order", lambda i: F.get(has, i)), F.lit(0)))
+    queries = queries.filter("_p is not null").drop("_order")
     value = F.get(F.array(*cols), F.col("_p"))
-    queries = queries.withColumn("_p", pivot).filter("_p is not null")
     used = queries.select(*by, "_p").distinct()
     base = base.withColumn("_p", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
     group = [*by, "_p"]
-    base = join_stats(base, used, group, [id], "left_semi").withColumn("_x", value)
+    base = join_stats(base, used, group, "left_semi").withColumn("_x", value)
     queries = queries.withColumn("_x", value)
     return _nearest(queries, base, cols, k, group, id).drop("_p")
 

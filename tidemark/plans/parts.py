@@ -7,44 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 FAN = 16
+#: Rows up to which a series stays in one part.
 WHOLE = 200_000
 
 
-def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
+def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Bring one row per key to all rows of the key.
 
-    Rows of a key are split into 32 parts by a hash of ``spread`` and every statistics row is copied to each
-    part, so a key with a large share of the rows is joined by many tasks. When the statistics are small,
-    Spark sends them to every task instead; their size is measured at run time.
+    Small statistics are sent to all tasks, by their size at run time. Else both sides are shuffled by key, and Spark splits
+    the rows of a key that is hot among many tasks and copies its one statistics row to these (``prepare`` sees to that).
     """
-    keys = list(keys)
     if not keys:
         # Without keys the statistics are one row at most.
         return rows.join(F.broadcast(stats), F.lit(True), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(stats, list(keys), how)
 
 
-def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], spread: Sequence[str], name: str = "_part") -> DataFrame:
+def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], name: str = "_part", whole: int = WHOLE) -> DataFrame:
     """Append ``name`` 0..4095, growing with ``value``: cuts of equal row counts, whatever the distribution.
 
-    Groups up to 200,000 rows stay whole. Others are cut at quantiles from a mergeable sketch; a row finds
+    Groups up to ``whole`` rows stay whole. Others are cut at quantiles from a mergeable sketch; a row finds
     its part in three steps of 15 comparisons, among every 256th cut, every 16th in between, and the rest.
     """
     by = list(by)
     n = FAN * FAN * FAN
     valued = df.withColumn("_v", value)
     keyed = valued.select(*by, "_v")
-    large = keyed.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > WHOLE).drop("_n")
+    large = keyed.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > whole).drop("_n")
     # One constant instead of thousands of literals keeps planning short.
     shares = ",".join(str(i / n) for i in range(1, n))
     cuts = F.expr(f"percentile_approx(_v, cast(split('{shares}', ',') as array<double>), {4 * n})")
-    wanted = join_stats(keyed, large, by, ["_v"], "left_semi") if by else keyed
-    sketch = wanted.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_cuts")).filter(F.col("_n") > WHOLE).drop("_n")
-    joined = join_stats(valued, sketch, by, spread)
+    wanted = join_stats(keyed, large, by, "left_semi") if by else keyed
+    sketch = wanted.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_cuts")).filter(F.col("_n") > whole).drop("_n")
+    joined = join_stats(valued, sketch, by)
     steps = (FAN * FAN, FAN, 1)
     places = [f"transform(sequence(1, {FAN - 1}), i -> _cuts[_cut + i * {step} - 1])" for step in steps]
     joined = joined.withColumn("_cut", F.lit(0))

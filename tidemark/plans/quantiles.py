@@ -55,7 +55,7 @@ def exact_quantiles(
     share = "least(greatest((x - _lo{0}) / (_hi{0} - _lo{0}), 0D), 1D)"
     slot = " + ".join(f"CASE WHEN {finite.format(i)} THEN {share.format(i)} ELSE 0D END" for i in range(m))
     # Rows outside all brackets collapse to one row per gap; rows inside to one per distinct value.
-    placed = join_stats(long, brackets, group, ["x"]).selectExpr(
+    placed = join_stats(long, brackets, group).selectExpr(
         *group,
         "n",
         f"CASE WHEN {inside} THEN x END AS _value",
@@ -99,7 +99,7 @@ def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
     ranked = running(counts, Axis(keys=tuple(by), ts=column, cell=None), _upto=total("c"))
     sizes = df.groupBy(*by).agg(F.count(column).alias("n"))
-    ranked = join_stats(ranked, sizes, by, [column])
+    ranked = join_stats(ranked, sizes, by)
     return ranked.select(*by, column, "c", (F.col("_upto") - F.col("c")).alias("below"), "n")
 
 

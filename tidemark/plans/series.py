@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.time import epoch_micros, epoch_seconds
-from tidemark.plans.parts import sketch_parts
+from tidemark.plans.parts import WHOLE, sketch_parts
 
 _UNBOUNDED_BEFORE = Window.unboundedPreceding
 _UNBOUNDED_AFTER = Window.unboundedFollowing
@@ -38,7 +38,7 @@ class Axis:
 
     A fixed width suits bars, of which a day holds a known number. For ticks and fills, whose density is not
     known, ``cell=None`` cuts each series into parts of equal row counts by a sketch, at the price of one
-    more pass over the order column.
+    more pass over the order column; series up to ``whole`` rows are not cut.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -46,6 +46,7 @@ class Axis:
     ties: tuple[str, ...] = ()
     cell: float | None = 86400
     block: int = 2048
+    whole: int = WHOLE
 
     def with_(self, **changes) -> "Axis":
         return replace(self, **changes)
@@ -67,7 +68,7 @@ class Axis:
             raise ValueError(f"the session time zone must be UTC, not {zone}")
         known = df.filter(value.isNotNull())
         if cell is None and self.cell is None:
-            return sketch_parts(known, epoch_micros(value) if timed else value, self.keys, self.id, "_cell")
+            return sketch_parts(known, epoch_micros(value) if timed else value, self.keys, "_cell", self.whole)
         if cell is None:
             cell = F.floor((epoch_seconds(value) if timed else value) / F.lit(self.cell)).cast("bigint")
         # The same test stands on both sides of the join with the cells, so a shuffle below can be shared.
@@ -182,6 +183,35 @@ def running(df: DataFrame, axis: Axis, cell: Column | None = None, size: str | N
     return joined
 
 
+def surrounded(df: DataFrame, axis: Axis, cols: list[str]) -> DataFrame:
+    """Append ``_rn``, the position, and for each column ``_prev_<c>`` and ``_next_<c>``: (at, value) of the known value at or
+    before and at or after the row. Positions and known values come from one pass over the cells."""
+    keys = list(axis.keys)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*axis.order)
+    base = axis.placed(df).withColumn("_place", F.row_number().over(inside).cast("bigint"))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("at"), F.col(c).cast("double").alias("value"))) for c in cols}
+    ends = [f(known[c]).alias(f"_{n}_{c}") for c in cols for n, f in (("first", F.min), ("last", F.max))]
+    cells = base.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), *ends)
+    over = Window.partitionBy(*keys).orderBy("_cell")
+    before, after = over.rowsBetween(_UNBOUNDED_BEFORE, -1), over.rowsBetween(1, _UNBOUNDED_AFTER)
+    cells = cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    def moved(known: str) -> Column:
+        return F.when(F.col(known).isNotNull(), F.struct((F.col("_start") + F.col(f"{known}.at")).alias("at"), F.col(f"{known}.value").alias("value")))
+
+    cells = cells.withColumns({f"_{n}_{c}": moved(f"_{n}_{c}") for c in cols for n in ("first", "last")})
+    carried = [F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in cols]
+    carried += [F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_first_{c}") for c in cols]
+    joined = base.join(cells.select(*keys, "_cell", "_start", *carried), [*keys, "_cell"]).withColumn("_rn", F.col("_start") + F.col("_place"))
+    out = {}
+    for c in cols:
+        here = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("at"), F.col(c).cast("double").alias("value")))
+        back, ahead = inside.rowsBetween(_UNBOUNDED_BEFORE, 0), inside.rowsBetween(0, _UNBOUNDED_AFTER)
+        out[f"_prev_{c}"] = F.coalesce(F.last(here, ignorenulls=True).over(back), F.col(f"_last_{c}"))
+        out[f"_next_{c}"] = F.coalesce(F.first(here, ignorenulls=True).over(ahead), F.col(f"_first_{c}"))
+    return joined.select(*df.columns, "_rn", *[v.alias(n) for n, v in out.items()])
+
+
 def numbered(df: DataFrame, axis: Axis, name: str = "rn", size: str | None = None) -> DataFrame:
     """Append the 1-based position of each row in its series (and the length of the series)."""
     return running(df, axis, size=size, **{name: row_count()})
