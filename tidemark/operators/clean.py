@@ -259,9 +259,10 @@ def fix_missing(df: DataFrame, how: str, axis: Axis = BARS) -> DataFrame:
 
 
 def clean_steps(df: DataFrame, mode: str | Recipe = "standard", axis: Axis = BARS) -> list[tuple[str, DataFrame]]:
-    """The table after each step of the recipe, in order; each step is written once and read by the next."""
+    """The table after each step of the recipe, in order. Two steps are written: before the quartiles, which read their
+    rows several times, and behind the resampling; a derived input that is dear to compute should be staged before."""
     recipe = MODES[mode] if isinstance(mode, str) else mode
-    steps = [("input", stage(df, "clean"))]
+    steps = [("input", df)]
 
     def then(name: str, out: DataFrame, written: bool = True) -> None:
         steps.append((name, stage(out, "clean") if written else out))

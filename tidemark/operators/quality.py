@@ -53,18 +53,23 @@ def check_missing(
     df: DataFrame, cols: Sequence[str] = OHLCV, threshold: float = 0.1, zero_threshold: float = 0.05, axis: Axis = BARS
 ) -> DataFrame:
     """Share of nulls per column: over ``threshold`` critical, over 0 a warning; many zeros are a warning."""
+    return _issues(df.groupBy(*axis.keys).agg(*_missing_stats(cols)), axis, _missing_found(cols, threshold, zero_threshold))
+
+
+def _missing_stats(cols: Sequence[str]) -> list[Column]:
     n = F.count(F.lit(1))
-    stats = df.groupBy(*axis.keys).agg(
-        *[(F.count_if(F.col(c).isNull()) / n).alias(f"null_{c}") for c in cols],
-        *[(F.count_if(F.col(c) == 0) / n).alias(f"zero_{c}") for c in cols],
-    )
+    nulls = [(F.count_if(F.col(c).isNull()) / n).alias(f"null_{c}") for c in cols]
+    return [*nulls, *[(F.count_if(F.col(c) == 0) / n).alias(f"zero_{c}") for c in cols]]
+
+
+def _missing_found(cols: Sequence[str], threshold: float = 0.1, zero_threshold: float = 0.05) -> list[Column]:
     found = []
     for c in cols:
         share, zeros = F.col(f"null_{c}"), F.col(f"zero_{c}")
         severity = F.when(share > threshold, "critical").otherwise("warning")
         found.append(_issue("missing_values", severity, c, share, share > 0))
         found.append(_issue("zero_values", "warning", c, zeros, zeros > zero_threshold))
-    return _issues(stats, axis, found)
+    return found
 
 
 def repair_missing(df: DataFrame, cols: Sequence[str] = OHLCV, threshold: float = 0.1, axis: Axis = BARS) -> DataFrame:
@@ -88,16 +93,19 @@ def repair_missing(df: DataFrame, cols: Sequence[str] = OHLCV, threshold: float
     return filled.withColumns(fixed).select(*df.columns).na.drop(subset=cols)
 
 
-def outlier_stats(df: DataFrame, cols: Sequence[str] = OHLCV, z: float = 3.0, axis: Axis = BARS) -> DataFrame:
+def _moments(cols: Sequence[str]) -> list[Column]:
+    return [*[F.avg(c).alias(f"avg_{c}") for c in cols], *[F.stddev_samp(c).alias(f"std_{c}") for c in cols]]
+
+
+def outlier_stats(df: DataFrame, cols: Sequence[str] = OHLCV, z: float = 3.0, axis: Axis = BARS, moments: DataFrame | None = None) -> DataFrame:
     """Per series and column: values outside the IQR fences or with abs z-score over ``z``; fences; negatives.
 
     The rows are read twice: fences, means and deviations first, then the counts.
     """
     cols = list(cols)
     keys = list(axis.keys)
-    moments = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"avg_{c}") for c in cols], *[F.stddev_samp(c).alias(f"std_{c}") for c in cols]
-    )
+    if moments is None:
+        moments = df.groupBy(*keys).agg(*_moments(cols))
     limits = iqr_bounds(df, cols, axis).join(moments, keys)
     rows = with_stats(df, limits, axis)
     counts = rows.groupBy(*keys).agg(
@@ -127,9 +135,9 @@ def is_outlier(c: str, z: float = 3.0) -> Column:
     return F.coalesce(outside, F.lit(False)) | F.coalesce(far, F.lit(False))
 
 
-def check_outliers(df: DataFrame, cols: Sequence[str] = OHLCV, z: float = 3.0, axis: Axis = BARS) -> DataFrame:
+def check_outliers(df: DataFrame, cols: Sequence[str] = OHLCV, z: float = 3.0, axis: Axis = BARS, moments: DataFrame | None = None) -> DataFrame:
     """Share of outliers over 5% a warning, over 10% critical; negative volume critical."""
-    stats = outlier_stats(df, cols, z, axis)
+    stats = outlier_stats(df, cols, z, axis, moments)
     ratio, negative = F.col("ratio"), F.col("n_negative")
     severity = F.when(ratio > 0.1, "critical").otherwise("warning")
     return _issues(
@@ -158,6 +166,7 @@ def step_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     """Per series: steps, modal step, its share, gaps over twice the mode, doubled stamps."""
     lengths = steps(df.select(*axis.id), axis).filter("step is not null")
     counts = lengths.groupBy(*axis.keys, "step").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "steps")  # a row for each length of step, read twice
     best = counts.groupBy(*axis.keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "step"))["step"].alias("modal_step"))
     joined = join_stats(counts, best, axis.keys)
     return joined.groupBy(*axis.keys).agg(
@@ -196,15 +205,23 @@ def check_frequency(df: DataFrame, axis: Axis = BARS) -> DataFrame:
 def range_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     """Per series: broken highs and lows, and prices <= 0, where each price looks only at rows whose earlier
     prices were positive."""
+    return df.groupBy(*axis.keys).agg(*_range_counts())
+
+
+def _range_counts() -> list[Column]:
     counts = [F.count_if(~high_ok()).alias("bad_high"), F.count_if(~low_ok()).alias("bad_low")]
     so_far = F.lit(True)
     for c in PRICES:
         counts.append(F.count_if(so_far & (F.col(c) <= 0)).alias(f"nonpositive_{c}"))
         so_far = so_far & (F.col(c) > 0)
-    return df.groupBy(*axis.keys).agg(*counts)
+    return counts
 
 
 def check_ranges(df: DataFrame, axis: Axis = BARS) -> DataFrame:
+    return _issues(range_stats(df, axis), axis, _range_found())
+
+
+def _range_found() -> list[Column]:
     found = [
         _issue("price_anomaly", "critical", "high", F.col("bad_high"), F.col("bad_high") > 0),
         _issue("price_anomaly", "critical", "low", F.col("bad_low"), F.col("bad_low") > 0),
@@ -212,7 +229,7 @@ def check_ranges(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     for c in PRICES:
         n = F.col(f"nonpositive_{c}")
         found.append(_issue("price_anomaly", "critical", c, n, n > 0))
-    return _issues(range_stats(df, axis), axis, found)
+    return found
 
 
 def describe_columns(df: DataFrame, cols: Sequence[str] = OHLCV, axis: Axis = BARS) -> DataFrame:
@@ -256,14 +273,19 @@ def series_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     )
 
 
-def all_issues(df: DataFrame, axis: Axis = BARS) -> DataFrame:
-    """Issue rows of every check; reads ``df`` several times, so stage a derived table first."""
+def basic_stats(df: DataFrame, axis: Axis = BARS) -> DataFrame:
+    """One row per series with all that one pass can tell: rows, nulls, zeros, moments, ranges."""
+    return df.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("rows"), *_missing_stats(OHLCV), *_moments(OHLCV), *_range_counts())
+
+
+def all_issues(df: DataFrame, axis: Axis = BARS, stats: DataFrame | None = None) -> DataFrame:
+    """Issue rows of every check. ``df`` is read once for the basic statistics (unless given), twice for quartiles, once for
+    outliers and for the steps; so stage a derived table first."""
+    stats = stage(basic_stats(df, axis), "stats") if stats is None else stats
+    found = _issues(stats, axis, [*_missing_found(OHLCV), *_range_found()])
     gaps = _issues(step_stats(df, axis), axis, [*_continuity_issues(), _frequency_issue()])
-    frames = [check_missing(df, axis=axis), check_outliers(df, axis=axis), gaps, check_ranges(df, axis)]
-    found = frames[0]
-    for frame in frames[1:]:
-        found = found.unionByName(frame)
-    return found
+    moments = stats.select(*axis.keys, *[f"{m}_{c}" for m in ("avg", "std") for c in OHLCV])
+    return found.unionByName(check_outliers(df, axis=axis, moments=moments)).unionByName(gaps)
 
 
 # Issue types of a report.
@@ -304,8 +326,8 @@ def repair(df: DataFrame, axis: Axis = BARS) -> DataFrame:
 
 def health_report(df: DataFrame, axis: Axis = BARS, repaired: DataFrame | None = None) -> DataFrame:
     """Status, issue counts and, when the repaired table is given, the rows it lost."""
-    rows = df.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("rows"))
-    report = summarize_issues(rows, all_issues(df, axis), axis)
+    stats = stage(basic_stats(df, axis), "stats")
+    report = summarize_issues(stats.select(*axis.keys, "rows"), all_issues(df, axis, stats), axis)
     if repaired is None:
         return report
     left = repaired.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("_left"))
