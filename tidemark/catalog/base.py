@@ -111,6 +111,8 @@ TABLES = {
          rn, dup
   FROM dirty0, (SELECT 0 AS dup UNION ALL SELECT 1) d WHERE dup = 0 OR rn % 113 = 0)""",
     "dirty": """dirty AS (SELECT symbol, ts, open, high, low, close, volume, rn FROM dirty_bars WHERE dup = 0)""",
+    "calm": "calm AS (SELECT symbol, ts, 100 + (open - 50) * s AS open, 100 + (high - 50) * s AS high, 100 + (low - 50) * s AS low, 100 + (close - 50) * s AS close, volume "
+    "FROM bars30 JOIN (VALUES ('click', 0.05::DOUBLE), ('purchase', 0.02), ('view', 0.005), ('error', 0.03), ('signup', 0.0)) c(symbol, s) USING (symbol))",
     "ledger": """ledger AS (
   SELECT CAST(user_id AS VARCHAR) AS symbol, ts, event_id,
          CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'view' THEN 'SELL' WHEN 'click' THEN 'SHORT' ELSE 'COVER' END AS action,
@@ -129,4 +131,4 @@ TABLES = {
   FROM events)""",
     "vectors": "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS features, label FROM embeddings)",
 }
-DEPENDS = {"dirty0": ("bars30",), "dirty_bars": ("dirty0",), "dirty": ("dirty_bars",)}
+DEPENDS = {"calm": ("bars30",), "dirty0": ("bars30",), "dirty_bars": ("dirty0",), "dirty": ("dirty_bars",)}

@@ -30,6 +30,13 @@ def bars30(spark: SparkSession, sf_dir: str, seconds: int = 1800) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf_dir), seconds, TICKS, price="price", size="size")
 
 
+def calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars30 around 100, each series with its own share of the moves: from wild to flat."""
+    share = F.create_map(*[F.lit(x) for kv in (("click", 0.05), ("purchase", 0.02), ("view", 0.005), ("error", 0.03), ("signup", 0.0)) for x in kv])
+    rows = bars30(spark, sf_dir).withColumn("_s", share[F.col("symbol")])
+    return rows.withColumns({c: 100 + (F.col(c) - 50) * F.col("_s") for c in ("open", "high", "low", "close")}).drop("_s")
+
+
 def bars_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf_dir, "user_id"), 86400, TICKS, price="price", size="size")
 
