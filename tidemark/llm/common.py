@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import stage
 
+#: Bytes of an Arrow batch, about: texts may be long, and a count of rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
 #: Characters that one step of an array computation takes at most, unless a single text is longer.
 STEP_CHARS = 1 << 20
 
@@ -29,6 +31,12 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes; the session keeps that bound, since Spark reads it when the plan runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def steps(lengths: Iterable[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Cut a sequence of texts into runs ``[begin, end)`` of ``limit`` characters in all, or one text."""
     begin, total, i = 0, 0, -1

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.llm.common import in_batches
+
 #: Share of an item's words that may be edited; items of fewer words than SHORT must occur as they are.
 RATE, SHORT = 0.2, 5
 #: Characters of items that one pass over the documents looks for; a larger benchmark takes more passes.
@@ -162,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     schema = T.StructType([rows.schema["doc_id"], *items, *[T.StructField(n, T.IntegerType()) for n in FOUND]])
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, item_id, item_text, limit):
-        out = out.unionByName(rows.mapInArrow(_rows(_share(docs.sparkSession, block, rate), schema), schema))
+        out = out.unionByName(in_batches(rows, _rows(_share(docs.sparkSession, block, rate), schema), schema))
     return out
 
 
@@ -190,7 +192,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """The rows of ``docs`` in which no item is found, as they were."""
     out = docs
     for block in blocks(benchmark, item_id, item_text, limit):
-        out = out.mapInArrow(_clean(_share(docs.sparkSession, block, rate), text), docs.schema)
+        out = in_batches(out, _clean(_share(docs.sparkSession, block, rate), text), docs.schema)
     return out
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import steps, texts
+from tidemark.llm.common import in_batches, steps, texts
 
 #: Number of hashed terms.
 TERMS = 1 << 18
@@ -75,7 +75,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, terms, doc
                 weights = pa.ListArray.from_arrays(starts, pa.array(r.values))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(begin, end - begin), ids, weights], ["label", "ids", "weights"])
 
-    table = found.mapInArrow(run, "label int, ids array<int>, weights array<float>").limit(rows).toArrow()
+    table = in_batches(found, run, "label int, ids array<int>, weights array<float>").limit(rows).toArrow()
     order = np.arange(table.num_rows)
     lists, weights = (table.column(c).combine_chunks() for c in ("ids", "weights"))
     n = np.array([len(x) for x in lists], np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import held_out, steps, texts
+from tidemark.llm.common import held_out, in_batches, steps, texts
 
 #: Texts of each language that filters are learned from, about; trigrams of each language; slots; probes of a trigram.
 SAMPLE, GRAMS, SLOTS, PROBES = 2000, 16_384, 1 << 18, 3
@@ -93,7 +93,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     for name, size in sizes.items():
         limit = F.when(F.col("lang") == name, F.lit(round(min(1.0, sample / size) * 2**20))).otherwise(limit)
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2**20)) < limit)
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_batches(chosen.select("lang", "text"), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     of_gram, of_lang = Window.partitionBy("gram"), Window.partitionBy("lang")
     rated = counts.withColumn("rate", F.col("n") / F.sum("n").over(of_lang)).withColumn("most", F.max("rate").over(of_gram))
     ranked = rated.filter(F.col("rate") >= SHARE * F.col("most")).withColumn("rank", F.row_number().over(of_lang.orderBy(F.desc("n"), "gram")))
@@ -143,7 +143,7 @@ def with_language(docs: DataFrame, filters: Filters, text: str = "text", lang_pr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(values)], [*batch.schema.names, lang_pred, score])
 
     schema = T.StructType([*docs.schema, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def identify(docs: DataFrame, of: int = 4, out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, with_rows
+from tidemark.llm.common import fresh, in_batches, with_rows
 from tidemark.session import stage
 
 BLOCK = 1024
@@ -43,7 +43,7 @@ def named(rows: DataFrame, keys: list[str], place: list[str], keep: list[str]) -
     fields = [rows.schema[c] for c in keep]
     fields += [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
     schema = T.StructType([*fields, *[T.StructField(f"edge_{k}", rows.schema[k].dataType) for k in keys]])
-    numbered = stage(ranged.mapInArrow(_ranker(keys, keep, list(bits)), schema), "names")
+    numbered = stage(in_batches(ranged, _ranker(keys, keep, list(bits)), schema), "names")
 
     # A row or two of each task: its first and last key and how many distinct ones it has.
     edge = [f"edge_{k}" for k in keys]

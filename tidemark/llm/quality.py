@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, steps, texts
+from tidemark.llm.common import held_out, in_batches, steps, texts
 from tidemark.llm.hashed import TERMS, Adam, Rows, only, rows_of, sample, sigmoid, sums, telling
 
 #: Rated documents of the fit, at most; passes; documents of a step; documents a term must be in.
@@ -100,7 +100,7 @@ def with_grades(docs: DataFrame, model: Grades, wanted: int = WANTED, text: str
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "expected_grade", "tail_probability"])
 
     schema = docs.withColumns({"expected_grade": F.lit(0.0), "tail_probability": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def graded(docs: DataFrame, ratings: DataFrame, top: int = 2, of: int = 5, out: int = 0, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", rows: int = SAMPLE, wanted: int = WANTED, sure: float = SURE) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, with_rows
+from tidemark.llm.common import fresh, in_batches, with_rows
 from tidemark.llm.components import stars
 from tidemark.session import stage
 
@@ -34,7 +34,7 @@ CELL = 4096
 #: Distinct fingerprints that a key should have on average, at most.
 MEAN = 64
 #: Blocks are compared together up to so many rows, and so many words of 64 at a time.
-ROWS, LANES = 1 << 16, 1 << 16
+ROWS, LANES = 1 << 16, 1 << 14
 FULL = np.uint64(2**64 - 1)
 
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, ids: str, text: str, words: int = WORDS, seed:
     """The columns ``ids`` (with types, as in a schema) and ``fp``, the fingerprint's 64 bits as a long."""
     names = [x.split()[0] for x in ids.split(",")]
     rows = docs.select(*names, F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(_fingerprints(words, seed), f"{ids}, fp long")
+    return in_batches(rows, _fingerprints(words, seed), f"{ids}, fp long")
 
 
 def keys_for(distinct: int, radius: int = RADIUS) -> list[int]:
@@ -101,7 +101,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     block = ["key", "value", "low", "high"]
     blocks = cut.select("key", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     sorted_blocks = blocks.repartition(*block).sortWithinPartitions(*block, "fp")
-    return sorted_blocks.mapInArrow(_compare(radius), "a long, b long").distinct()
+    return in_batches(sorted_blocks, _compare(radius), "a long, b long").distinct()
 
 
 def _compare(radius: int):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, steps, texts
+from tidemark.llm.common import held_out, in_batches, steps, texts
 from tidemark.llm.hashed import TERMS, Adam, Rows, only, rows_of, sample, sigmoid, sums, telling
 
 #: Labelled documents of the fit, at most; factors; passes; documents of a step; documents a term must be in.
@@ -91,7 +91,7 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", score: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*names, score])
 
     schema = docs.withColumn(score, F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, of: int = 3, out: int = 1, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import in_batches
 from tidemark.session import stage
 
 END = "\r\n\r\n"
@@ -130,7 +131,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
 
-    written = joined.select("page_id", "url", "payload", "first_id", "revisit").mapInArrow(run, "record binary")
+    written = in_batches(joined.select("page_id", "url", "payload", "first_id", "revisit"), run, "record binary")
     writer = written.select(F.col("record").cast("string").alias("value")).write
     writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
@@ -249,11 +250,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload whose digest isn't the recorded one, or a revisit without a valid response.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    rows = stage(files.mapInArrow(_parse, PARSED), "records")
+    rows = stage(in_batches(files, _parse, PARSED), "records")
     # A segment's key is a record's id; its segments are bounded by that record, whatever the archive.
     segments = rows.filter("number is not null").select("origin", "number", "total", "block").distinct()
     one = segments.groupBy("origin").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"))
-    whole = one.mapInArrow(_reassemble, "record_id string, block binary, payload_bytes long, payload_digest string")
+    whole = in_batches(one, _reassemble, "record_id string, block binary, payload_bytes long, payload_digest string")
     about = ["record_id", "page_id", "url", "digest"]
     heads = rows.filter("record_type = 'response'")
     single = heads.filter("number is null").select(*about, "block", "payload_bytes", "payload_digest")
