@@ -59,10 +59,5 @@ def held_out(of: int, remainder: int, doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == remainder
 
 
-def bounded_sample(labels: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` keys of ``labels``, in the order of their hash: the same ones on every run."""
-    return labels.select(key).distinct().orderBy(F.xxhash64(key), key).limit(rows)
-
-
 def select(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
