@@ -35,6 +35,8 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], name: str = "_
     valued = df.withColumn("_v", value)
     keyed = valued.select(*by, "_v")
     large = keyed.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > whole).drop("_n")
+    if large.isEmpty():  # one pass over the keys, and none of those below
+        return df.withColumn(name, F.lit(0).cast("bigint"))
     # One constant instead of thousands of literals keeps planning short.
     shares = ",".join(str(i / n) for i in range(1, n))
     cuts = F.expr(f"percentile_approx(_v, cast(split('{shares}', ',') as array<double>), {4 * n})")
