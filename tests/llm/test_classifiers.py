@@ -89,3 +89,19 @@ def test_edge_rows(spark):
         got = quality.graded(docs, quality.ratings(some))
         assert got.count() == len(rows)
         assert toxicity.toxic_scores(docs.limit(0), some).count() == quality.graded(docs.limit(0), quality.ratings(some)).count() == 0
+
+
+def test_pair_with_a_common_word_that_is_neutral_alone():
+    r = random.Random(6)
+    texts, labels = [], []
+    for i in range(12_000):  # "gruppe" is in 600 rows, toxic in 16 of them more than by chance
+        toxic = i < 16 or i >= 48 and r.random() < 0.03
+        words = [f"w{r.randrange(2000)}" for _ in range(12)] + [f"schimpf{r.randrange(6)}"] * (toxic and i >= 48)
+        words += ["grob", "gruppe"] if i < 16 else ["grob"] if i < 48 else ["gruppe"] if i < 632 else []
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    rows, labels = rows_of(texts), np.array(labels)
+    kept = hashed.telling(rows, labels > 0, toxicity.LEAST)
+    assert hashed.term_id("grob") in kept and hashed.term_id("gruppe") not in kept
+    scores = toxicity.fit(rows, labels).scores(rows_of(["grob und gruppe", "grob allein", "gruppe allein", ""]))
+    assert scores[0] > 0.9 and (scores[1:] < 0.2).all()

@@ -105,11 +105,16 @@ class Adam:
             a -= scale * m / (np.sqrt(v) + 1e-8) + self.rate * d * a
 
 
+def _once(rows: Rows) -> np.ndarray:
+    mark = np.bincount(rows.row, weights=rows.ids * np.float64(0.6180339887498949) % 1.0, minlength=len(rows))
+    _, first = np.unique(np.column_stack([mark, np.diff(rows.starts)]), axis=0, return_index=True)
+    return first
+
+
 def telling(rows: Rows, positive: np.ndarray, least: int) -> np.ndarray:
     """Hashed ids of the terms that ``least`` rows or more have and whose rows' labels differ from the others' by more than the
     most that the log-likelihood ratio of so many terms reaches by chance. Rows with the same terms count once."""
-    mark = np.bincount(rows.row, weights=rows.ids * np.float64(0.6180339887498949) % 1.0, minlength=len(rows))
-    _, first = np.unique(np.column_stack([mark, np.diff(rows.starts)]), axis=0, return_index=True)
+    first = _once(rows)
     rows, positive = rows.take(first), positive[first]
     count = np.bincount(rows.ids, minlength=TERMS).astype(float)
     hit = np.bincount(rows.ids, weights=positive[rows.row].astype(float), minlength=TERMS)
@@ -128,6 +133,67 @@ def telling(rows: Rows, positive: np.ndarray, least: int) -> np.ndarray:
     return tested[ratio > 2 * np.log(max(len(tested), 2))]
 
 
+def _ratio(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each column's cells."""
+    return 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0).sum(axis=0)
+
+
+def _shifted(logits: np.ndarray, positives: float) -> np.ndarray:
+    """Probabilities after a shift of all logits that makes them add up to ``positives``."""
+    low, high = -60.0, 60.0
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sigmoid(logits + middle).sum() < positives else (low, middle)
+    return sigmoid(logits + (low + high) / 2)
+
+
+def pairing(rows: Rows, positive: np.ndarray, kept: np.ndarray, logits: np.ndarray, least: int) -> np.ndarray:
+    """Hashed ids of the further terms that, in ``least`` rows or more together with a term of ``kept``, go with labels that
+    neither the two terms' odds by themselves explain nor ``logits``, the scores from ``kept`` alone; by more than the most
+    that the ratio of so many pairs reaches by chance."""
+    first = _once(rows)
+    rows, positive, logits = rows.take(first), positive[first].astype(float), logits[first]
+    row = rows.row
+    by_term = np.argsort(rows.ids, kind="stable")
+    edges = np.searchsorted(rows.ids[by_term], np.column_stack([kept, kept + 1]))
+    count = np.bincount(rows.ids, minlength=TERMS)
+    hit = np.bincount(rows.ids, weights=positive[row], minlength=TERMS)
+    total, positives = len(rows), positive.sum()
+    open_, pairs, found = np.ones(TERMS, bool), 0, []
+    open_[kept] = False
+    for a, b in edges:
+        having = np.unique(row[by_term[a:b]])
+        part, y = rows.take(having), positive[having]
+        n = np.bincount(part.ids, minlength=TERMS)
+        terms = np.flatnonzero((n >= least) & open_)
+        if not len(terms):
+            continue
+        pairs += len(terms)
+        k = np.bincount(part.ids, weights=y[part.row], minlength=TERMS)[terms]
+        n, m, h = n[terms], count[terms], hit[terms]
+        # Rows with both terms, with the kept one, with the other, with none; positive ones, then the rest.
+        size = np.array([n, len(having) - n, m - n, total - len(having) - m + n], float)
+        true = np.array([k, y.sum() - k, h - k, positives - y.sum() - h + k])
+        cells = np.concatenate([true, size - true])
+        # Labels that follow the kept term alone are a special case of odds that add up: where these fit, no pair differs.
+        share = np.repeat([(true[:2].sum(0) / size[:2].sum(0)), (true[2:].sum(0) / np.maximum(size[2:].sum(0), 1))], 2, axis=0)
+        some = _ratio(cells, np.concatenate([size * share, size * (1 - share)])) > 2 * np.log(max(len(terms), 2))
+        scored = np.bincount(part.ids, weights=_shifted(logits[having], y.sum())[part.row], minlength=TERMS)[terms]
+        some &= _ratio(np.array([k, n - k]), np.array([scored, n - scored])) > 2 * np.log(max(len(terms), 2))
+        found.append((terms[some], cells[:, some]))
+    if not found:
+        return np.zeros(0, np.int64)
+    terms, cells = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found], axis=1)
+    # With the counts of any two kept, one number moves all cells; it is sought where the odds ratios are equal.
+    sign = np.array([1, -1, -1, 1, -1, 1, 1, -1.0])[:, None]
+    low, high = -cells[sign[:, 0] > 0].min(axis=0), cells[sign[:, 0] < 0].min(axis=0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        over = (sign * np.log(np.maximum(cells + sign * middle, 1e-12))).sum(axis=0) > 0
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    return np.unique(terms[_ratio(cells, cells + sign * (low + high) / 2) > 2 * np.log(max(pairs, 2))])
+
+
 def only(rows: Rows, kept: np.ndarray) -> Rows:
     """Rows with the terms ``kept`` (sorted) alone, numbered from 0."""
     to = np.full(TERMS, -1)

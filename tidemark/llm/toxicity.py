@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, in_batches, steps, texts
-from tidemark.llm.hashed import TERMS, Adam, Rows, only, rows_of, sample, sigmoid, sums, telling
+from tidemark.llm.hashed import TERMS, Adam, Rows, only, pairing, rows_of, sample, sigmoid, sums, telling
 
 #: Labelled documents of the fit, at most; factors; passes; documents of a step; documents a term must be in.
 SAMPLE, FACTORS, EPOCHS, STEP, LEAST = 12_000, 4, 20, 128, 4
@@ -57,11 +57,22 @@ def _logits(rows: Rows, bias: float, weights: np.ndarray, factors: np.ndarray):
 
 def fit(rows: Rows, labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> Machine:
     """Without rows, or with one class only, all scores are that class's smoothed share."""
+    kept = telling(rows, labels > 0, LEAST) if 0 < labels.sum() < len(labels) else np.zeros(0, np.int64)
+    machine = _fitted(rows, labels, kept, factors, epochs, seed)
+    if len(kept):
+        logits = _logits(rows, machine.bias, machine.weights, machine.factors)[0]
+        more = pairing(rows, labels > 0, kept, logits, LEAST)
+        if len(more):
+            machine = _fitted(rows, labels, np.union1d(kept, more), factors, epochs, seed)
+    return machine
+
+
+def _fitted(rows: Rows, labels: np.ndarray, kept: np.ndarray, factors: int, epochs: int, seed: int) -> Machine:
+    """The machine over the terms ``kept``; all others weigh nothing."""
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = np.array([np.log(share / (1 - share))])
     weights, machine = np.zeros(TERMS), np.zeros((factors, TERMS))
     if 0 < labels.sum() < len(labels):
-        kept = telling(rows, labels > 0, LEAST)
         rows = only(rows, kept)
         random = np.random.default_rng(seed)
         w, v = np.zeros(len(kept)), random.normal(0, 0.01, (factors, len(kept)))
