@@ -292,13 +292,29 @@ def _(spark, sf):
     ("bars30",),
 )
 def _(spark, sf):
-    windows = P.time_split(stage(P.sequences(labeled(spark, sf), ["close", "volume"], stride=3), "windows"))
+    return written_windows(spark, sf, 3)
+
+
+def written_windows(spark, sf, stride):
+    windows = P.time_split(stage(P.sequences(labeled(spark, sf), ["close", "volume"], stride=stride), "windows"))
     path = new_path(spark, "windows")
     B.write_windows(windows, path)
     back = B.read_windows(spark, path)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("window")).alias("steps"))
 
 
+@query(
+    "all_windows_parquet",
+    f"""WITH {LABELED}, sized AS (SELECT *, {SIZE} AS size FROM lab WHERE rn - 1 >= 60 AND rn < n),
+        s AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS r, count(*) OVER (PARTITION BY symbol) AS m, least(size, rn - 1) AS size FROM sized)
+        SELECT CASE WHEN r > floor(m * 0.8::DOUBLE) THEN 'test' WHEN r > floor(floor(m * 0.8::DOUBLE) * 0.9::DOUBLE) THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(size)::BIGINT AS steps FROM s GROUP BY 1""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Every row's window."""
+    return written_windows(spark, sf, 1)
+
+
 @query("results_csv", "SELECT (SELECT count(*) FROM equity) AS equity_rows, (SELECT count(*) FROM ledger) AS trades", ("equity", "ledger"))
 def _(spark, sf):
     path = new_path(spark, "results")

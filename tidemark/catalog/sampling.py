@@ -158,12 +158,30 @@ for _method in _FITS:
     ("bars30",),
 )
 def _(spark, sf):
-    windows = stage(P.sequences(labeled(spark, sf), ["close", "volume"], stride=10), "windows")
+    return scaled_windows(spark, sf, 10)
+
+
+def scaled_windows(spark, sf, stride):
+    windows = stage(P.sequences(labeled(spark, sf), ["close", "volume"], stride=stride), "windows")
     flat = P.flatten_windows(windows, ["close", "volume"]).drop("label", "size")
     scaled = P.apply_scaler(flat, P.fit_scaler(flat, ["close", "volume"], "standard"), ["close", "volume"])
     return rounded(scaled, "close", "volume")
 
 
+@query(
+    "scale_all_windows",
+    f"""WITH {LABELED}, sized AS (SELECT *, {SIZE} AS size FROM lab WHERE rn - 1 >= 60 AND rn < n),
+        flat AS (SELECT w.symbol, w.ts, b.rn - (w.rn - least(w.size, w.rn - 1)) AS step, b.close, b.volume::DOUBLE AS volume
+                 FROM sized w JOIN b ON b.symbol = w.symbol AND b.rn BETWEEN w.rn - w.size AND w.rn - 1),
+        fit AS (SELECT avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv FROM flat)
+        SELECT symbol, ts, step::INT AS step, R((close - mc) / sc) AS close, R((volume - mv) / sv) AS volume FROM flat, fit""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Every row's window, all of them in the fit."""
+    return scaled_windows(spark, sf, 1)
+
+
 def probit(p: str) -> str:
     """Acklam's approximation as SQL over a column."""
     a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)

@@ -207,9 +207,9 @@ def _(spark, sf):
 
 @query("search")
 def _(spark, sf):
-    """Mean weighted F1 over forward folds of a few parameter points."""
+    """Mean weighted F1 over forward folds of every point of the grid."""
     found = T.search(
-        features(spark, sf), X.BASE_FEATURES, "label", "random_forest", {"trees": [10, 20, 40], "depth": [3, 5, 7]}, trials=3, folds=2
+        features(spark, sf), X.BASE_FEATURES, "label", "random_forest", {"trees": [10, 20, 40], "depth": [3, 5, 7]}, trials=9, folds=3
     )
     return spark.createDataFrame(
         [(i + 1, p["trees"], p["depth"], s) for i, (p, s) in enumerate(found)], "place int, trees int, depth int, f1_score double"
