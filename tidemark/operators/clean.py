@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.na.drop(subset=list(cols) if cols else None)
 
 
+def _passing(fill):
+    """The fill passes on unchanged the rows that have no key or no stamp: they belong to no series."""
+
+    @wraps(fill)
+    def run(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFrame:
+        known = F.lit(True)
+        for c in (*axis.keys, axis.ts):
+            known = known & F.col(c).isNotNull()
+        return fill(df.filter(known), list(cols), axis).unionByName(df.filter(~known))
+
+    return run
+
+
+@_passing
 def interpolate_linear(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) -> DataFrame:
     """Straight line by row position between known values.
 
@@ -42,16 +57,19 @@ def zero_fill(df: DataFrame, cols: Iterable[str] = ("volume",)) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in cols})
 
 
+@_passing
 def ffill(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFrame:
     """Nulls take the last known value before them."""
     return running(df, axis, **{c: latest(c) for c in cols}).select(*df.columns)
 
 
+@_passing
 def bfill(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFrame:
     """Nulls take the next known value after them."""
     return running(df, axis, **{c: upcoming(c) for c in cols}).select(*df.columns)
 
 
+@_passing
 def ffill_bfill(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFrame:
     """Forward, then backward, in one pass over the series."""
     cols = list(cols)
