@@ -142,17 +142,17 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op13_suffix_repeats",
-    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS win FROM d, unnest(range(length(h) // 2 - 99)) t(p)),
+    """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+    w AS (SELECT doc_id, p, h[p + 1 : p + 100] AS win FROM d, unnest(range(octet_length(h) - 99)) t(p)),
     r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1),
     runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
                SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
                  SELECT *, (p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100)::INT AS new FROM r)) GROUP BY doc_id, run),
     cuts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM runs GROUP BY 1),
     parts AS (SELECT d.doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
-                     list_zip(list_concat([0], coalesce(lb, [])), list_concat(coalesce(la, []), [length(h) // 2])) AS z FROM d LEFT JOIN cuts USING (doc_id))
-    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, n_removed, n_spans,
-           sha256(unhex(list_aggregate([substr(h, (2 * x[1] + 1)::BIGINT, (2 * (x[2] - x[1]))::BIGINT) FOR x IN z], 'string_agg', ''))) AS kept_sha256
+                     list_zip(list_concat([0], coalesce(lb, [])), list_concat(coalesce(la, []), [octet_length(h)])) AS z FROM d LEFT JOIN cuts USING (doc_id))
+    SELECT doc_id, octet_length(h) AS n_bytes, n_removed, n_spans,
+           sha256(unhex(list_aggregate([hex(h[x[1] + 1 : x[2]]) FOR x IN z], 'string_agg', ''))) AS kept_sha256
     FROM parts""",
 )
 def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
