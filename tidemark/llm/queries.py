@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, naming, pieces, quality, repeats, secrets, sharding, simhash, toxicity, warc
+from tidemark.llm import codes, decontaminate, language, naming, pieces, quality, repeats, secrets, sharding, simhash, toxicity, warc
 from tidemark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,26 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def _lloyd_round(r: int) -> str:
+    """SQL tables ``a<r>`` (nearest entries) and ``k<r + 1>`` (the means' floors; unused entries stay)."""
+    return f"""a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+      SELECT vec_id, q.part, q.x, e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.x, k.x)])::BIGINT AS dist FROM q JOIN k{r} k USING (part)) GROUP BY 1, 2),
+    k{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.x, k.x) AS x FROM k{r} k LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS x FROM (
+      SELECT part, e, i, floor(sum(v) / count(*))::BIGINT AS m FROM (SELECT part, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, e)),"""
+
+
+@query(
+    "op12_cover_tree_codes",
+    f"""WITH v AS (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+             WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    q AS MATERIALIZED (SELECT vec_id, part, x[(part * len(x) // 8 + 1)::BIGINT : ((part + 1) * len(x) // 8)::BIGINT] AS x FROM v, range(8) t(part)),
+    k0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM q WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)),
+    {" ".join(_lloyd_round(r) for r in range(7))}
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM k6),
+    c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a6 GROUP BY 1)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h""",
+)
+def op12_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
