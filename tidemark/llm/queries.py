@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import codes, decontaminate, language, naming, pieces, quality, repeats, secrets, sharding, simhash, toxicity, warc
+from tidemark.llm import codes, decontaminate, language, naming, pieces, quality, repeats, secrets, sharding, simhash, structure, toxicity, warc
 from tidemark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,59 @@ def _lloyd_round(r: int) -> str:
 )
 def op12_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+#: CRC-32 of ASCII text, bit by bit; lists hold the steps of the sums.
+_CRC32 = """xor(4294967295, list_reduce([ord(x)::BIGINT FOR x IN string_split(name, '')],
+    lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295::BIGINT))"""
+_COST = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+
+
+def _option(test: str, cost: str, letter: str, state: int, line: str) -> str:
+    return f"CASE WHEN {test} THEN {{'c': {cost} + s{state}.c, 'a': '{letter}' || s{state}.a, 't': {line} || chr(10) || s{state}.t}} END"
+
+
+def _state(s: int) -> str:
+    """The cheapest, ASCII-least way on from state ``s`` by an edit of the row; Insert comes on top."""
+    line, must = "role || ':' || text", "kind NOT IN ('b', 'd')"
+    keep = [(i, to) for i, to, states in (("s", 1, (0,)), ("u", 2, (0, 1, 3)), ("a", 3, (2,))) if s in states]
+    to, new = (3, "assistant") if s == 2 else (2, "user")
+    options = [f"{{'c': 2 + s{s}.c, 'a': 'D' || s{s}.a, 't': s{s}.t}}"]
+    options += [_option(f"{must} AND left(role, 1) = '{i}'", "cut", "K", t, line) for i, t in keep]
+    options.append(_option(must, "1 + cut", "R", to, f"'{new}:' || text"))
+    return f"list_sort([x FOR x IN [{', '.join(options)}] IF x IS NOT NULL])[1] AS b{s}"
+
+
+def _insert(source: str, new: str) -> str:
+    return f"{{'c': 5 + {source}.c, 'a': 'I' || {source}.a, 't': '{new}:' || chr(10) || {source}.t}}"
+
+
+@query(
+    "op11_checkpointed_repair",
+    f"""WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+    f AS (SELECT *, {_CRC32} % 20 AS fault FROM n),
+    d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM f, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) r(copy)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text)) AS rn FROM d),
+    k AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd'
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS kind,
+                 lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+    w AS (SELECT conv_id, n + 1 AS rn, {{'c': 0, 'a': '', 't': ''}}::{_COST} AS s0, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}}::{_COST} AS s1,
+                 {{'c': 5, 'a': 'I', 't': 'assistant:' || chr(10)}}::{_COST} AS s2, {{'c': 0, 'a': '', 't': ''}}::{_COST} AS s3 FROM k WHERE rn = 1
+          UNION ALL
+          SELECT conv_id, rn, list_sort([b0, {_insert("z2", "user")}])[1]::{_COST}, list_sort([b1, {_insert("z2", "user")}])[1]::{_COST}, z2::{_COST}, z3::{_COST} FROM (
+            SELECT *, list_sort([b2, {_insert("b3", "assistant")}])[1] AS z2, list_sort([b3, {_insert("b2", "user")}])[1] AS z3 FROM (
+              SELECT conv_id, rn, {", ".join(_state(s) for s in range(4))} FROM (
+                SELECT k.conv_id, k.rn, role, text, kind, CASE kind WHEN 't' THEN 5 ELSE 0 END AS cut, s0, s1, s2, s3
+                FROM w JOIN k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.rn = w.rn - 1)))),
+    g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'b') AS blank, count(*) FILTER (kind = 'd') AS duplicate,
+                 count(*) FILTER (kind = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY 1),
+    e AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(left(s0.t, length(s0.t) - 1), '')) AS repaired_sha256
+    FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND w.rn = 1""",
+)
+def op11_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure.report(conversations, structure.damaged(conversations))
