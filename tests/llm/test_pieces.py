@@ -37,11 +37,38 @@ def test_long_and_empty(text):
 
 def test_units_are_checked(monkeypatch):
     own = pieces.Vocabulary(MODEL)
-    monkeypatch.setattr(own, "merge", lambda units: [(5,) for _ in units])
+    monkeypatch.setattr(own, "merge", lambda units: [[5] for _ in units])
     with pytest.raises(ValueError, match="sentencepiece"):
         own.encode(["hello"])
 
 
+class Wrong:
+    """A library whose decoding is off."""
+
+    encode = LIBRARY.encode
+
+    def decode(self, ids, **more):
+        return [x + "s" for x in LIBRARY.decode(ids)]
+
+
+def test_decoding_is_checked(monkeypatch):
+    own = pieces.Vocabulary(MODEL)
+    monkeypatch.setattr(own, "library", Wrong())
+    with pytest.raises(ValueError, match="decodes"):
+        own.results(["hello"], ("decoded",))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(ALPHABET, max_size=60).map("".join), min_size=1, max_size=5))
+def test_results_join_what_units_have(texts):
+    """Also across line ends, where a unit begins without a space mark."""
+    texts = [*texts, *[f"{a}\n{b}" for a, b in zip(texts, texts[1:])]]
+    ids = LIBRARY.encode(texts, add_eos=True)
+    got = VOCABULARY.results(texts, ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"))
+    assert got[0] == ids and got[1] == [len(x) for x in ids] and got[3] == LIBRARY.decode(ids)
+    assert got[2] == [digest(" ".join(map(str, x))) for x in ids] and got[4] == [digest(x) for x in LIBRARY.decode(ids)]
+
+
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
