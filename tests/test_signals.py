@@ -39,6 +39,39 @@ def test_daily_cap(spark, every, gap, n):
     assert sorted((x.symbol, x.ts) for x in got.collect()) == capped(rows, n, 1, 0.05, gap)
 
 
+def test_daily_cap_of_ticks(spark):
+    """Very many signals of one symbol and day, doubled stamps, a series without a symbol, trades around midnight."""
+    ticks = spark.range(300_000).select(
+        F.when(F.col("id") % 3 > 0, "a").alias("symbol"),
+        F.expr("timestamp_ntz'2024-01-01 22:00:00' + make_dt_interval(0, 0, 0, id div 30)").alias("ts"),
+        F.when(F.col("id") % 7 == 0, "HOLD").when(F.col("id") % 2 == 0, "BUY").otherwise("SHORT").alias("signal"),
+        F.when(F.col("id") % 11 > 0, F.lit(0.09)).alias("volatility"),
+    )
+    got = S.daily_cap(ticks, min_gap_minutes=17).select("symbol", "ts").collect()
+    # Stamps are whole seconds with each kind of row: the first row of a second that may trade does.
+    seconds = [(START.replace(hour=22) + timedelta(seconds=i), i) for i in range(10_000)]
+    want = []
+    for symbol in (None, "a"):
+        last, day, count = None, None, 0
+        for ts, i in seconds:
+            if ts.date() != day:
+                day, count = ts.date(), 0
+            rows = [j for j in range(30 * i, 30 * i + 30) if (j % 3 > 0) == (symbol == "a") and j % 7]
+            limit = 3 if any(j % 11 == 0 for j in rows) else 1
+            if count < limit and (last is None or ts - last >= timedelta(minutes=17)):
+                want.append((symbol, ts))
+                last, count = ts, count + 1
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_daily_cap_without_gap(spark):
+    """Without a gap rows with one stamp may all trade, and a day's limit is what ends it."""
+    rows = [("a", START, "BUY", 0.01)] * 3 + [("a", START + timedelta(days=1), "SHORT", None)] * 5
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, signal string, volatility double")
+    assert S.daily_cap(df, n=4, min_gap_minutes=0).count() == 7
+    assert S.daily_cap(df.limit(0)).count() == 0
+
+
 def path(bars, entry, until):
     symbol, start, side, price, atr = entry
     sign, reach = (1, 2 * atr if atr and atr > 0 else price * 0.05) if side == "LONG" else (-1, 2 * atr if atr and atr > 0 else price * 0.05)

@@ -163,11 +163,41 @@ def _(spark, sf):
 
 @query("train_boosted")
 def _(spark, sf):
+    """Scores of softmax boosting on the last fifth of every series, stopped by the loss on the rows before."""
     rows = split(features(spark, sf))
-    model = T.train(rows.filter("split = 'train'"), X.BASE_FEATURES, "label", "boosted")
+    model = T.train(rows.filter("split <> 'test'"), X.BASE_FEATURES, "label", "boosted", validation=F.col("split") == "val")
     return V.evaluate(T.score(rows.filter("split = 'test'"), model), "label")
 
 
+# One round of softmax boosting at depth 1: all classes are equally likely before it, so a row's gradient is its weight times
+# 1/K - (class is k) and its hessian weight/K * (1 - 1/K). Cuts are eighths of a column, the first of the best ones counts.
+BOOSTED = """cw AS (SELECT label, (SELECT count(*) FROM vectors) / ((SELECT count(DISTINCT label) FROM vectors) * count(*)) AS w FROM vectors GROUP BY 1),
+  kk AS (SELECT label AS k, (SELECT count(*) FROM cw) AS kn FROM cw),
+  long AS (SELECT vec_id, label, i - 1 AS col, features[i] AS x FROM vectors, range(1, 65) t(i)),
+  q AS (SELECT col, unnest(list_distinct(quantile_cont(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS cut FROM long GROUP BY 1),
+  sums AS (SELECT col, cut, label, sum(w) FILTER (x <= cut) AS lw, sum(w) AS tw, count(*) FILTER (x <= cut) AS ln, count(*) AS tn FROM q JOIN long USING (col) JOIN cw USING (label) GROUP BY 1, 2, 3),
+  gh AS (SELECT col, cut, k, sum(coalesce(lw, 0) * (1 / kn - (label = k)::INT)) AS lg, sum(tw * (1 / kn - (label = k)::INT)) AS tg, sum(coalesce(lw, 0) / kn * (1 - 1 / kn)) AS lh,
+           sum(tw / kn * (1 - 1 / kn)) AS th, sum(ln) AS ln, sum(tn) AS tn FROM sums, kk GROUP BY 1, 2, 3),
+  gain AS (SELECT *, round((lg * lg / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg * tg / (th + 1)) / 2, 9) AS gain FROM gh WHERE ln >= 1 AND tn - ln >= 1),
+  top AS (SELECT * FROM gain WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, col, cut) = 1),
+  m AS (SELECT vec_id, long.label, k, 0.5 * CASE WHEN x <= cut THEN -lg / (lh + 1) ELSE -(tg - lg) / (th - lh + 1) END AS margin FROM long JOIN top USING (col)),
+  p AS (SELECT vec_id, label, k, exp(margin) / sum(exp(margin)) OVER (PARTITION BY vec_id) AS p FROM m)"""
+
+
+@query(
+    "boosted_stump",
+    f"WITH {BOOSTED} SELECT vec_id, label, arg_max(k, p ORDER BY round(p, 12) DESC, k) AS y_pred, R(max(p)) AS confidence, R(sum(p * k)) AS mean_class FROM p GROUP BY 1, 2",
+    ("vectors",),
+)
+def _(spark, sf):
+    """Predictions of one round of one cut for each class."""
+    rows = stage(dims(spark, sf), "dims")
+    model = T.train(rows, _X, "label", "boosted", rounds=1, depth=1, step=0.5, bins=8)
+    scored = T.score(rows, model)
+    mean = F.aggregate(F.zip_with("probs", F.array(*[F.lit(float(c)) for c in model.classes]), lambda p, c: p * c), F.lit(0.0), lambda a, v: a + v)
+    return rounded(scored.select("vec_id", "label", "y_pred", "confidence", mean.alias("mean_class")), "confidence", "mean_class")
+
+
 @query("score")
 def _(spark, sf):
     """Predicted class, probabilities and confidence of the last fifth of every series."""
@@ -216,6 +246,17 @@ def _(spark, sf):
     )
 
 
+@query("guided_search")
+def _(spark, sf):
+    """Trials drawn by what earlier ones scored; weak ones given up after a fold."""
+    found = T.guided_search(
+        features(spark, sf), X.BASE_FEATURES, "label", "random_forest", {"trees": (5, 40), "depth": (2, 8), "minInfoGain": (0.0, 0.05), "featureSubsetStrategy": ["sqrt", "all"]},
+        trials=10, folds=3, parallel=4, startup=4,
+    )
+    rows = [(i + 1, t.number, t.params["trees"], t.params["depth"], t.params["featureSubsetStrategy"], len(t.scores), t.pruned, t.mean) for i, t in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, number int, trees int, depth int, columns string, folds int, pruned boolean, f1_score double")
+
+
 @query(
     "score_with_nulls",
     f"""WITH RECURSIVE {FEATURES}, n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM features)

@@ -53,30 +53,64 @@ def daily_cap(
     """The signals that trade, in order of time: not within the gap after the last one that traded, and while fewer
     than ``n`` have traded that day, or ``high_vol`` for a signal in high volatility.
 
-    A day's signals of a series are folded in order; a trade shortly before midnight holds the next day back, so
-    days are folded again with the last trade of the day before until these agree.
+    A day has few trades, however many signals: each round finds the next trade of every series and day, the first
+    signal that the state so far (last trade, number taken) lets pass, by one aggregate over stamps and limits. A trade
+    shortly before midnight holds the next day back, so days whose last trade before changes are done again until none
+    does. Signals with equal stamps and ties are taken in an order that follows from their content.
     """
-    keys = list(axis.keys)
-    rows = df.filter((F.col("signal") != HOLD) & F.col(axis.ts).isNotNull())
-    found = F.sort_array(F.collect_list(F.struct(*axis.order, F.struct(*df.columns).alias("_row"))))
-    # Bounded by what a day holds.
-    days = rows.groupBy(*keys, day(F.col(axis.ts)).alias("_day")).agg(found.alias("_signals"))
-    days = stage(days.withColumn("_seed", F.lit(None).cast(df.schema[axis.ts].dataType)), "days")
-    kind = days.schema["_signals"].dataType.simpleString()
-    start = f"named_struct('last', _seed, 'taken', cast(array() as {kind}))"
-    cap = f"if(coalesce(s._row.volatility > {high}D, false), {high_vol}, {n})"
-    waited = f"(a.last is null or timestampdiff(MICROSECOND, a.last, s.{axis.ts}) >= {round(min_gap_minutes * 60e6)})"
-    taken = f"named_struct('last', s.{axis.ts}, 'taken', concat(a.taken, array(s)))"
-    fold = F.expr(f"aggregate(_signals, {start}, (a, s) -> if(size(a.taken) < {cap} and {waited}, {taken}, a))")
-    over = Window.partitionBy(*keys).orderBy("_day")
+    keys, ts = list(axis.keys), axis.ts
+    limit = F.when(F.coalesce(F.col("volatility") > high, F.lit(False)), high_vol).otherwise(n)
+    signals = df.filter((F.col("signal") != HOLD) & F.col(ts).isNotNull()).withColumns(
+        {"_row": F.monotonically_increasing_id(), "_day": day(F.col(ts)), "_limit": limit, "_tie": F.xxhash64(*df.columns)}
+    )
+    signals = stage(signals, "signals")
+    place = F.struct(*axis.order, "_tie", "_row")
+    narrow = signals.select(*keys, "_day", "_limit", place.alias("_place"))
+    ahead = signals.groupBy(*keys, "_day").agg(F.min(ts).alias("_first"))
+    days = stage(ahead.withColumn("_seed", F.lit(None).cast(df.schema[ts].dataType)), "days")
+    rounds, gap = max(n, high_vol), round(min_gap_minutes * 60e6)
+    trades = _next_trades(narrow, days, keys, ts, rounds, gap)
+    over = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        folded = stage(days.withColumn("_fold", fold), "folded")
-        before = F.lag("_fold.last").over(over)
-        near = seconds_between(before, F.col("_signals")[0][axis.ts]) < min_gap_minutes * 60
-        seeded = folded.withColumn("_next", F.when(near, before))
-        if seeded.filter(~F.col("_seed").eqNullSafe(F.col("_next"))).isEmpty():
-            return folded.select(F.inline("_fold.taken")).select("_row.*")
-        days = stage(seeded.select(*keys, "_day", "_signals", F.col("_next").alias("_seed")), "days")
+        ends = trades.groupBy(*keys, "_day").agg(F.max(f"_place.{ts}").alias("_last"))
+        known = _of_days(days, ends, keys, "left").withColumn("_before", F.last("_last", ignorenulls=True).over(over))
+        near = seconds_between(F.col("_before"), F.col("_first")) < min_gap_minutes * 60
+        seeded = known.select(*keys, "_day", "_first", F.col("_seed").alias("_old"), F.when(near, F.col("_before")).alias("_seed"))
+        days = stage(seeded, "days")
+        again = days.filter(~F.col("_old").eqNullSafe(F.col("_seed")))
+        if again.isEmpty():
+            taken = trades.select(F.col("_place._row").alias("_row"))
+            return signals.join(taken, "_row", "left_semi").select(*df.columns)
+        trades = _of_days(trades, again.select(*keys, "_day"), keys, "left_anti").unionByName(_next_trades(narrow, again, keys, ts, rounds, gap))
+
+
+def _of_days(rows: DataFrame, days: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by series (null is one) and day."""
+    right = days.withColumnsRenamed({c: f"_right_{c}" for c in [*keys, "_day"]})
+    same = F.col("_day") == F.col("_right__day")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return rows.join(right, same, how).drop(*[f"_right_{c}" for c in [*keys, "_day"]])
+
+
+def _next_trades(narrow: DataFrame, days: DataFrame, keys: list[str], ts: str, rounds: int, gap: int) -> DataFrame:
+    """The trades of ``days``, of which ``_seed`` is the last trade before, as places; a staged table for each round."""
+    kind = narrow.schema["_place"].dataType
+    state = days.select(*keys, "_day", F.col("_seed").alias("_last"), F.lit(None).cast(kind).alias("_after"))
+    found = []
+    for taken in range(rounds):
+        rows = _of_days(narrow.filter(F.col("_limit") > taken), state, keys)
+        waited = F.col("_last").isNull() | (F.timestamp_diff("MICROSECOND", F.col("_last"), F.col(f"_place.{ts}")) >= gap)
+        later = F.col("_after").isNull() | (F.col("_place") > F.col("_after"))
+        new = stage(rows.filter(waited & later).groupBy(*keys, "_day").agg(F.min("_place").alias("_place")), "trades")
+        found.append(new)
+        if new.isEmpty():
+            break
+        state = new.select(*keys, "_day", F.col(f"_place.{ts}").alias("_last"), F.col("_place").alias("_after"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def kelly_shares(

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
 import random
+import statistics
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.operators import boosting
+from tidemark.operators.boosting import BoostedModel
 from tidemark.operators.evaluation import evaluate
-from tidemark.operators.sampling import walk_forward_folds, with_class_weight
+from tidemark.operators.sampling import class_weights, walk_forward_folds, with_class_weight
+from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import exact_quantiles, unpivot
 from tidemark.plans.series import BARS, Axis, Halo
 from tidemark.session import stage
@@ -150,56 +159,60 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 
 
-def classifier(kind: str, label: str, weight: str, **params):
-    """A weighted classifier over ``_scaled``; boosting is one model per class. Further ``params`` are Spark's own."""
-    p = {**DEFAULTS[kind], **params}
-    more = {k: v for k, v in p.items() if k not in ("trees", "depth", "rounds", "step")}
-    if kind == "random_forest":
-        return RandomForestClassifier(
-            featuresCol="_scaled", labelCol=label, weightCol=weight, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
-            predictionCol="y_pred", probabilityCol="_probability", rawPredictionCol="_raw", **more,
-        )
-    trees = GBTClassifier(maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["step"], seed=SEED, **more)
-    return OneVsRest(
-        classifier=trees, featuresCol="_scaled", labelCol=label, weightCol=weight, predictionCol="y_pred"
-    )
+def classifier(label: str, weight: str, trees: int, depth: int, **more) -> RandomForestClassifier:
+    """A weighted forest over ``_scaled``. Further parameters are Spark's own."""
+    return RandomForestClassifier(
+        featuresCol="_scaled", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, seed=SEED,
+        predictionCol="y_pred", probabilityCol="_probability", rawPredictionCol="_raw", **more,
+    )
+
 
+def train(df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", validation: Column | None = None, **params) -> PipelineModel | BoostedModel:
+    """Fit with balanced class weights on the complete rows; everything runs as Spark stages.
 
-def train(df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", **params) -> PipelineModel:
-    """Assemble, scale and fit with balanced class weights on the complete rows; everything runs as Spark stages."""
-    weighted = with_class_weight(df.filter(complete(cols) & F.col(label).isNotNull()), label, "_weight")
+    A forest learns from scaled columns and from all rows. Boosting (``boosting.fit``, whose parameters ``params`` are)
+    is one softmax over all classes; rows where ``validation`` holds only tell it when to stop.
+    """
+    usable = df.filter(complete(cols) & F.col(label).isNotNull())
+    params = {**DEFAULTS[kind], **params}
+    if kind == "boosted":
+        learned = usable if validation is None else usable.filter(~F.coalesce(validation, F.lit(False)))
+        weights = class_weights(learned, label).select(label, F.col("weight").alias("_weight"))
+        return boosting.fit(join_stats(usable, weights, [label], "inner"), cols, label, "_weight", validation, **params)
+    if validation is not None:
+        usable = usable.filter(~F.coalesce(validation, F.lit(False)))
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="keep"),
         StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True),
-        classifier(kind, label, "_weight", **params),
+        classifier(label, "_weight", **params),
     ]
-    return Pipeline(stages=stages).fit(weighted)
+    return Pipeline(stages=stages).fit(with_class_weight(usable, label, "_weight"))
 
 
-def score(df: DataFrame, model: PipelineModel) -> DataFrame:
+def score(df: DataFrame, model: PipelineModel | BoostedModel) -> DataFrame:
     """Append ``y_pred``, the class probabilities ``probs`` and their largest as ``confidence``.
 
-    Every row stays; one that lacks a feature gets nulls. Boosted margins become shares through the logistic function.
+    Every row stays; one that lacks a feature gets nulls.
     """
+    if isinstance(model, BoostedModel):
+        return model.score(df)
     known = complete(model.stages[0].getInputCols())
-    scored = model.transform(df)
-    if "_probability" in scored.columns:
-        probs = vector_to_array("_probability")
-    else:
-        odds = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-v)))
-        whole = F.aggregate(odds, F.lit(0.0), lambda a, v: a + v)
-        probs = F.transform(odds, lambda v: v / whole)
-    scored = scored.withColumns({"probs": F.when(known, probs), "y_pred": F.when(known, F.col("y_pred").cast("int"))})
+    scored = model.transform(df).withColumns(
+        {"probs": F.when(known, vector_to_array("_probability")), "y_pred": F.when(known, F.col("y_pred").cast("int"))}
+    )
     return scored.withColumn("confidence", F.array_max("probs")).select(*df.columns, "y_pred", "probs", "confidence")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Write a fitted pipeline, its scaler included, to a folder any session can load it from."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedModel, path: str) -> None:
+    """Write a fitted model, a forest with its scaler, to a folder any session can load it from."""
+    if isinstance(model, BoostedModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, kind: str = "random_forest") -> PipelineModel | BoostedModel:
+    return BoostedModel.load(SparkSession.getActiveSession(), path) if kind == "boosted" else PipelineModel.load(path)
 
 
 def window_columns(cols: Sequence[str], length: int) -> list[str]:
@@ -234,7 +247,7 @@ def with_choice(df: DataFrame) -> DataFrame:
     return df.withColumns({"confidence": top, "y_pred": (F.array_position("probs", top) - 1).cast("int")})
 
 
-def ensemble_mean(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+def ensemble_mean(df: DataFrame, models: Sequence[PipelineModel | BoostedModel]) -> DataFrame:
     """Score by the mean of the models' probabilities; the models are chained, so rows are never joined."""
     scored = df
     for i, model in enumerate(models):
@@ -263,21 +276,175 @@ def search(
     trials: int = 4,
     folds: int = 3,
     axis: Axis = BARS,
+    parallel: int = 3,
 ) -> list[tuple[dict[str, Any], float]]:
-    """Parameter points by mean weighted F1 over forward folds, best first.
+    """Parameter points of a grid by mean weighted F1 over forward folds, best first.
+
+    The folds are written once; every fit reads only its columns. One number per fit comes back. ``parallel`` points are
+    fitted at a time, as Spark jobs side by side.
+    """
+    rows = stage(walk_forward_folds(df.select(*axis.id, *cols, label), folds, axis), "folds")
+
+    def mean(point: dict[str, Any]) -> float:
+        return sum(_fold_score(rows, cols, label, kind, point, fold)[0] for fold in range(1, folds + 1)) / folds
+
+    points = parameter_draws(space, trials)
+    with _side_by_side(parallel) as run:
+        return sorted(zip(points, run(mean, points)), key=lambda p: -p[1])
+
+
+@contextlib.contextmanager
+def _side_by_side(n: int):
+    """A map whose calls run as Spark jobs side by side, in threads that share the session's settings."""
+    with ThreadPoolExecutor(n) as pool:
+        yield lambda f, items: list(pool.map(inheritable_thread_target(f), items))
+
+
+def _fold_score(rows: DataFrame, cols: Sequence[str], label: str, kind: str, point: Mapping[str, Any], fold: int) -> tuple[float, DataFrame]:
+    """Weighted F1 on a forward fold of a fit on the rows before it, and the scored rows."""
+    model = train(rows.filter(F.col("fold") < fold), cols, label, kind, **point)
+    tested = score(rows.filter(F.col("fold") == fold), model)
+    return evaluate(tested, label, "y_pred").first()["f1_score"], tested
 
-    The folds are written once; every fit reads only its columns. One number per fit comes back.
+
+@dataclass
+class Trial:
+    """A point, its F1 by fold as far as it came, and whether it was given up before the last fold."""
+
+    number: int
+    params: dict[str, Any]
+    scores: list[float] = field(default_factory=list)
+    pruned: bool = False
+
+    @property
+    def mean(self) -> float:
+        return sum(self.scores) / len(self.scores) if self.scores else float("-inf")
+
+
+class ParzenSampler:
+    """Draws points of a space where good trials lie denser than bad ones (a tree-structured Parzen estimator).
+
+    A parameter is a list of choices or a range (low, high) of whole numbers or floats. Finished trials are cut into the
+    best ``share`` and the rest; each parameter has a density over either: choices by their counts, numbers by bells around
+    the trials' values, as wide as the distance to their neighbours, and one over the whole range. Of ``candidates`` drawn
+    from the density of the good ones the one with the largest ratio of both is taken. Pruned trials rank by the folds they
+    have, behind all that finished.
+    """
+
+    def __init__(self, space: Mapping[str, Any], seed: int = SEED, startup: int = 6, share: float = 0.25, candidates: int = 24):
+        self.space, self.random, self.startup, self.share, self.candidates = dict(space), random.Random(seed), startup, share, candidates
+
+    def _range(self, name: str) -> tuple[float, float, bool] | None:
+        values = self.space[name]
+        if not isinstance(values, tuple):
+            return None
+        low, high = values
+        whole = isinstance(low, int) and isinstance(high, int)
+        return (low - 0.5, high + 0.5, True) if whole else (low, high, False)
+
+    def _point(self, draw) -> dict[str, Any]:
+        out = {}
+        for name, values in self.space.items():
+            bounds = self._range(name)
+            x = draw(name)
+            out[name] = x if bounds is None else min(max(round(x), values[0]), values[1]) if bounds[2] else min(max(x, bounds[0]), bounds[1])
+        return out
+
+    def _bells(self, name: str, trials: Sequence[Trial]) -> list[tuple[float, float]]:
+        low, high, _ = self._range(name)
+        at = sorted(float(t.params[name]) for t in trials)
+        edges = [low, *at, high]
+        least = (high - low) / min(100, 1 + len(edges))
+        wide = [min(max(edges[i + 1] - edges[i], edges[i + 2] - edges[i + 1], least), high - low) for i in range(len(at))]
+        return [*zip(at, wide), ((low + high) / 2, high - low)]
+
+    def _draw(self, name: str, good: Sequence[Trial]) -> Any:
+        bounds = self._range(name)
+        if bounds is None:
+            choices = self.space[name]
+            return self.random.choices(choices, [1 + sum(t.params[name] == c for t in good) for c in choices])[0]
+        centre, width = self.random.choice(self._bells(name, good))
+        for _ in range(100):
+            x = self.random.gauss(centre, width)
+            if bounds[0] <= x <= bounds[1]:
+                return x
+        return self.random.uniform(bounds[0], bounds[1])
+
+    def _density(self, name: str, x: Any, trials: Sequence[Trial]) -> float:
+        bounds = self._range(name)
+        if bounds is None:
+            return (1 + sum(t.params[name] == x for t in trials)) / (len(self.space[name]) + len(trials))
+        bells = self._bells(name, trials)
+
+        def share(a: float, b: float) -> float:
+            return (math.erf(b / math.sqrt(2)) - math.erf(a / math.sqrt(2))) / 2
+
+        total = 0.0
+        for centre, width in bells:
+            inside = share((bounds[0] - centre) / width, (bounds[1] - centre) / width)
+            total += math.exp(-(((x - centre) / width) ** 2) / 2) / width / inside
+        return total / len(bells)
+
+    def suggest(self, finished: Sequence[Trial]) -> dict[str, Any]:
+        """The next point, given the finished trials."""
+        if len(finished) < self.startup:
+            return self._point(lambda n: self.random.choice(self.space[n]) if self._range(n) is None else self.random.uniform(*self._range(n)[:2]))
+        ranked = sorted(finished, key=lambda t: (t.pruned, -len(t.scores), -t.mean, t.number))
+        cut = max(1, math.ceil(self.share * len(ranked)))
+        good, bad = ranked[:cut], ranked[cut:]
+        points = [self._point(lambda n: self._draw(n, good)) for _ in range(self.candidates)]
+
+        def ratio(point: dict[str, Any]) -> float:
+            return sum(math.log(self._density(n, x, good) / self._density(n, x, bad)) for n, x in point.items())
+
+        return max(points, key=ratio)
+
+
+def guided_search(
+    df: DataFrame,
+    cols: Sequence[str],
+    label: str,
+    kind: str,
+    space: Mapping[str, Any],
+    trials: int = 16,
+    folds: int = 3,
+    parallel: int = 4,
+    axis: Axis = BARS,
+    seed: int = SEED,
+    startup: int = 6,
+    path: str | None = None,
+) -> list[Trial]:
+    """Trials of ``space`` (see ``ParzenSampler``), best first, each drawn from what the trials of earlier batches scored.
+
+    A batch of ``parallel`` trials runs at a time. After a fold, a trial whose mean so far is below the median of what the
+    trials of earlier batches had after as many folds is given up. With ``path`` the scored rows of each fold are written
+    there, by trial and fold, with the label and y_pred they were judged by. Same data and seed, same trials, whatever
+    order the jobs of a batch end in.
     """
     rows = stage(walk_forward_folds(df.select(*axis.id, *cols, label), folds, axis), "folds")
-    found = []
-    for point in parameter_draws(space, trials):
-        scores = []
+    sampler, finished = ParzenSampler(space, seed, startup), []
+
+    def run(trial: Trial) -> Trial:
         for fold in range(1, folds + 1):
-            model = train(rows.filter(F.col("fold") < fold), cols, label, kind, **point)
-            tested = score(rows.filter(F.col("fold") == fold), model)
-            scores.append(evaluate(tested, label, "y_pred").first()["f1_score"])
-        found.append((point, sum(scores) / len(scores)))
-    return sorted(found, key=lambda p: -p[1])
+            value, tested = _fold_score(rows, cols, label, kind, trial.params, fold)
+            if path:
+                kept = tested.select(*axis.id, label, "y_pred")
+                kept.write.mode("overwrite").parquet(f"{path}/trial={trial.number}/part={fold}")
+            trial.scores.append(value)
+            before = [sum(t.scores[:fold]) / fold for t in earlier if len(t.scores) >= fold]
+            if fold < folds and before and trial.mean < statistics.median(before):
+                trial.pruned = True
+                break
+        return trial
+
+    with _side_by_side(parallel) as side_by_side:
+        while len(finished) < trials:
+            earlier = list(finished)
+            size = min(parallel, trials - len(finished))
+            # Points of one batch are all drawn from the trials before it.
+            batch = [Trial(len(finished) + i, sampler.suggest(earlier)) for i in range(size)]
+            finished += side_by_side(run, batch)
+    return sorted(finished, key=lambda t: (t.pruned, -len(t.scores), -t.mean, t.number))
 
 
 # Model registry -----------------------------------------------------------------------------------------
@@ -300,7 +467,7 @@ def registry_append(entries: DataFrame, path: str) -> None:
     entries.withColumn("version_id", key).write.mode("append").parquet(path)
 
 
-def register(model: PipelineModel, path: str, version: str, model_type: str, created_at: str, metrics: Mapping[str, float], cols: Sequence[str], data_hash: str, description: str = "", config: str = "{}") -> None:
+def register(model: PipelineModel | BoostedModel, path: str, version: str, model_type: str, created_at: str, metrics: Mapping[str, float], cols: Sequence[str], data_hash: str, description: str = "", config: str = "{}") -> None:
     """Save a model below ``path``/models and add its version, with where it lies, to the registry ``path``/versions."""
     spark = SparkSession.getActiveSession()
     where = f"{path}/models/{version}"
@@ -311,13 +478,13 @@ def register(model: PipelineModel, path: str, version: str, model_type: str, cre
     registry_append(rows, f"{path}/versions")
 
 
-def load_best(spark: SparkSession, path: str, metric: str = "f1_score") -> PipelineModel:
+def load_best(spark: SparkSession, path: str, metric: str = "f1_score") -> PipelineModel | BoostedModel:
     """The registered model with the largest ``metric``; ValueError if there is none."""
     models = registry(spark, f"{path}/versions")
-    best = best_model(models, metric).join(models, "version_id").select("model_path").first()
+    best = best_model(models, metric).join(models.select("version_id", "model_path"), "version_id").select("model_path", "model_type").first()
     if best is None:
         raise ValueError(f"no registered version has {metric}")
-    return load_model(best["model_path"])
+    return load_model(best["model_path"], best["model_type"])
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
