@@ -104,3 +104,43 @@ def test_gate_orders_severities(spark):
     assert [r.symbol for r in Q.gate_status(report).filter("passed").orderBy("symbol").collect()] == ["a", "b"]
     flow = report.withColumnRenamed("status", "final_status")
     assert sorted(r.symbol for r in Q.failing_symbols(flow, "critical").collect()) == ["d"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lasso_fulfils_its_conditions(seed):
+    """Slopes equal the penalty where a coefficient is, and stay below it elsewhere; near-copies of columns included."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(300, 12)) * 10.0 ** rng.integers(-3, 4, 12)
+    x[:, 5] = x[:, 4] * 2 + rng.normal(size=300) * x[:, 4].std() * 1e-3
+    x[:, 6] = 0
+    y = x[:, 0] / x[:, 0].std() - x[:, 4] / x[:, 4].std() + rng.normal(size=300)
+    g = np.cov(np.column_stack([x, y]).T, bias=True)
+    for share in (0.001, 0.1, 0.5):
+        penalty = share * np.abs(g[:-1, -1]).max()
+        b = S.lasso(g[:-1, :-1], g[:-1, -1], penalty)
+        slope = (g[:-1, -1] - g[:-1, :-1] @ b)
+        off = np.where(b != 0, np.abs(slope - penalty * np.sign(b)), np.maximum(np.abs(slope) - penalty, 0))
+        assert (off / np.maximum(x.std(axis=0), 1e-9) < 1e-7).all() and b[6] == 0
+
+
+def test_covariances(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)) + 1e6
+    rows = [tuple(map(float, r)) for r in x] + [(None, 1.0, 2.0), (float("nan"), 1.0, 2.0)]
+    n, means, matrix = S.covariances(spark.createDataFrame(rows, "a double, b double, c double").repartition(3), ["a", "b", "c"])
+    assert n == 200 and np.allclose(means, x.mean(axis=0)) and np.allclose(matrix, np.cov(x.T, bias=True), atol=1e-9)
+    assert S.covariances(spark.createDataFrame([], "a double"), ["a"])[0] == 0
+
+
+def test_exponent_beyond_the_grid(spark):
+    """The most likely exponent lies at six, outside the first grid; the likelihood falls on both sides of what is found."""
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=3000) * 60 + 600
+    df = spark.createDataFrame([(float(v),) for v in (6 * z + 1) ** (1 / 6) - 1], "x double").cache()
+    found = P.fit_power_closely(df, "x").first()["lam"]
+    assert 4.5 < found < 7.5
+    fits = [r["fit"] for r in P._power_points(df, "x", [found - 1e-4, found, found + 1e-4]).orderBy("lam").collect()]
+    assert fits[1] >= max(fits)
+    one = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
+    assert P.power_transform(one, "x", "s", P.fit_power_closely(one, "x")).filter("s is not null").count() in (0, 2)
+    df.unpersist()

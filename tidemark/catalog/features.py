@@ -127,6 +127,26 @@ def _(spark, sf):
     return rounded(spark.createDataFrame(found, "feature string, coefficient double"), "coefficient", digits=4)
 
 
+@query(
+    "lasso_two_columns",
+    """WITH n AS (SELECT open AS a, volume::DOUBLE AS b, lead(close) OVER (PARTITION BY symbol ORDER BY ts) - close AS y FROM bars30),
+       m AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM n WHERE y IS NOT NULL),
+       p AS (SELECT *, share * greatest(abs(ay), abs(byy)) AS k FROM m, (VALUES (0.02::DOUBLE), (0.3), (0.9), (1.1)) v(share), (VALUES (-1), (0), (1)) s(sa), (VALUES (-1), (0), (1)) t(sb)),
+       x AS (SELECT *, CASE WHEN sa = 0 THEN 0 WHEN sb = 0 THEN (ay - k * sa) / aa ELSE ((ay - k * sa) * bb - (byy - k * sb) * ab) / (aa * bb - ab * ab) END AS wa,
+                    CASE WHEN sb = 0 THEN 0 WHEN sa = 0 THEN (byy - k * sb) / bb ELSE ((byy - k * sb) * aa - (ay - k * sa) * ab) / (aa * bb - ab * ab) END AS wb FROM p),
+       o AS (SELECT * FROM x WHERE sign(wa) = sa AND sign(wb) = sb AND (sa <> 0 OR abs(ay - ab * wb) <= k) AND (sb <> 0 OR abs(byy - ab * wa) <= k))
+       SELECT share, R(wa) AS open, R8(wb) AS volume FROM o""",
+    ("bars30",),
+)
+def _(spark, sf):
+    """Of the nine patterns of signs the one that fulfils the conditions of optimality, for four penalties."""
+    rows = stage(S.next_change(bars30(spark, sf).select("symbol", "ts", "open", "volume", "close")), "changes")
+    _, _, matrix = S.covariances(rows, ["open", "volume", "label"])
+    most = float(abs(matrix[:-1, -1]).max())
+    found = [(share, *map(float, S.lasso(matrix[:-1, :-1], matrix[:-1, -1], share * most))) for share in (0.02, 0.3, 0.9, 1.1)]
+    return rounded(rounded(spark.createDataFrame(found, "share double, open double, volume double"), "open"), "volume", digits=8)
+
+
 @query(
     "protect",
     """SELECT 'close' AS name, count(close) AS known, TRUE AS kept FROM bars30 UNION ALL SELECT 'volume', count(volume), TRUE FROM bars30 UNION ALL SELECT 'market_state', count(*), TRUE FROM bars30

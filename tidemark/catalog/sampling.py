@@ -237,6 +237,28 @@ def _(spark, sf):
     return rounded(P.power_transform(df, "x", "score").drop("x"), "score")
 
 
+def _finer(number: int, step: float) -> str:
+    """SQL table ``b<number>``: the best of 21 exponents around the one before."""
+    return f"""b{number} AS MATERIALIZED (SELECT arg_max(lam, fit) AS lam, arg_max(centre, fit) AS centre, arg_max(sqrt(var), fit) AS spread FROM (
+      SELECT *, -n / 2 * ln(var) + (lam - 1) * logs AS fit FROM s, (SELECT lam, avg({yj('x', 'lam')}) AS centre, var_pop({yj('x', 'lam')}) AS var FROM r,
+        (SELECT round(lam + (i - 10) * {step}, 10)::DOUBLE AS lam FROM b{number - 1}, range(21) t(i)) GROUP BY lam)))"""
+
+
+@query(
+    "scale_power_closely",
+    f"""WITH r AS (SELECT symbol, ts, (close - open)::DOUBLE AS x FROM bars30), s AS (SELECT count(*) AS n, sum(sign(x) * ln(1 + abs(x))) AS logs FROM r),
+        f AS (SELECT lam, avg({yj('x', 'lam')}) AS centre, var_pop({yj('x', 'lam')}) AS var FROM r, (SELECT round(-2 + i * 0.1, 10)::DOUBLE AS lam FROM range(61) t(i)) GROUP BY lam),
+        b0 AS MATERIALIZED (SELECT arg_max(lam, -n / 2 * ln(var) + (lam - 1) * logs) AS lam FROM f, s), {_finer(1, 0.01)}, {_finer(2, 0.001)}, {_finer(3, 0.0001)}
+        SELECT symbol, ts, R4(lam) AS lam, R(({yj('x', 'lam')} - centre) / spread) AS score FROM r, b3""",
+    ("bars30",),
+)
+def _(spark, sf):
+    df = stage(bars30(spark, sf).select("symbol", "ts", (F.col("close") - F.col("open")).alias("x")), "changes")
+    fitted = P.fit_power_closely(df, "x")
+    scored = P.power_transform(df, "x", "score", fitted).drop("x")
+    return rounded(rounded(scored.crossJoin(F.broadcast(fitted.select("lam"))), "score"), "lam", digits=4)
+
+
 @query(
     "class_weights",
     f"WITH {LABELED}, c AS (SELECT market_state, count(*) AS n FROM lab GROUP BY 1) SELECT market_state, n, R(sum(n) OVER () / (count(*) OVER () * n)) AS weight FROM c",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +23,18 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def _passing(fill):
-    """The fill passes on unchanged the rows that have no key or no stamp: they belong to no series."""
+    """Rows that have no key or no stamp belong to no series: they pass on unchanged, with null in columns the fill adds."""
+    names = list(signature(fill).parameters)
 
     @wraps(fill)
-    def run(df: DataFrame, cols: Iterable[str], axis: Axis = BARS) -> DataFrame:
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        axis = dict(zip(names[1:], args)).get("axis", named.get("axis", BARS))
         known = F.lit(True)
         for c in (*axis.keys, axis.ts):
             known = known & F.col(c).isNotNull()
-        return fill(df.filter(known), list(cols), axis).unionByName(df.filter(~known))
+        if "cols" in names:
+            args = (list(args[0]), *args[1:]) if args else args
+        return fill(df.filter(known), *args, **named).unionByName(df.filter(~known), allowMissingColumns=True)
 
     return run
 
@@ -186,6 +191,7 @@ def strip_zero_bars(df: DataFrame, axis: Axis = BARS, extra: Sequence[str] = ())
     return ffill_bfill(kept, extra, axis) if extra else kept
 
 
+@_passing
 def adaptive_null_fix(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) -> DataFrame:
     """Per series and column: all null (or absent) 0, mostly null the median, else the neighbours' value."""
     absent = [c for c in cols if c not in df.columns]
@@ -206,6 +212,7 @@ def adaptive_null_fix(df: DataFrame, cols: Sequence[str], axis: Axis = BARS) ->
 PROTECTED = ("close", "open", "high", "low", "volume", "market_state")
 
 
+@_passing
 def rebuild_protected(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     """Restore absent required columns: close from last/price, open from the close before it, high and low
     from close, volume 0, state neutral."""
@@ -225,6 +232,7 @@ def rebuild_protected(df: DataFrame, axis: Axis = BARS) -> DataFrame:
     return df
 
 
+@_passing
 def recompute_dead_features(df: DataFrame, axis: Axis = BARS, volatility: str = "volatility", returns: str = "returns_1") -> DataFrame:
     """Per series: an all-zero volatility column, or a volatility or return column with over 30% nulls, is
     computed anew from close (volatility over 20 rows, one-row return)."""

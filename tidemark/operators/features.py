@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +77,76 @@ def next_change(df: DataFrame, column: str = "close", name: str = "label", axis:
     return h.settle(h.frame.withColumn(name, F.lead(column).over(h.w) - F.col(column)))
 
 
+def covariances(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of complete rows, means and covariances (over all rows) of ``cols``.
+
+    One pass finds the means, another the products of deviations: tasks add up a matrix each, so columns squared numbers
+    a task are grouped and come back.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    known = reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(c), rows.columns, F.lit(True))
+    rows = rows.filter(known)
+    one = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in rows.columns]).first()
+    size, n = len(cols), one["n"]
+    means = np.array([one[c] or 0.0 for c in rows.columns])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            total += x.T @ x
+        i, j = np.triu_indices(size)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "x"])
+
+    matrix = np.zeros((size, size))
+    for r in rows.mapInArrow(products, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["x"] / n if n else 0.0
+    return n, means, matrix
+
+
+def lasso(matrix: np.ndarray, target: np.ndarray, penalty: float, tolerance: float = 1e-10) -> np.ndarray:
+    """Least b @ matrix @ b / 2 - target @ b + penalty * sum(abs(b)), by soft thresholds, one coefficient after the other.
+
+    Once the nonzero ones and their signs stay, they are solved for together; the result is taken if it fulfils the
+    conditions of optimality: a slope of exactly the penalty, against the sign, or of at most that at zero.
+    """
+    spread = np.sqrt(np.diag(matrix))
+    used = np.flatnonzero(spread > 0)
+    b = np.zeros(len(target))
+    if not len(used):
+        return b
+    # In units of one deviation all columns are alike; the penalty is then each column's own.
+    g, c, limit = matrix[np.ix_(used, used)] / np.outer(spread[used], spread[used]), target[used] / spread[used], penalty / spread[used]
+    z, scale = np.zeros(len(used)), max(np.abs(c).max(), np.finfo(float).tiny)
+
+    def off(x: np.ndarray) -> float:
+        slope = c - g @ x
+        return np.where(x != 0, np.abs(slope - limit * np.sign(x)), np.maximum(np.abs(slope) - limit, 0)).max() / scale
+
+    for sweep in range(100_000):
+        for j in range(len(z)):
+            slope = c[j] - g[j] @ z + g[j, j] * z[j]
+            z[j] = np.sign(slope) * max(abs(slope) - limit[j], 0) / g[j, j]
+        if sweep % 20 == 19:
+            some = np.flatnonzero(z)
+            exact = np.zeros(len(z))
+            exact[some] = np.linalg.lstsq(g[np.ix_(some, some)], (c - limit * np.sign(z))[some], rcond=None)[0]
+            if (np.sign(exact) == np.sign(z)).all() and off(exact) <= tolerance:
+                z = exact
+                break
+            if off(z) <= tolerance:
+                break
+    b[used] = z / spread[used]
+    return b
+
+
 def lasso_coefficients(df: DataFrame, cols: Sequence[str], penalty: float = 0.005, axis: Axis = BARS) -> list[tuple[str, float]]:
-    """L1 coefficients for the next change of close, by size; the fit runs as distributed aggregates."""
-    labeled = next_change(df.select(*axis.id, "close", *[c for c in cols if c != "close"]), axis=axis).na.drop(subset=["label", *cols])
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
-    model = LinearRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=100).fit(
-        assembler.transform(labeled)
-    )
-    pairs = zip(cols, (float(v) for v in model.coefficients))
-    return sorted(pairs, key=lambda p: (-abs(p[1]), p[0]))
+    """L1 coefficients for the next change of close, by size, over rows with all values; the covariances are aggregates,
+    and the fit takes as many numbers as there are columns, squared."""
+    labeled = next_change(df.select(*axis.id, "close", *[c for c in cols if c != "close"]), axis=axis)
+    _, _, matrix = covariances(labeled, [*cols, "label"])
+    found = lasso(matrix[:-1, :-1], matrix[:-1, -1], penalty)
+    return sorted(zip(cols, map(float, found)), key=lambda p: (-abs(p[1]), p[0]))
 
 
 def lasso_select(df: DataFrame, cols: Sequence[str], penalty: float = 0.005, axis: Axis = BARS) -> list[str]:

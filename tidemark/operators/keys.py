@@ -51,10 +51,12 @@ def coerce_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 def dedupe_ts(df: DataFrame, axis: Axis = BARS, *, arrival: Iterable[str | Column] = ()) -> DataFrame:
     """One row per key and stamp: the first by ``arrival``, else by the axis' ties, else the least by all columns in order.
 
-    ``row_number() = 1`` keeps one row per group already before the shuffle, so doubled stamps are cheap.
+    Rows without a stamp all stay. ``row_number() = 1`` keeps one row per group already before the shuffle, so doubled
+    stamps are cheap.
     """
-    over = Window.partitionBy(*axis.keys, axis.ts).orderBy(*(list(arrival) or axis.ties or df.columns))
-    return df.withColumn("_nth", F.row_number().over(over)).filter("_nth = 1").drop("_nth")
+    each = F.when(F.col(axis.ts).isNull(), F.monotonically_increasing_id())
+    over = Window.partitionBy(*axis.keys, axis.ts, "_each").orderBy(*(list(arrival) or axis.ties or df.columns))
+    return df.withColumn("_each", each).withColumn("_nth", F.row_number().over(over)).filter("_nth = 1").drop("_nth", "_each")
 
 
 def sort_by_time(df: DataFrame, axis: Axis = BARS) -> DataFrame:

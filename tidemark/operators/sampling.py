@@ -170,22 +170,56 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def fit_power(df: DataFrame, column: str, low: float = -2.0, high: float = 4.0, step: float = 0.1) -> DataFrame:
-    """One row (lam, centre, spread): the grid point of greatest normal likelihood, from one aggregate."""
-    grid = [round(low + i * step, 10) for i in range(int(round((high - low) / step)) + 1)]
+def _power_points(df: DataFrame, column: str, grid: Sequence[float]) -> DataFrame:
+    """(lam, centre, var, fit) of each point of the grid, from one aggregate; fit is the normal likelihood."""
     x = F.col(column).cast("double")
-    powers = [yeo_johnson(x, F.lit(v)) for v in grid]
     one = df.agg(
         F.count(x).alias("_n"),
         F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_logs"),
-        *[F.struct(F.lit(v).alias("lam"), F.avg(p).alias("centre"), F.var_pop(p).alias("var")).alias(f"_{i}") for i, (v, p) in enumerate(zip(grid, powers))],
+        *[F.struct(F.lit(v).alias("lam"), F.avg(p).alias("centre"), F.var_pop(p).alias("var")).alias(f"_{i}") for i, (v, p) in enumerate((v, yeo_johnson(x, F.lit(v))) for v in grid)],
     )
     points = one.select("_n", "_logs", F.inline(F.array(*[F.col(f"_{i}") for i in range(len(grid))])))
     likelihood = -F.col("_n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("_logs")
-    best = points.withColumn("_fit", likelihood).agg(F.max_by(F.struct("lam", "centre", "var"), "_fit").alias("_b"))
+    return points.select("lam", "centre", "var", likelihood.alias("fit"))
+
+
+def _best_power(points: DataFrame) -> DataFrame:
+    best = points.agg(F.max_by(F.struct("lam", "centre", "var"), "fit").alias("_b"))
     return best.select("_b.lam", "_b.centre", F.sqrt("_b.var").alias("spread"))
 
 
+def fit_power(df: DataFrame, column: str, low: float = -2.0, high: float = 4.0, step: float = 0.1) -> DataFrame:
+    """One row (lam, centre, spread): the grid point of greatest normal likelihood, from one aggregate."""
+    grid = [round(low + i * step, 10) for i in range(int(round((high - low) / step)) + 1)]
+    return _best_power(_power_points(df, column, grid))
+
+
+def fit_power_closely(df: DataFrame, column: str, low: float = -2.0, high: float = 4.0, step: float = 0.1, digits: int = 4, widest: float = 64.0) -> DataFrame:
+    """One row (lam, centre, spread): the exponent of greatest likelihood to ``digits`` decimals.
+
+    While the best point of the grid is its first or last one, the grid moves on that way, up to ``widest``; then ten times
+    finer ones lie around the best point. Each is one aggregate and one number to the driver. ``df`` is read for each.
+    """
+    points = int(round((high - low) / step))
+
+    def best(grid: Sequence[float]) -> float | None:
+        return _best_power(_power_points(df, column, grid)).first()["lam"]
+
+    found = best([round(low + i * step, 10) for i in range(points + 1)])
+    if found is None:  # no value, or all the same
+        return fit_power(df, column, 1.0, 1.0, 1.0)
+    while found in (round(low, 10), round(high, 10)) and abs(found) < widest:
+        low, high = (found - (high - low), found) if found == round(low, 10) else (found, found + (high - low))
+        moved = best([round(low + i * step, 10) for i in range(points + 1)])
+        if moved is None or moved == found:
+            break
+        found = moved
+    while round(step, 10) > 10**-digits:
+        step /= 10
+        found = best([round(found + i * step, 10) for i in range(-10, 11)])
+    return fit_power(df, column, found, found, 1.0)
+
+
 def power_transform(df: DataFrame, column: str, name: str, fitted: DataFrame | None = None) -> DataFrame:
     """Append the standardised Yeo-Johnson power of ``column``."""
     one = F.broadcast(fitted if fitted is not None else fit_power(df, column))

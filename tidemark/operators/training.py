@@ -297,7 +297,7 @@ def search(
 def _side_by_side(n: int):
     """A map whose calls run as Spark jobs side by side, in threads that share the session's settings."""
     with ThreadPoolExecutor(n) as pool:
-        yield lambda f, items: list(pool.map(inheritable_thread_target(f), items))
+        yield lambda f, items: list(pool.map(inheritable_thread_target(SparkSession.getActiveSession())(f), items))
 
 
 def _fold_score(rows: DataFrame, cols: Sequence[str], label: str, kind: str, point: Mapping[str, Any], fold: int) -> tuple[float, DataFrame]:
