@@ -105,3 +105,67 @@ def test_pair_with_a_common_word_that_is_neutral_alone():
     assert hashed.term_id("grob") in kept and hashed.term_id("gruppe") not in kept
     scores = toxicity.fit(rows, labels).scores(rows_of(["grob und gruppe", "grob allein", "gruppe allein", ""]))
     assert scores[0] > 0.9 and (scores[1:] < 0.2).all()
+
+
+def steps_of(loss, arrays, gradients, at, size=1e-6):
+    """Central differences of ``loss`` at some places of each array against its gradient."""
+    for array, gradient in zip(arrays, gradients):
+        flat = array.reshape(-1)
+        for i in at(flat.size):
+            old = flat[i]
+            flat[i] = old + size
+            up = loss()
+            flat[i] = old - size
+            down = loss()
+            flat[i] = old
+            assert (up - down) / (2 * size) == pytest.approx(gradient.reshape(-1)[i], abs=1e-7)
+
+
+def test_gradients_against_differences():
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(r.choice(words, 6)) for _ in range(40)]
+    at = lambda n: r.choice(n, min(n, 15), replace=False)
+
+    rows = rows_of(texts)
+    kept = np.unique(rows.ids)
+    rows, y = hashed.only(rows, kept), r.integers(0, 2, 40)
+    bias, w, v = np.array([0.3]), r.normal(size=len(kept)), r.normal(size=(3, len(kept)))
+    signs = 2 * y - 1
+    loss = lambda: np.log1p(np.exp(-signs * toxicity._logits(rows, bias[0], w, v)[0])).mean()
+    steps_of(loss, [bias, w, v], toxicity._gradient(rows, y, bias, w, v), at)
+
+    rows = rows_of(texts, quality.terms)
+    kept = np.unique(rows.ids)
+    rows, y = hashed.only(rows, kept), r.integers(0, 3, 40)
+    form, w = np.array([-0.4, 0.2]), r.normal(size=len(kept)) * 0.3
+
+    def likelihood():
+        cuts = np.concatenate([[-np.inf], np.cumsum(np.concatenate([form[:1], np.exp(form[1:])])), [np.inf]])
+        total = hashed.sums(rows, w[rows.ids] * rows.values)
+        return -np.log(hashed.sigmoid(cuts[y + 1] - total) - hashed.sigmoid(cuts[y] - total)).mean()
+
+    steps_of(likelihood, [form, w], quality._gradient(rows, y, form, w), at)
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    """Ids in several copies and with several texts, labels of ids that no document has: one text an id, wherever rows lie."""
+    rows = [(i, f"word{i} common{i % 7} {'bad' if i % 3 else 'good'}" if c < 3 else f"other{i}") for i in range(200) for c in range(5)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 3, 7):
+        terms, y = hashed.sample(docs.repartition(n), labels, "toxic", 100, toxicity.terms)
+        assert len(terms) == len(y) == 100
+        found.append((terms.starts.tolist(), terms.ids.tolist(), y.tolist()))
+        scores = toxicity.toxic_scores(docs.repartition(n), labels, rows=100).select("doc_id", "score").distinct().toPandas()
+        found[-1] += (sorted(map(tuple, scores.to_numpy().tolist())),)
+    assert found[0] == found[1] == found[2]
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    docs = spark.createDataFrame([("a", "x", 5.0)], "text string, score string, Expected_Grade double")
+    machine = toxicity.fit(rows_of([]), np.zeros(0, np.int64))
+    assert toxicity.with_score(docs, machine).columns == ["text", "Expected_Grade", "score"]
+    grades = quality.fit(rows_of([], quality.terms), np.zeros(0, np.int64), 2)
+    assert quality.with_grades(docs, grades).columns == ["text", "score", "expected_grade", "tail_probability"]

@@ -57,13 +57,17 @@ def rows_of(batch: list[str], terms: Callable[[str], dict[str, float]]) -> Rows:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, terms, doc_id: str = "doc_id", text: str = "text") -> tuple[Rows, np.ndarray]:
-    """Terms and labels of at most ``rows`` labelled documents, the same ones on every run; terms are hashed by the tasks.
+    """Terms and labels of at most ``rows`` labelled documents, the same ones however the tables lie; terms are hashed by the tasks.
 
-    Of an id with several labels the largest counts; null labels and ids are left out.
+    Labels of ids that no document has aren't counted. Of an id with several labels the largest counts, of an id with
+    several texts the one with the least hash; null labels and ids are left out.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # at most ``rows`` ids and labels go to all tasks
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    there = docs.select(F.col(doc_id).alias("id"))
+    chosen = known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)  # at most ``rows`` ids and labels go to all tasks
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(F.col(doc_id).alias("id"), F.struct(F.xxhash64(body).alias("hash"), body.alias("text")).alias("one")).join(F.broadcast(chosen), "id")
+    found = found.groupBy("id", "label").agg(F.min("one").alias("one")).select("label", F.col("one.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +79,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, terms, doc
                 weights = pa.ListArray.from_arrays(starts, pa.array(r.values))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(begin, end - begin), ids, weights], ["label", "ids", "weights"])
 
-    table = in_batches(found, run, "label int, ids array<int>, weights array<float>").limit(rows).toArrow()
+    table = in_batches(found, run, "label int, ids array<int>, weights array<float>").toArrow()
     order = np.arange(table.num_rows)
     lists, weights = (table.column(c).combine_chunks() for c in ("ids", "weights"))
     n = np.array([len(x) for x in lists], np.int64)

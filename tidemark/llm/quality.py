@@ -52,6 +52,22 @@ class Grades:
         return sigmoid(total[:, None] - self.thresholds[None, :])
 
 
+def _gradient(rows: Rows, grades: np.ndarray, form: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Of the mean of -log P(grade), by ``form`` (first threshold, logarithms of the steps to the next ones) and weights."""
+    cuts = np.cumsum(np.concatenate([form[:1], np.exp(form[1:])]))
+    ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+    total = sums(rows, w[rows.ids] * rows.values)
+    upper, lower = sigmoid(ends[grades + 1] - total), sigmoid(ends[grades] - total)
+    p = np.maximum(upper - lower, 1e-9)
+    slope = (1 - upper - lower) / len(grades)
+    to_cut = np.zeros(len(form) + 2)
+    np.add.at(to_cut, grades + 1, -upper * (1 - upper) / p / len(grades))
+    np.add.at(to_cut, grades, lower * (1 - lower) / p / len(grades))
+    onward = np.cumsum(to_cut[1:-1][::-1])[::-1]
+    g_form = onward * np.concatenate([[1.0], np.exp(form[1:])])
+    return [g_form, np.bincount(rows.ids, weights=slope[rows.row] * rows.values, minlength=len(w))]
+
+
 def fit(rows: Rows, grades: np.ndarray, top: int, epochs: int = EPOCHS, seed: int = 11) -> Grades:
     """Grades 0 to ``top``. Without ratings, or with one grade only, the thresholds are the smoothed shares' alone."""
     n = len(grades)
@@ -70,24 +86,14 @@ def fit(rows: Rows, grades: np.ndarray, top: int, epochs: int = EPOCHS, seed: in
         order = random.permutation(n)
         for k in range(0, n, STEP):
             part, y = rows.take(order[k : k + STEP]), grades[order[k : k + STEP]]
-            cuts = np.cumsum(np.concatenate([form[:1], np.exp(form[1:])]))
-            ends = np.concatenate([[-np.inf], cuts, [np.inf]])
-            total = sums(part, w[part.ids] * part.values)
-            upper, lower = sigmoid(ends[y + 1] - total), sigmoid(ends[y] - total)
-            p = np.maximum(upper - lower, 1e-9)
-            slope = (1 - upper - lower) / len(y)
-            to_cut = np.zeros(top + 2)
-            np.add.at(to_cut, y + 1, -upper * (1 - upper) / p / len(y))
-            np.add.at(to_cut, y, lower * (1 - lower) / p / len(y))
-            onward = np.cumsum(to_cut[1:-1][::-1])[::-1]
-            g_form = onward * np.concatenate([[1.0], np.exp(form[1:])])
-            adam.step([g_form, np.bincount(part.ids, weights=slope[part.row] * part.values, minlength=len(kept))])
+            adam.step(_gradient(part, y, form, w))
     weights[kept] = w
     return Grades(weights.astype(np.float32), np.cumsum(np.concatenate([form[:1], np.exp(form[1:])])))
 
 
 def with_grades(docs: DataFrame, model: Grades, wanted: int = WANTED, text: str = "text") -> DataFrame:
-    """``docs`` with expected_grade and tail_probability, that of ``wanted`` or better; null counts as empty."""
+    """``docs`` with expected_grade and tail_probability, that of ``wanted`` or better, in place of columns of these names; null counts as empty."""
+    docs = docs.drop("expected_grade", "tail_probability")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS weights, whatever the corpus
     names = docs.columns
 

@@ -67,6 +67,15 @@ def fit(rows: Rows, labels: np.ndarray, factors: int = FACTORS, epochs: int = EP
     return machine
 
 
+def _gradient(rows: Rows, labels: np.ndarray, bias: np.ndarray, w: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Of the mean logistic loss, by bias, weights and factors."""
+    logits, parts = _logits(rows, bias[0], w, v)
+    error = (sigmoid(logits) - labels) / len(labels)
+    each = error[rows.row] * rows.values
+    g_v = [np.bincount(rows.ids, weights=each * (s[rows.row] - x), minlength=len(w)) for x, s in parts]
+    return [np.array([error.sum()]), np.bincount(rows.ids, weights=each, minlength=len(w)), np.array(g_v)]
+
+
 def _fitted(rows: Rows, labels: np.ndarray, kept: np.ndarray, factors: int, epochs: int, seed: int) -> Machine:
     """The machine over the terms ``kept``; all others weigh nothing."""
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -81,17 +90,14 @@ def _fitted(rows: Rows, labels: np.ndarray, kept: np.ndarray, factors: int, epoc
             order = random.permutation(len(rows))
             for k in range(0, len(order), STEP):
                 part, y = rows.take(order[k : k + STEP]), labels[order[k : k + STEP]]
-                logits, parts = _logits(part, bias[0], w, v)
-                error = (sigmoid(logits) - y) / len(y)
-                each = error[part.row] * part.values
-                g_v = [np.bincount(part.ids, weights=each * (s[part.row] - x), minlength=len(kept)) for x, s in parts]
-                adam.step([np.array([error.sum()]), np.bincount(part.ids, weights=each, minlength=len(kept)), np.array(g_v)])
+                adam.step(_gradient(part, y, bias, w, v))
         weights[kept], machine[:, kept] = w, v
     return Machine(float(bias[0]), weights.astype(np.float32), machine.astype(np.float32))
 
 
 def with_score(docs: DataFrame, machine: Machine, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with the score of each text, 0 to 1; null and empty texts have that of no term."""
+    """``docs`` with the score of each text, 0 to 1, in place of a column of that name; null and empty texts have that of no term."""
+    docs = docs.drop(score)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS weights and factors, whatever the corpus
     names = docs.columns
 
@@ -106,7 +112,11 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", score: str
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, of: int = 3, out: int = 1, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``; learned from labels of ids whose crc32 mod ``of`` isn't ``out``."""
+    """doc_id, held_out, score, predicted for each row of ``docs``; learned from labels of ids whose crc32 mod ``of`` isn't ``out``.
+
+    Null and empty texts have the score of no term, null ids count as held out by the crc32 of nothing, repeated rows get
+    equal scores, very long texts are counted whole. Without labels all scores are the same; no documents, no rows.
+    """
     fitted = fit(*sample(docs, labels.filter(~held_out(of, out, doc_id)), label, rows, terms, doc_id, text))
     scored = with_score(docs.select(F.col(doc_id).alias("doc_id"), held_out(of, out, doc_id).alias("held_out"), F.col(text).alias("text")), fitted)
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int")).drop("text")
