@@ -144,3 +144,31 @@ def test_exponent_beyond_the_grid(spark):
     one = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
     assert P.power_transform(one, "x", "s", P.fit_power_closely(one, "x")).filter("s is not null").count() in (0, 2)
     df.unpersist()
+
+
+def brute_information(x, y, k=3):
+    """The estimate by all distances."""
+    digamma = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    kept = [i for i in range(len(x)) if x[i] is not None and not np.isnan(x[i]) and y[i] is not None]
+    size = {c: sum(y[i] == c for i in kept) for c in {y[i] for i in kept}}
+    kept = [i for i in kept if size[y[i]] > 1]
+    parts = []
+    for i in kept:
+        n = min(k, size[y[i]] - 1)
+        r = sorted(abs(x[i] - x[j]) for j in kept if j != i and y[j] == y[i])[n - 1]
+        m = sum(x[i] - r < x[j] < x[i] + r or (r == 0 and x[j] == x[i]) for j in kept)
+        parts.append(digamma(n) - digamma(size[y[i]]) - digamma(m))
+    return max(digamma(len(kept)) + float(np.mean(parts)), 0.0)
+
+
+def test_information_from_neighbours(spark):
+    """Ties, small classes, a class of one, nulls; what tells the class more has more."""
+    rng = np.random.default_rng(6)
+    y = [int(c) for c in rng.integers(0, 3, 150)] + [7, 8, 8, None]
+    good = [float(v) if v is not None else None for v in [*(np.array(y[:150]) + rng.normal(size=150) * 0.3), 1.0, 2.0, 2.0, 0.5]]
+    ties = [float(v) for v in rng.integers(0, 4, 154)]
+    holes = [None if i % 9 == 0 else float("nan") if i % 10 == 0 else float(v) for i, v in enumerate(rng.normal(size=154))]
+    df = spark.createDataFrame(list(zip(good, ties, holes, y)), "good double, ties double, holes double, y int").repartition(3)
+    got = {r["feature"]: r["mutual_info"] for r in T.mutual_info_neighbours(df, ["good", "ties", "holes"], "y").collect()}
+    assert got == {n: pytest.approx(brute_information(v, y), abs=1e-8) for n, v in (("good", good), ("ties", ties), ("holes", holes))}
+    assert T.select_mutual_info(df, ["ties", "holes", "good"], "y", 1, bins=None) == ["good"]

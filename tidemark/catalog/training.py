@@ -119,6 +119,24 @@ def _(spark, sf):
     return rounded(T.mutual_info_scores(stage(dims(spark, sf), "dims"), _X, "label"), "mutual_info")
 
 
+@query(
+    "mutual_info_neighbours",
+    """WITH long AS (SELECT vec_id, label, 'x' || lpad((i - 1)::VARCHAR, 2, '0') AS feature, features[i]::DOUBLE AS x FROM vectors, range(1, 65) t(i)),
+       c AS (SELECT label, count(*) AS nc, least(3, count(*) - 1) AS k FROM vectors GROUP BY 1 HAVING count(*) > 1),
+       r AS (SELECT a.feature, a.vec_id, any_value(a.x) AS x, any_value(k) AS k, any_value(nc) AS nc, list_sort(list(abs(a.x - b.x)))[any_value(k)] AS r
+             FROM long a JOIN long b ON a.feature = b.feature AND a.label = b.label AND a.vec_id <> b.vec_id JOIN c ON c.label = a.label GROUP BY 1, 2),
+       m AS (SELECT a.feature, a.vec_id, any_value(a.k) AS k, any_value(a.nc) AS nc, count(*) AS m FROM r a JOIN r b ON a.feature = b.feature
+               AND ((b.x > a.x - a.r AND b.x < a.x + a.r) OR (a.r = 0 AND b.x = a.x)) GROUP BY 1, 2),
+       h AS (SELECT n, coalesce(sum(1::DOUBLE / nullif(n - 1, 0)) OVER (ORDER BY n), 0) - 0.5772156649015329 AS d FROM range(1, (SELECT count(*) + 1 FROM vectors)::BIGINT) t(n))
+       SELECT feature, R(greatest((SELECT d FROM h WHERE n = (SELECT sum(nc) FROM c)) + avg(hk.d) - avg(hc.d) - avg(hm.d), 0)) AS mutual_info
+       FROM m JOIN h hk ON hk.n = m.k JOIN h hc ON hc.n = m.nc JOIN h hm ON hm.n = m.m GROUP BY 1""",
+    ("vectors",),
+)
+def _(spark, sf):
+    """Mutual information of class and component from neighbours along the component."""
+    return rounded(T.mutual_info_neighbours(dims(spark, sf), _X, "label"), "mutual_info")
+
+
 def features(spark, sf):
     """Base features without nulls and the two-mean regime as label."""
     bars_ = stage(strip_zero_bars(bars30(spark, sf)), "bars")

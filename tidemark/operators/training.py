@@ -9,6 +9,7 @@ import statistics
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -28,7 +29,7 @@ from tidemark.operators.evaluation import evaluate
 from tidemark.operators.sampling import class_weights, walk_forward_folds, with_class_weight
 from tidemark.plans.parts import join_stats
 from tidemark.plans.quantiles import exact_quantiles, unpivot
-from tidemark.plans.series import BARS, Axis, Halo
+from tidemark.plans.series import BARS, Axis, Halo, running, total
 from tidemark.session import stage
 
 SEED = 42
@@ -112,8 +113,64 @@ def mutual_info_scores(df: DataFrame, cols: Sequence[str], label: str, bins: int
     return terms.groupBy("feature").agg(F.sum("_term").alias("mutual_info"))
 
 
-def select_mutual_info(df: DataFrame, cols: Sequence[str], label: str, n: int, bins: int = 10) -> list[str]:
-    return _top(mutual_info_scores(df, cols, label, bins), "mutual_info", n)
+def digamma(n: Column) -> Column:
+    """The logarithmic derivative of the gamma function at n >= 1, to about 1e-10."""
+    y = n + 6
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8)
+    return reduce(lambda a, i: a - 1 / (n + i), range(6), series)
+
+
+def mutual_info_neighbours(df: DataFrame, cols: Sequence[str], label: str, k: int = 3) -> DataFrame:
+    """(feature, mutual_info) in nats between the class and a column, from distances to neighbours, at least 0.
+
+    A row's radius is the distance to its ``k``-th nearest row of its class (the furthest one in a smaller class); the more
+    rows of any class lie within it (nearer than the radius, or at the same value), the less the value tells. Classes of
+    one row, nulls and NaN are left out. Values are sorted by class for the radii, and together with the ends of all
+    intervals for the counts; both sorts are cut into parts of like size, and no pair of rows is formed.
+    """
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
+    long = unpivot(rows, ["_y"], cols).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    long = stage(long.select("column", "_y", "x").withColumn("_id", F.monotonically_increasing_id()), "values")
+    h = Halo.spread(long, Axis(keys=("column", "_y"), ts="x", ties=("_id",), cell=None), back=k, ahead=k)
+    x = F.col("x")
+    below = [F.lit(0.0), *[x - F.lag(x, a).over(h.w) for a in range(1, k + 1)]]
+    above = [F.lit(0.0), *[F.lead(x, a).over(h.w) - x for a in range(1, k + 1)]]
+    sides = {f"_{side}{a}": d for side, ds in (("below", below), ("above", above)) for a, d in enumerate(ds)}
+    frame = h.frame.withColumns(sides)
+
+    def radius(n: int) -> Column:
+        """Of the runs of n + 1 values with this one among them the one that reaches least far from it."""
+        both = lambda a: F.when(F.col(f"_below{a}").isNotNull() & F.col(f"_above{n - a}").isNotNull(), F.greatest(f"_below{a}", f"_above{n - a}"))
+        found = [both(a) for a in range(n + 1)]
+        return F.least(*found)
+
+    radii = [radius(n) for n in range(k, 0, -1)]
+    reached = F.coalesce(*[F.when(r.isNotNull(), n) for r, n in zip(radii, range(k, 0, -1))])
+    near = h.settle(frame.withColumns({"_r": F.coalesce(*radii), "_k": reached}).withColumnRenamed("_k", "_reached"), *sides)
+    near = stage(near.filter("_r is not null").select("column", "_y", "x", "_id", "_r", "_reached"), "radii")
+
+    wide, r = F.col("_r") > 0, F.col("_r")
+    ends = F.array(
+        F.struct(x.alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("sign")),
+        # What lies below the upper end, less what lies at or below the lower end; at radius 0 the other way round.
+        F.struct((x + r).alias("v"), F.when(wide, -1).otherwise(1).alias("kind"), F.lit(1).alias("sign")),
+        F.struct((x - r).alias("v"), F.when(wide, 1).otherwise(-1).alias("kind"), F.lit(-1).alias("sign")),
+    )
+    marks = near.select("column", "_id", F.inline(ends))
+    counted = running(marks, Axis(keys=("column",), ts="v", ties=("kind",), cell=None), _n=total((F.col("sign") == 0).cast("long")))
+    within = counted.filter("sign <> 0").groupBy("column", "_id").agg(F.sum(F.col("sign") * F.col("_n")).alias("_m"))
+    inner = within.groupBy("column").agg(F.avg(digamma(F.col("_m"))).alias("_within"))
+    classes = near.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("_c"), F.sum(digamma(F.col("_reached"))).alias("_d"))
+    whole = classes.groupBy("column").agg(F.sum("_c").alias("_n"), F.sum("_d").alias("_d"), F.sum(F.col("_c") * digamma(F.col("_c"))).alias("_s"))
+    value = digamma(F.col("_n")) + (F.col("_d") - F.col("_s")) / F.col("_n") - F.col("_within")
+    # A row for each column.
+    return whole.join(inner, "column").select(F.col("column").alias("feature"), F.greatest(value, F.lit(0.0)).alias("mutual_info"))
+
+
+def select_mutual_info(df: DataFrame, cols: Sequence[str], label: str, n: int, bins: int | None = 10, k: int = 3) -> list[str]:
+    """By bins at quantiles, or by ``k`` neighbours if ``bins`` is None."""
+    scores = mutual_info_neighbours(df, cols, label, k) if bins is None else mutual_info_scores(df, cols, label, bins)
+    return _top(scores, "mutual_info", n)
 
 
 def select_auto(df: DataFrame, cols: Sequence[str], label: str, n: int, trees: int = 100) -> list[str]:
