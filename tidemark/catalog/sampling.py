@@ -170,11 +170,15 @@ def scaled_windows(spark, sf, stride):
 
 @query(
     "scale_all_windows",
-    f"""WITH {LABELED}, sized AS (SELECT *, {SIZE} AS size FROM lab WHERE rn - 1 >= 60 AND rn < n),
-        flat AS (SELECT w.symbol, w.ts, b.rn - (w.rn - least(w.size, w.rn - 1)) AS step, b.close, b.volume::DOUBLE AS volume
-                 FROM sized w JOIN b ON b.symbol = w.symbol AND b.rn BETWEEN w.rn - w.size AND w.rn - 1),
-        fit AS (SELECT avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv FROM flat)
-        SELECT symbol, ts, step::INT AS step, R((close - mc) / sc) AS close, R((volume - mv) / sv) AS volume FROM flat, fit""",
+    f"""WITH {LABELED}, sized AS MATERIALIZED (SELECT symbol, ts, rn, least({SIZE}, rn - 1)::INT AS size FROM lab WHERE rn - 1 >= 60 AND rn < n),
+        ends AS (SELECT symbol, rn - size AS rn, 1 AS opened FROM sized UNION ALL SELECT symbol, rn, -1 FROM sized UNION ALL SELECT symbol, rn, 0 FROM b),
+        held AS (SELECT symbol, rn, sum(sum(opened)) OVER (PARTITION BY symbol ORDER BY rn) AS h FROM ends GROUP BY symbol, rn),
+        seen AS MATERIALIZED (SELECT symbol, rn, close, volume::DOUBLE AS volume, h FROM b JOIN held USING (symbol, rn)),
+        mid AS (SELECT sum(h * close) / sum(h) AS mc, sum(h * volume) / sum(h) AS mv FROM seen),
+        fit AS MATERIALIZED (SELECT any_value(mc) AS mc, sqrt(sum(h * pow(close - mc, 2)) / sum(h)) AS sc, any_value(mv) AS mv, sqrt(sum(h * pow(volume - mv, 2)) / sum(h)) AS sv FROM seen, mid),
+        steps AS (SELECT symbol, ts, rn - size AS start, unnest(range(size))::INT AS step FROM sized)
+        SELECT symbol, ts, step, R((close - mc) / sc) AS close, R((volume - mv) / sv) AS volume
+        FROM (SELECT s.symbol, s.ts, s.step, close, volume FROM steps s JOIN seen ON seen.symbol = s.symbol AND seen.rn = s.start + s.step), fit""",
     ("bars30",),
 )
 def _(spark, sf):
