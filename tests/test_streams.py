@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import pathlib
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,58 @@ def test_spikes_by_the_hours_so_far(spark):
     assert got == [(9, round(13 / 3, 6)), (40, round(56 / 5, 6))]
 
 
+def slow_logs(spark, name="slow"):
+    """Three batches; 9.0 stands out in the second, 9.5 no longer in the third; null and infinite times count nowhere."""
+    at = [START + dt.timedelta(minutes=m) for m in range(80)]
+    first = [(at[m], "f", 1.0 + m % 3 / 10) for m in range(30)] + [(at[30], "g", None), (at[31], None, 5.0)]
+    second = [(at[32], "f", 9.0), (at[33], "f", float("inf")), (at[34], "g", 2.0), (at[35], None, 5.0)]
+    third = [(at[m], "f", 9.5) for m in range(40, 60)] + [(at[61], None, 5.5)]
+    return [first, second, third], "timestamp timestamp, function string, execution_time double"
+
+
+@pytest.mark.parametrize("keys", [[], ["function"]])
+@pytest.mark.parametrize("twice", [False, True])
+def test_slow_operations_by_the_moments_so_far(spark, monkeypatch, keys, twice):
+    if twice:  # each batch's handler runs again, as after a lost driver
+        monkeypatch.setattr(S, "each_batch", lambda df, handle, name, mode="append", run=S.each_batch: run(df, lambda b, n: (handle(b, n), handle(b, n)), name, mode))
+    batches, schema = slow_logs(spark)
+    path = new_path(spark, "slow-anomalies")
+    S.stream_slow_anomalies(land(spark, batches, schema), path, keys=keys, deviations=2.0)
+    got = sorted((r.timestamp, r.execution_time, round(r.threshold, 9)) for r in spark.read.parquet(f"{path}/alerts").collect())
+    want, seen = [], []
+    for rows in batches:
+        seen += rows
+        for stamp, function, value in rows:
+            times = np.array([t for _, f, t in seen if t is not None and np.isfinite(t) and (not keys or f == function)], float)
+            limit = times.mean() + 2 * times.std() if len(times) >= 2 else np.inf
+            if value is not None and np.isfinite(value) and value > limit:
+                want.append((stamp, value, round(limit, 9)))
+    assert got == sorted(want) and 0 < len(got) < 10
+
+
+def test_moments_far_from_zero(spark):
+    """Merged deviations keep their digits (means keep nine here) where sums of squares would lose them all."""
+    values = [[1e9 + i % 7 for i in range(100)], [1e9 + 100.0] * 3 + [1e9 + i % 5 for i in range(50)], [1e9 + 60]]
+    batches = [[(START + dt.timedelta(seconds=100 * n + i), "f", v) for i, v in enumerate(part)] for n, part in enumerate(values)]
+    path = new_path(spark, "far")
+    S.stream_slow_anomalies(land(spark, batches, "timestamp timestamp, function string, execution_time double"), path)
+    last = spark.read.parquet(S.batch_folder(f"{path}/moments", 2)).first().moments
+    whole = np.concatenate(values)
+    assert last.n == len(whole) and abs(last.m2 / (whole.var() * len(whole)) - 1) < 1e-7 and abs(last.mean - whole.mean()) < 1e-5
+
+
+def test_batches_read_only_the_one_before(spark):
+    """Of what batches hand on, the last two stay, however many there were."""
+    batches = [[tick(n, n, price=float(n), symbol="ab"[n % 2])] for n in range(1, 7)]
+    closes = spark.createDataFrame([("a", 1.5), ("c", 2.5)], "symbol string, close double")
+    path = new_path(spark, "fresh")
+    S.stream_fresh_price(land(spark, batches, TICK), closes, path)
+    folders = sorted(f.name for f in pathlib.Path(f"{path}/latest").iterdir() if f.is_dir())
+    assert folders == ["batch=4", "batch=5"]
+    last = {r.symbol: (r.price, r.live) for r in spark.read.parquet(S.batch_folder(f"{path}/prices", 5)).collect()}
+    assert last == {"a": (6.0, True), "b": (5.0, True), "c": (2.5, False)}
+
+
 @pytest.mark.parametrize("layout", ["lines", "pretty"])
 def test_log_files_of_both_layouts(spark, tmp_path, layout):
     from tidemark.sources.logs import read_json_logs

@@ -23,10 +23,11 @@ def wall(df, *cols):
 BATCHES = 5
 
 
-def landed(spark, df, name, schema, order="ts"):
-    """Land a table as files one after the other, cut by time, and read them as a stream of a file each batch."""
+def landed(spark, df, name, schema, order="ts", part=None):
+    """Land a table as files one after the other, cut by time (or by ``part``, 0 to 4), and read them as a stream of a file each batch."""
     path = new_path(spark, name)
-    cut = stage(df.repartitionByRange(BATCHES, order).withColumn("_part", F.spark_partition_id()), name)
+    ordered = df.repartitionByRange(BATCHES, order)
+    cut = stage(ordered.withColumn("_part", F.spark_partition_id() if part is None else part), name)
     for part in range(BATCHES):
         cut.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return S.read_ticks(spark, path, schema, files_per_batch=1)
@@ -209,3 +210,49 @@ def _(spark, sf):
     rows = logs(spark, sf).select(F.col("timestamp").cast("timestamp").alias("timestamp"), "level", "execution_time")
     stream = landed(spark, rows, "logs", LOG, "timestamp")
     return rounded(wall(S.collect_stream(S.stream_slow_operations(stream, 1.0), "slow"), "timestamp"), "execution_time")
+
+
+# Batches are fifths of the time span here, so that SQL can tell which rows a threshold has seen.
+FIFTHS = """span AS (SELECT min(epoch_us(timestamp)) AS lo, max(epoch_us(timestamp)) AS hi FROM logs),
+  l AS (SELECT timestamp, level, function, execution_time, (epoch_us(timestamp) - lo) * 5 // (hi - lo + 1) AS batch FROM logs, span),
+  batches AS (SELECT DISTINCT batch FROM l)"""
+
+
+def fifths(spark, sf):
+    rows = stage(logs(spark, sf).select(F.col("timestamp").cast("timestamp").alias("timestamp"), "level", "function", "execution_time"), "logs")
+    at = F.unix_micros("timestamp")
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    part = F.expr(f"cast((unix_micros(timestamp) - {lo}) * {BATCHES} div {hi - lo + 1} as int)")
+    return landed(spark, rows, "logs", "timestamp timestamp, level string, function string, execution_time double", "timestamp", part)
+
+
+def slow_alerts(spark, path):
+    whole = spark.read.schema("timestamp timestamp, level string, function string, execution_time double, threshold double").parquet(f"{path}/alerts")
+    rows = wall(whole.select("timestamp", "level", "function", "execution_time", "threshold"), "timestamp")
+    return rounded(rows, "execution_time", "threshold")
+
+
+@query(
+    "stream_slow_anomalies",
+    f"""WITH {FIFTHS}, t AS (SELECT b.batch, avg(execution_time) + 3 * stddev_pop(execution_time) AS threshold FROM batches b JOIN l ON l.batch <= b.batch GROUP BY 1)
+        SELECT timestamp, level, function, R(execution_time) AS execution_time, R(threshold) AS threshold FROM l JOIN t USING (batch) WHERE execution_time > threshold""",
+    ("logs",),
+)
+def _(spark, sf):
+    """Operations beyond mean + 3 deviations of all times so far, found batch by batch."""
+    path = new_path(spark, "slow-anomalies")
+    S.stream_slow_anomalies(fifths(spark, sf), path)
+    return slow_alerts(spark, path)
+
+
+@query(
+    "stream_slow_by_function",
+    f"""WITH {FIFTHS}, t AS (SELECT b.batch, l.function, avg(execution_time) + 3 * stddev_pop(execution_time) AS threshold FROM batches b JOIN l ON l.batch <= b.batch GROUP BY 1, 2)
+        SELECT timestamp, level, function, R(execution_time) AS execution_time, R(threshold) AS threshold FROM l JOIN t USING (batch, function) WHERE execution_time > threshold""",
+    ("logs",),
+)
+def _(spark, sf):
+    """As ``stream_slow_anomalies`` with a threshold of its own for every function."""
+    path = new_path(spark, "slow-functions")
+    S.stream_slow_anomalies(fifths(spark, sf), path, keys=["function"])
+    return slow_alerts(spark, path)

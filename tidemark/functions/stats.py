@@ -16,6 +16,30 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def moments(x: Column) -> Column:
+    """Number, mean and sum of squared deviations of the known values as an aggregate; two of them merge."""
+    n = F.count(x)
+    return F.struct(n.alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("m2"))
+
+
+def merged_moments(a: Column, b: Column) -> Column:
+    """The moments of two sets of values from those of each (pairwise update, stable far from zero); null is an empty set."""
+    n = a["n"] + b["n"]
+    apart = b["mean"] - a["mean"]
+    share = b["n"] / F.nullif(n, F.lit(0))
+    both = F.struct(
+        n.alias("n"),
+        (a["mean"] + F.coalesce(apart * share, F.lit(0.0))).alias("mean"),
+        (a["m2"] + b["m2"] + F.coalesce(apart * apart * a["n"] * share, F.lit(0.0))).alias("m2"),
+    )
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def above(m: Column, deviations: float) -> Column:
+    """Mean plus so many population deviations; null of no values."""
+    return F.when(m["n"] > 0, m["mean"] + deviations * F.sqrt(m["m2"] / m["n"]))
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse of the standard normal distribution function (Acklam's rational approximation,
     relative error below 1.2e-9), for 0 < p < 1."""

@@ -6,7 +6,7 @@ stopped. State is bounded: by the watermark, or by a fixed number of rows per sy
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.stats import above, merged_moments, moments
 from tidemark.operators.indicators import REALTIME, realtime_features, realtime_window, with_realtime
-from tidemark.session import new_path
+from tidemark.plans.parts import join_stats
+from tidemark.session import new_path, remove
 
 EVENT = "event string, symbol string, price string, size string, event_id bigint, timestamp string"
 
@@ -79,18 +81,38 @@ def batch_folder(path: str, number: int) -> str:
     return f"{path}/batch={number}"
 
 
+def carry_on(spark: SparkSession, path: str, number: int, schema, join: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+    """What batch ``number`` hands on: ``join`` of what the batch before it left (None before the first), written and read back.
+
+    Of older batches nothing is read, and only the last two stay: a batch that is run again finds the one before it.
+    """
+    before = spark.read.schema(schema).parquet(batch_folder(path, number - 1)) if number else None
+    join(before).write.mode("overwrite").parquet(batch_folder(path, number))
+    if number > 1:
+        remove(spark, batch_folder(path, number - 2))
+    return spark.read.schema(schema).parquet(batch_folder(path, number))
+
+
+def _known_prices(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """The newest price of every symbol up to this batch, from the symbols it changed and what the batch before knew."""
+    return carry_on(
+        batch.sparkSession, path, number, batch.schema, lambda before: batch if before is None else latest_price(before.unionByName(batch))
+    )
+
+
 def latest_price_table(ticks: DataFrame) -> DataFrame:
-    """Run ``latest_price`` as a stream: each batch writes the symbols it changed, the newest row of each
-    symbol counts."""
+    """Run ``latest_price`` as a stream: each batch writes the newest row of all symbols so far, from the symbols it
+    changed and the table of the batch before; the last batch's table is returned."""
     spark = ticks.sparkSession
     path = new_path(spark, "latest")
     states = latest_price(ticks)
+    known = [spark.createDataFrame([], states.schema)]
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, number))
+        known[0] = _known_prices(batch, path, number)
 
     each_batch(states, handle, "latest", mode="update")
-    return latest_price(spark.read.schema(states.schema).parquet(path))
+    return known[0]
 
 
 def fresh_price(latest: DataFrame, closes: DataFrame, now: Column, max_age: float = 300.0) -> DataFrame:
@@ -104,17 +126,15 @@ def fresh_price(latest: DataFrame, closes: DataFrame, now: Column, max_age: floa
 
 def stream_fresh_price(ticks: DataFrame, closes: DataFrame, path: str, now: Column | None = None, max_age: float = 300.0) -> None:
     """After each batch the ``fresh_price`` of all symbols seen so far, or in ``closes``, below ``path``; ``now`` is the
-    newest stamp seen unless given."""
-    spark, latest = ticks.sparkSession, f"{path}/latest"
+    newest stamp seen unless given. A batch reads its own symbols and the table the batch before left."""
     states = latest_price(ticks)
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(latest, number))
-        known = latest_price(spark.read.schema(states.schema).parquet(latest))
-        newest = known.agg(F.max("ts").alias("_now"))
-        at = F.lit(known.agg(F.max("ts")).first()[0]) if now is None else now
-        if now is None and newest.first()[0] is None:
+        known = _known_prices(batch, f"{path}/latest", number)
+        newest = known.agg(F.max("ts")).first()[0] if now is None else None
+        if now is None and newest is None:
             return
+        at = F.lit(newest) if now is None else now
         fresh_price(known, closes, at, max_age).write.mode("overwrite").parquet(batch_folder(f"{path}/prices", number))
 
     each_batch(states, handle, "fresh", mode="update")
@@ -206,18 +226,20 @@ def append_and_refresh(bars: DataFrame, history: str, features: str) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(batch_folder(history, number))
         new = spark.read.schema(batch.schema).parquet(batch_folder(history, number))
-        known = new if number == 0 else new.unionByName(spark.read.schema(batch.schema).parquet(batch_folder(tails, number - 1)))
-        nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
-        newest = known.withColumn("_nth", nth).filter(F.col("_nth") <= BUFFER).drop("_nth")
-        newest.write.mode("overwrite").parquet(batch_folder(tails, number))
-        tail = spark.read.schema(batch.schema).parquet(batch_folder(tails, number))
+
+        def last_bars(before: DataFrame | None) -> DataFrame:
+            known = new if before is None else new.unionByName(before)
+            nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+            return known.withColumn("_nth", nth).filter(F.col("_nth") <= BUFFER).drop("_nth")
+
+        def lengths(before: DataFrame | None) -> DataFrame:
+            counts = new.groupBy("symbol").agg(F.count("*").alias("n"))
+            return counts if before is None else counts.unionByName(before).groupBy("symbol").agg(F.sum("n").alias("n"))
+
+        tail = carry_on(spark, tails, number, batch.schema, last_bars)
         # How many bars a symbol has had decides how many of the last ones count.
-        counts = new.groupBy("symbol").agg(F.count("*").alias("n"))
-        if number:
-            before = spark.read.schema("symbol string, n long").parquet(batch_folder(f"{tails}-counts", number - 1))
-            counts = counts.unionByName(before).groupBy("symbol").agg(F.sum("n").alias("n"))
-        counts.write.mode("overwrite").parquet(batch_folder(f"{tails}-counts", number))
-        fresh = realtime_features(tail.join(new.select("symbol").distinct(), ["symbol"], "left_semi"), length=spark.read.schema("symbol string, n long").parquet(batch_folder(f"{tails}-counts", number)))
+        counts = carry_on(spark, f"{tails}-counts", number, "symbol string, n long", lengths)
+        fresh = realtime_features(tail.join(new.select("symbol").distinct(), ["symbol"], "left_semi"), length=counts)
         fresh.write.mode("overwrite").parquet(batch_folder(features, number))
 
     each_batch(bars, handle, "refresh")
@@ -273,6 +295,38 @@ def stream_slow_operations(logs: DataFrame, limit: float) -> DataFrame:
     return logs.filter(F.col("execution_time") > limit)
 
 
+def stream_slow_anomalies(logs: DataFrame, path: str, deviations: float = 3.0, keys: Sequence[str] = (), least: int = 2) -> None:
+    """Per batch the operations slower than mean + ``deviations`` population deviations of all times up to and with the batch,
+    with this ``threshold``, below ``path``/alerts; with ``keys`` each group has its own threshold.
+
+    A batch hands on number, mean and squared deviations of each group (one row without keys), merged with those of the
+    batch before, so no earlier row is read again and the order within a batch doesn't matter. Groups of fewer than ``least``
+    known times raise no alert; null and non-finite times count nowhere; null keys are a group.
+    """
+    keys = list(keys)
+    time = F.col("execution_time").cast("double")
+    finite = F.when(F.abs(time) < F.lit(float("inf")), time)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        here = batch.groupBy(*keys).agg(moments(finite).alias("moments"))
+
+        def joined(before: DataFrame | None) -> DataFrame:
+            if before is None:
+                return here
+            # Groups of both sides side by side, at most one row of each: null keys meet as well.
+            sides = before.withColumn("_late", F.lit(False)).unionByName(here.withColumn("_late", F.lit(True)))
+            pair = [F.max(F.when(F.col("_late") == late, F.col("moments"))) for late in (False, True)]
+            return sides.groupBy(*keys).agg(merged_moments(*pair).alias("moments"))
+
+        known = carry_on(batch.sparkSession, f"{path}/moments", number, here.schema, joined)
+        known = known.filter(F.col("moments.n") >= least).select(*[F.struct(k).alias(f"_key_{k}") for k in keys], above(F.col("moments"), deviations).alias("threshold"))
+        rows = batch.withColumns({f"_key_{k}": F.struct(k) for k in keys}) if keys else batch
+        slow = join_stats(rows, known, [f"_key_{k}" for k in keys], "inner").filter(finite > F.col("threshold"))
+        slow.select(*batch.columns, "threshold").write.mode("overwrite").parquet(batch_folder(f"{path}/alerts", number))
+
+    each_batch(logs, handle, "slow-anomalies")
+
+
 def stream_spikes(hours: DataFrame, path: str, factor: float = 2.0) -> None:
     """As hours close (``stream_log_hours``): those with over ``factor`` times the mean of the hours with errors up to and with
     them, below ``path``/alerts. A batch carries sum and number of these hours on; hours must close in order."""
@@ -290,7 +344,7 @@ def stream_spikes(hours: DataFrame, path: str, factor: float = 2.0) -> None:
         more = batch.agg(
             (F.coalesce(F.sum("n_errors"), F.lit(0)) + before[0]).cast("long").alias("total"), (F.count_if(F.col("n_errors") > 0) + before[1]).cast("long").alias("n")
         )
-        more.write.mode("overwrite").parquet(batch_folder(f"{path}/carry", number))
+        carry_on(spark, f"{path}/carry", number, schema, lambda _: more)
 
     each_batch(hours, handle, "spikes")
 
