@@ -53,21 +53,37 @@ def sequences(
         {
             "_vol": F.coalesce(volatility, F.lit(0.0)),
             "_trend": F.when(F.col("_rn") >= 14, F.abs(short - long) / F.nullif(long, F.lit(0.0))),
-            "_all": _collected(h, cols, MAX_WINDOW, -1),
         }
     )
     place = F.col("_rn") - 1
     wanted = (place >= base) & (place < F.col("_rows") - 1) & ((place - base) % stride == 0)
     size = dynamic_window_size(F.col("_vol"), F.coalesce(F.col("_trend"), F.lit(0.5)), base)
-    rows = h.settle(frame.withColumns({"_wanted": wanted, "_size": size}))
-    return _cut(rows.filter("_wanted"), axis, label)
+    return _windows(h, frame.withColumns({"_wanted": wanted, "_size": size}), cols, label, MAX_WINDOW, 1)
+
+
+def _windows(h: Halo, frame: DataFrame, cols: Sequence[str], label: str, reach: int, skip: int) -> DataFrame:
+    """For each own row of a block with ``_wanted`` the ``_size`` rows that end ``skip`` rows before it, at most the ``reach``
+    rows before this row allow. A block's rows are put into one array, and wanted rows take slices of it, so a row
+    that isn't wanted costs nothing and no frame is collected for each row. Windows shorter than the minimum go."""
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    row = F.struct("_k", values.alias("values"))
+    kept = F.col("_core") & F.col("_wanted")
+    start = F.struct("_k", F.col("_size").cast("int").alias("size"), *h.axis.order, F.col(label).alias("label"))
+    blocks = frame.groupBy(*h.axis.keys, "_block").agg(
+        F.transform(F.array_sort(F.collect_list(row)), lambda r: r["values"]).alias("_rows_of_block"),
+        F.collect_list(F.when(kept, start)).alias("_starts"),
+    )
 
+    def window(s: Column) -> Column:
+        # Rows there are between the reach and the skipped ones; positions start at 1.
+        place = s["_k"].cast("int")
+        there = F.greatest(F.least(place - skip, F.lit(reach + 1 - skip)), F.lit(0))
+        size = F.least(s["size"], there)
+        rows = F.slice("_rows_of_block", F.greatest(place - skip - size + 1, F.lit(1)), F.greatest(size, F.lit(0)))
+        return F.struct(*[s[c].alias(c) for c in h.axis.order], s["label"].alias("label"), size.alias("size"), rows.alias("window"))
 
-def _cut(rows: DataFrame, axis: Axis, label: str) -> DataFrame:
-    size = F.least(F.col("_size"), F.size("_all"))
-    cut = rows.withColumn("size", size.cast("int"))
-    window = F.slice("_all", F.size("_all") - F.col("size") + 1, F.col("size"))
-    return cut.select(*axis.id, F.col(label).alias("label"), "size", window.alias("window")).filter(F.col("size") >= MIN_WINDOW)
+    each = blocks.select(*h.axis.keys, F.explode(F.transform("_starts", window)).alias("_w"))
+    return each.select(*h.axis.keys, "_w.*").filter(F.col("size") >= MIN_WINDOW).select(*h.axis.id, "label", "size", "window")
 
 
 def sequences_next(
@@ -80,11 +96,10 @@ def sequences_next(
     frame = h.frame.withColumn("_ret", _return(h))
     volatility = F.when(F.count("_ret").over(h.last(30)) >= 10, F.stddev_samp("_ret").over(h.last(30)))
     frame = frame.withColumn("_vol", F.when(F.col("_rows") > 30, volatility))
-    frame = frame.withColumns({"_size": F.lag(stepped_window_size(F.col("_vol"), base)).over(h.w), "_all": _collected(h, cols, base + 1, -2)})
+    frame = frame.withColumn("_size", F.lag(stepped_window_size(F.col("_vol"), base)).over(h.w))
     place = F.col("_rn") - 2
     size = F.greatest(F.lit(MIN_WINDOW), F.least(F.col("_size").cast("bigint"), place))
-    rows = h.settle(frame.withColumns({"_size": size, "_wanted": place >= base}))
-    return _cut(rows.filter("_wanted"), axis, label)
+    return _windows(h, frame.withColumns({"_size": size, "_wanted": place >= base}), cols, label, base + 1, 2)
 
 
 def sequences_fixed(df: DataFrame, cols: Sequence[str], n: int = BASE_WINDOW, finite_share: float = 0.7, axis: Axis = BARS) -> DataFrame:
