@@ -28,6 +28,14 @@ def test_named_columns_and_tiny_groups(spark):
     assert got == {"a": (1.0, 1.0), "b": (2.0, 1.5)}
 
 
+def test_a_rank_outside_its_bracket_ends_the_job(spark):
+    df = spark.range(4000).selectExpr("'a' AS symbol", "double(id) AS x")
+    whole = exact_quantiles(df, ["x"], [0.3, 0.61], accuracy=20).first()
+    np.testing.assert_allclose(whole.q, [0.3 * 3999, 0.61 * 3999], rtol=1e-12)
+    with pytest.raises(Exception, match="outside its bracket"):
+        exact_quantiles(df, ["x"], [0.3, 0.61], accuracy=20, margin=0.0).collect()
+
+
 def test_value_ranks(spark):
     df = spark.createDataFrame([(v,) for v in [3.0, 1.0, 3.0, 2.0, 3.0, None]], "x double")
     got = sorted((r.x, r.c, r.below, r.n) for r in value_ranks(df, "x").collect())

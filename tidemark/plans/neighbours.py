@@ -50,10 +50,10 @@ def nearest(queries: DataFrame, base: DataFrame, cols: Sequence[str], k: int, by
     queries = join_stats(queries, order, by, "inner").withColumn("_p", F.get(F.filter("_order", lambda i: F.get(has, i)), F.lit(0)))
     queries = queries.filter("_p is not null").drop("_order")
     value = F.get(F.array(*cols), F.col("_p"))
-    used = queries.select(*by, "_p").distinct()
-    base = base.withColumn("_p", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+    # A group uses as many pivots as there are columns at most; base rows are copied for these only.
+    used = queries.groupBy(*by).agg(F.collect_set("_p").alias("_pivots"))
     group = [*by, "_p"]
-    base = join_stats(base, used, group, "left_semi").withColumn("_x", value)
+    base = join_stats(base, used, by, "inner").withColumn("_p", F.explode("_pivots")).drop("_pivots").withColumn("_x", value)
     queries = queries.withColumn("_x", value)
     return _nearest(queries, base, cols, k, group, id).drop("_p")
 

@@ -28,12 +28,17 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = ("symbol",),
     accuracy: int = 10000,
+    margin: float = 3.0,
 ) -> DataFrame:
-    """Rows (by..., column, n, q): ``q`` is the array of linearly interpolated quantiles in order of ``probs``."""
+    """Rows (by..., column, n, q): ``q`` is the array of linearly interpolated quantiles in order of ``probs``.
+
+    Brackets reach ``margin`` times the sketch's error of n / ``accuracy`` ranks to both sides. A rank outside its bracket
+    (the sketch broke its bound) ends the job; it never becomes a null.
+    """
     by = list(by)
     group = [*by, "column"]
     long = unpivot(df, by, cols)
-    reach, m = 3.0 / accuracy, len(probs)
+    reach, m = margin / accuracy, len(probs)
     low = [max(0.0, p - reach) for p in probs]
     high = [min(1.0, p + reach) for p in probs]
     # A sketch error is at most n / accuracy ranks. Up to `accuracy` values the whole group is the bracket.
@@ -73,9 +78,11 @@ def exact_quantiles(
             picks.append(F.expr(f"max(CASE WHEN _upto > {rank} AND _upto - c <= {rank} THEN _value END)").alias(name))
     values = ranked.groupBy(*group, "n").agg(*picks)
     parts = []
+    missed = f"raise_error('a quantile lies outside its bracket: raise accuracy above {accuracy}')"
     for i, p in enumerate(probs):
         rank = f"(n - 1) * {float(p)!r}D"
-        parts.append(f"_a{i} + (_b{i} - _a{i}) * ({rank} - floor({rank}))")
+        a, b = (f"coalesce({end}{i}, {missed})" for end in ("_a", "_b"))
+        parts.append(f"{a} + ({b} - {a}) * ({rank} - floor({rank}))")
     return values.selectExpr(*group, "n", f"array({', '.join(parts)}) AS q")
 
 
