@@ -311,13 +311,23 @@ def clean(df: DataFrame, mode: str | Recipe = "standard", axis: Axis = BARS) ->
 
 
 def cleaning_log(df: DataFrame, mode: str | Recipe = "standard", axis: Axis = BARS) -> DataFrame:
-    """Rows of each series before and after every step of ``clean``."""
+    """Rows of each series after every step of ``clean`` and how many the step added or took.
+
+    A series that a step leaves without rows is told with 0 from there on; rows without a key are a series of their own here
+    (bars without a stamp or a key go when bars are resampled and put on a grid, and only there).
+    """
     steps = clean_steps(df.select(*axis.id, *OHLCV), mode, axis)
+    keys = list(axis.keys)
     counts = None
     for place, (name, frame) in enumerate(steps):
-        part = frame.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("rows")).withColumns(
+        part = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumns(
             {"step_no": F.lit(place), "step": F.lit(name)}
         )
         counts = part if counts is None else counts.unionByName(part)
-    before = F.lag("rows").over(Window.partitionBy(*axis.keys).orderBy("step_no"))
-    return counts.withColumn("affected", F.abs(F.col("rows") - before))
+        if place == 0:
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(n).alias("step")) for i, (n, _) in enumerate(steps)]))
+            none = part.select(*keys, F.lit(0).cast("bigint").alias("rows"), each.alias("_s")).select(*keys, "rows", "_s.*")
+            counts = counts.unionByName(none)
+    counts = counts.groupBy(*keys, "step_no", "step").agg(F.sum("rows").alias("rows"))
+    before = F.lag("rows").over(Window.partitionBy(*keys).orderBy("step_no"))
+    return counts.withColumn("affected", F.abs(F.col("rows") - before)).select(*keys, "rows", "step_no", "step", "affected")
