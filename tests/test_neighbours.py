@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 
 from tidemark.operators.sampling import knn_impute, smote
-from tidemark.plans.neighbours import nearest
+from tidemark.plans.neighbours import _cells, nearest
 
 
 def points(n=300, seed=5):
@@ -53,3 +53,56 @@ def test_smote_balances_within_the_class(spark):
     again = smote(df, ["x", "y"], "id", k=3).toPandas()
     key = ["label", "id", "copy"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), again.sort_values(key).reset_index(drop=True))
+
+
+def shapes(n, seed=9):
+    """Spread, clustered, flat (few values a coordinate) and lopsided points; a far one alone in each."""
+    rng = np.random.default_rng(seed)
+    far = np.array([[1e6, -1e6, 0.0]])
+    centres = rng.normal(scale=100, size=(5, 3))
+    return {
+        "spread": np.vstack([rng.normal(size=(n - 1, 3)), far]),
+        "clustered": np.vstack([centres[rng.integers(0, 5, n - 1)] + rng.normal(scale=0.01, size=(n - 1, 3)), far]),
+        "flat": np.vstack([np.column_stack([rng.integers(0, 2, n - 1), rng.integers(0, 3, n - 1), rng.normal(size=n - 1)]), far]),
+        "lopsided": np.vstack([np.where(rng.random((n - 1, 3)) < 0.9, 0.0, rng.normal(size=(n - 1, 3))), far]),
+        "doubled": np.vstack([np.repeat(rng.normal(size=(2, 3)), (n - 1) // 2 + 1, axis=0)[: n - 1], far]),
+    }
+
+
+def test_nearest_in_many_small_cells_equals_brute_force(spark):
+    frames = [pd.DataFrame(x, columns=list("xyz")).assign(symbol=name) for name, x in shapes(220).items()]
+    data = pd.concat(frames, ignore_index=True)
+    data["id"] = np.arange(len(data))[::-1]
+    df = spark.createDataFrame(data)
+    got = nearest(df, df, ["x", "y", "z"], 3, ["symbol"], "id", leaf=8).toPandas()
+    assert len(got) == 3 * len(data)
+    for symbol, part in got.groupby("symbol"):
+        base = data[data.symbol == symbol]
+        points, ids = base[["x", "y", "z"]].to_numpy(float), base.id.to_numpy()
+        found = part.sort_values("place").groupby("q_id").b_id.apply(list)
+        for point, own in zip(points, ids):
+            d = distance(point, points)
+            d[ids == own] = np.inf
+            order = np.lexsort((ids, d))[:3]
+            assert found[own] == ids[order].tolist(), (symbol, own)
+
+
+def test_cells_part_what_agrees_in_most_rows(spark):
+    """No cell stays above ``leaf`` rows while its rows differ, however the values lie."""
+    for name, x in shapes(500).items():
+        df = spark.createDataFrame(pd.DataFrame(x, columns=list("xyz"))).dropDuplicates()
+        rows, levels = _cells(df, ["x", "y", "z"], [], 16)
+        assert rows.count() == df.count(), name
+        sizes = rows.groupBy("_node").count()
+        assert sizes.agg({"count": "max"}).first()[0] <= 16, name
+        assert len(levels) <= 12, name
+
+
+def test_nearest_of_small_and_empty_groups(spark):
+    schema = "symbol string, id bigint, x double, y double"
+    one = spark.createDataFrame([("a", 1, 1.0, 1.0), ("b", 2, 1.0, 1.0), ("b", 3, 4.0, 5.0), (None, 4, 1.0, 1.0)], schema)
+    got = [(r.symbol, r.q_id, r.b_id, r.distance, r.place) for r in nearest(one, one, ["x", "y"], 3, ["symbol"], "id").collect()]
+    assert sorted(got) == [("b", 2, 3, 5.0, 1), ("b", 3, 2, 5.0, 1)]
+    none = spark.createDataFrame([], schema)
+    assert nearest(none, none, ["x", "y"], 3, ["symbol"], "id").count() == 0
+    assert nearest(one, none, ["x", "y"], 3, ["symbol"], "id").count() == 0
