@@ -10,6 +10,7 @@ from tidemark.catalog.indicators import REALTIME_SQL
 from tidemark.fixtures import bars30, logs, ticks
 from tidemark.operators import indicators as X
 from tidemark.session import new_path, stage
+from tidemark.streaming import silence
 from tidemark.streaming import ticks as S
 
 TICK = "symbol string, ts timestamp, event_id bigint, price double, size bigint"
@@ -79,6 +80,29 @@ def _(spark, sf):
     return wall(S.latest_price_table(tick_stream(spark, sf)))
 
 
+# Ticks that no other of their symbol follows within an hour, up to the watermark of the last batch.
+SILENCES = """t AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ms, event_id, value AS price FROM events),
+       n AS (SELECT *, lead(ms) OVER (PARTITION BY symbol ORDER BY ms, event_id) AS after FROM t),
+       o AS (SELECT * FROM n WHERE (after IS NULL OR after - ms > 3600000) AND ms + 3600000 < (SELECT max(ms) - 7200000 FROM t))"""
+
+
+@query("stream_silences", f"WITH {SILENCES} SELECT symbol, make_timestamp(ms * 1000) AS since, make_timestamp((ms + 3600000) * 1000) AS ts, price AS last_price FROM o")
+def _(spark, sf):
+    with silence.keyed_state(spark):
+        return wall(S.collect_stream(silence.stream_silences(tick_stream(spark, sf), 3600.0, "2 hours"), "silences"), "since", "ts")
+
+
+@query(
+    "stream_fallbacks",
+    f"""WITH {SILENCES}, c AS (SELECT event_type AS symbol, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1)
+       SELECT symbol, make_timestamp(ms * 1000) AS since, make_timestamp((ms + 3600000) * 1000) AS ts, o.price AS last_price, c.close AS price FROM o JOIN c USING (symbol)""",
+)
+def _(spark, sf):
+    closes = bars30(spark, sf, 60).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
+    with silence.keyed_state(spark):
+        return wall(S.collect_stream(silence.stream_fallbacks(tick_stream(spark, sf), closes, 3600.0, "2 hours"), "fallbacks"), "since", "ts")
+
+
 @query(
     "fresh_price",
     """WITH now AS (SELECT max(ts) AS t FROM events), m AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 minute', ts) AS b, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1, 2),
