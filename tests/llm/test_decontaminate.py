@@ -96,3 +96,20 @@ def test_query_finds_what_contains_an_item(spark, sf):
     got = {(x.doc_id, x.item_id): x.distance for x in QUERIES["op3_decontaminate"](spark, sf).collect()}
     assert want and want <= {k for k, d in got.items() if d == 0}
     assert all(0 <= d for d in got.values()) and len(got) < len(docs) / 5
+
+
+def test_blocks_hold_all_items_and_a_bounded_text(spark):
+    items = [(i % 9, "w" * (i % 7 * 5)) for i in range(60)] + [(None, None), (3, "x" * 400), (3, "x" * 400)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    got = list(dec.blocks(bench, "item_id", "text", 100))
+    assert sorted((x for block in got for x in block), key=str) == sorted(items, key=str)
+    assert all(sum(len(t or "") for _, t in block[1:]) <= 100 for block in got) and len(got) > 10
+    assert list(dec.blocks(bench.limit(0), "item_id", "text", 100)) == []
+
+
+def test_a_very_long_text_is_searched_to_its_end(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "filler words " * 200_000 + item), (2, "filler words " * 200_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.distance, x.start_word) for x in dec.matches(docs, bench).collect()] == [(1, 7, 0, 400_000)]
+    assert [x.doc_id for x in dec.drop_contaminated(docs, bench).collect()] == [2]

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import in_batches
+from tidemark.llm.common import in_batches, with_rows
+from tidemark.plans.series import Axis, running, total
+from tidemark.session import stage
 
 #: Share of an item's words that may be edited; items of fewer words than SHORT must occur as they are.
 RATE, SHORT = 0.2, 5
@@ -122,16 +124,17 @@ def _merged(starts: list[int], length: int, budget: int) -> Iterator[tuple[int,
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
-    """The items in blocks of ``limit`` characters or one item; a partition of the benchmark at a time comes to the driver."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(item_id), F.col(text)).toLocalIterator():
-        if held and size + len(row[1] or "") > limit:
-            yield held
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += len(row[1] or "")
-    if held:
-        yield held
+    """The items in blocks of ``limit`` characters behind their first item; the driver holds one block at a time.
+
+    Running sums of characters, taken by Spark, number the blocks, so neither a partition nor the benchmark comes to the driver whole.
+    """
+    rows = with_rows(benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")))
+    placed = running(rows, Axis(keys=(), ts="_row", cell=None), _upto=total(F.coalesce(F.length("text"), F.lit(0))))
+    number = F.greatest(F.floor((F.col("_upto") - 1) / limit), F.lit(0)).alias("_block")
+    items = stage(placed.select("_row", "item_id", "text", number), "items")
+    for (block,) in sorted(items.select("_block").distinct().collect()):  # a number for each block
+        held = items.filter(F.col("_block") == block).orderBy("_row").select("item_id", "text")
+        yield [(row[0], row[1]) for row in held.collect()]
 
 
 _READY: dict = {}
@@ -189,10 +192,14 @@ def _rows(ready, schema: T.StructType):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, as they were."""
+    """The rows of ``docs`` in which no item is found, as they were.
+
+    Null and empty texts stay, repeated rows stay or go together, whole texts are searched however long; without items
+    all rows stay. Between blocks of items the rows left are written, so a task holds one automaton at a time.
+    """
     out = docs
-    for block in blocks(benchmark, item_id, item_text, limit):
-        out = in_batches(out, _clean(_share(docs.sparkSession, block, rate), text), docs.schema)
+    for place, block in enumerate(blocks(benchmark, item_id, item_text, limit)):
+        out = in_batches(stage(out, "clean") if place else out, _clean(_share(docs.sparkSession, block, rate), text), docs.schema)
     return out
 
 
