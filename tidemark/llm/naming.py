@@ -22,6 +22,8 @@ from tidemark.llm.common import fresh, in_batches, with_rows
 from tidemark.session import stage
 
 BLOCK = 1024
+#: Parts in which the rows of one text get their group.
+SALTS = 1024
 
 
 def normalised(text) -> F.Column:
@@ -154,13 +156,14 @@ def _grouped(rows: DataFrame, block: int) -> DataFrame:
     """``rows``: staged, with _row, doc_id and the normalised text."""
     about = rows.select(F.col("_row").alias("row"), "doc_id", F.sha2("text", 256).alias("text_sha256"))
     ids = stage(about.join(identities(rows, "_row", "text", block), "row"), "identities")
-    groups = ids.groupBy("level", "name").agg(
-        F.count("*").alias("group_size"),
-        F.min("doc_id").alias("keep_id"),
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"),
-    )
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    # A group's rows are counted by salt, the counts are put together and go back by salt: no task meets all copies of a text.
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    parts = ids.groupBy("level", "name", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(best).alias("best"))
+    groups = parts.groupBy("level", "name").agg(F.sum("n").alias("group_size"), F.min("least").alias("keep_id"), F.min("best").alias("best"))
     groups = groups.select("level", "name", "group_size", "keep_id", F.col("best.row").alias("keep_row"))
-    return ids.join(groups, ["level", "name"]).select(
+    spread = parts.select("level", "name", "salt").join(groups, ["level", "name"])
+    return ids.join(spread, ["level", "name", "salt"]).select(
         F.col("row").alias("_row"), "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
 
