@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.parts import join_stats
 from tidemark.plans.series import Axis, running, total
+from tidemark.session import stage
 
 
 def unpivot(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -33,7 +34,8 @@ def exact_quantiles(
     """Rows (by..., column, n, q): ``q`` is the array of linearly interpolated quantiles in order of ``probs``.
 
     Brackets reach ``margin`` times the sketch's error of n / ``accuracy`` ranks to both sides. A rank outside its bracket
-    (the sketch broke its bound) ends the job; it never becomes a null.
+    (the sketch broke its bound) ends the job; it never becomes a null. Sketches merged in another order give other brackets,
+    so these are staged before tasks share them, and so are the counts, which the ranks read twice.
     """
     by = list(by)
     group = [*by, "column"]
@@ -44,30 +46,28 @@ def exact_quantiles(
     # A sketch error is at most n / accuracy ranks. Up to `accuracy` values the whole group is the bracket.
     sketch = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", [*low, *high], accuracy).alias("_s"))
 
-    def edge(i: int, p: float, sign: str, name: str) -> str:
+    def edges(ps: Sequence[float], first: int, sign: str) -> str:
         open_end = f"double('{sign}Infinity')"
-        return f"{open_end} AS {name}" if p in (0.0, 1.0) else f"if(n <= {accuracy}, {open_end}, _s[{i}]) AS {name}"
+        each = [open_end if p in (0.0, 1.0) else f"if(n <= {accuracy}, {open_end}, _s[{first + i}])" for i, p in enumerate(ps)]
+        return f"sort_array(array({', '.join(each)}))"
 
-    brackets = sketch.selectExpr(
-        *group,
-        "n",
-        *[edge(i, low[i], "-", f"_lo{i}") for i in range(m)],
-        *[edge(m + i, high[i], "", f"_hi{i}") for i in range(m)],
+    brackets = stage(sketch.selectExpr(*group, "n", f"{edges(low, 0, '-')} AS _lo", f"{edges(high, m, '')} AS _hi"), "brackets")
+    # Inside a bracket more lower ends than upper ones lie behind a value; the first upper end ahead is then that of a bracket around it.
+    ends = join_stats(long, brackets, group).selectExpr(
+        *group, "n", "x", "_lo", "_hi", "size(filter(_lo, v -> v <= x)) AS _in", "size(filter(_hi, v -> v < x)) AS _out"
     )
-    inside = " OR ".join(f"x BETWEEN _lo{i} AND _hi{i}" for i in range(m))
-    passed = " + ".join(f"int(x > _hi{i}) + int(x >= _lo{i})" for i in range(m))
-    finite = "_hi{0} > _lo{0} AND _hi{0} - _lo{0} < double('Infinity')"
-    share = "least(greatest((x - _lo{0}) / (_hi{0} - _lo{0}), 0D), 1D)"
-    slot = " + ".join(f"CASE WHEN {finite.format(i)} THEN {share.format(i)} ELSE 0D END" for i in range(m))
+    width = "(get(_hi, _out) - get(_lo, _out))"
+    share = f"if(_in > _out AND {width} > 0 AND {width} < double('Infinity'), (x - get(_lo, _out)) / {width}, 0D)"
     # Rows outside all brackets collapse to one row per gap; rows inside to one per distinct value.
-    placed = join_stats(long, brackets, group).selectExpr(
+    placed = ends.selectExpr(
         *group,
         "n",
-        f"CASE WHEN {inside} THEN x END AS _value",
-        f"{passed} AS _passed",
-        f"bigint(floor(({passed} + ({slot}) / {2 * m}D) * 512)) AS _slot",
+        "CASE WHEN _in > _out THEN x END AS _value",
+        "_in + _out AS _passed",
+        f"bigint(floor((_in + _out + {share} / 2) * 256)) AS _slot",
     )
     counted = placed.groupBy(*group, "n", "_passed", "_value").agg(F.count(F.lit(1)).alias("c"), F.min("_slot").alias("_slot"))
+    counted = stage(counted, "counted")
     axis = Axis(keys=(*group,), ts="_slot", ties=("_passed", "_value"))
     ranked = running(counted, axis, cell=F.col("_slot"), _upto=total("c"))
     # The values at the ranks around each probability, ranks counted from 0.
