@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
+from tidemark.operators import training as T
 from tidemark.plans import quantiles
 
 N = 6000
@@ -41,6 +42,17 @@ def test_cuts_of_boosting(spark, quantiles_shaken):
     assert model.cuts == cuts and len(model.trees) == 1
 
 
+def test_information_from_bins(spark, quantiles_shaken):
+    data, df = values(spark, 2)
+    want = {}
+    for c in ("x", "z"):
+        n = pd.crosstab(np.searchsorted(data[c].quantile([i / 10 for i in range(1, 10)]), data[c]), data.y).to_numpy() / N
+        with np.errstate(divide="ignore", invalid="ignore"):
+            want[c] = np.nansum(n * np.log(n / n.sum(0) / n.sum(1, keepdims=True)))
+    got = {r["feature"]: r["mutual_info"] for r in T.mutual_info_scores(df, ["x", "z"], "y").collect()}
+    assert got == {c: pytest.approx(v, abs=1e-9) for c, v in want.items()}
+
+
 def test_quantiles_in_any_order_of_shares(spark):
     df = spark.range(3000).selectExpr("'a' AS symbol", "double(id) AS x")
     got = quantiles.exact_quantiles(df, ["x"], [0.9, 0.1, 0.1, 0.11], accuracy=100).first()
