@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
 from tidemark.operators import training as T
-from tidemark.plans import quantiles
+from tidemark.plans import parts, quantiles
+from tidemark.plans.series import Axis, Halo, row_count, running
 
 N = 6000
 
@@ -27,6 +28,17 @@ def quantiles_shaken(monkeypatch):
     monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, ps, accuracy: shaken(sketch(c, ps, accuracy), N / 1000))
 
 
+@pytest.fixture
+def parts_shaken(spark, monkeypatch):
+    """Joins by shuffles, as cuts of many series need; a broadcast would be shared by all that read the parts."""
+    plain, limit = F.expr, "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(parts.F, "expr", lambda text: shaken(plain(text), N / 500) if text.startswith("percentile_approx") else plain(text))
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    yield
+    spark.conf.set(limit, before)
+
+
 def values(spark, seed):
     rng = np.random.default_rng(seed)
     x = rng.permutation(N).astype(float)
@@ -57,3 +69,24 @@ def test_quantiles_in_any_order_of_shares(spark):
     df = spark.range(3000).selectExpr("'a' AS symbol", "double(id) AS x")
     got = quantiles.exact_quantiles(df, ["x"], [0.9, 0.1, 0.1, 0.11], accuracy=100).first()
     np.testing.assert_allclose(got.q, [0.9 * 2999, 0.1 * 2999, 0.1 * 2999, 0.11 * 2999])
+
+
+def test_positions_and_frames(spark, parts_shaken):
+    data, df = values(spark, 3)
+    axis = Axis(keys=("y",), ts="x", cell=None, whole=100)
+    want = data.assign(rn=data.groupby("y").x.rank().astype(int), before=data.sort_values("x").groupby("y").x.shift(1)).sort_values(["x"])
+    placed = running(df, axis, rn=row_count()).toPandas().sort_values("x")
+    assert placed.x.tolist() == want.x.tolist() and placed.rn.tolist() == want.rn.tolist()
+    h = Halo.spread(df, axis, back=1, block=64)
+    frame = h.settle(h.frame.withColumn("before", F.lag("x").over(h.w))).toPandas().sort_values("x")
+    assert frame.x.tolist() == want.x.tolist()
+    np.testing.assert_array_equal(frame.before.to_numpy(float), want.before.to_numpy(float))
+
+
+def test_information_from_neighbours(spark, parts_shaken, monkeypatch):
+    """Radii and counts of series that are cut."""
+    _, df = values(spark, 4)
+    whole = T.mutual_info_neighbours(df, ["x", "z"], "y").collect()
+    monkeypatch.setattr(T, "Axis", lambda **kw: Axis(**kw, whole=100))
+    cut = T.mutual_info_neighbours(df, ["x", "z"], "y").collect()
+    assert sorted(cut) == [(c, pytest.approx(v, abs=1e-9)) for c, v in sorted(whole)] and len(cut) == 2

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 FAN = 16
 #: Rows up to which a series stays in one part.
 WHOLE = 200_000
@@ -28,7 +30,8 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], name: str = "_
     """Append ``name`` 0..4095, growing with ``value``: cuts of equal row counts, whatever the distribution.
 
     Groups up to ``whole`` rows stay whole. Others are cut at quantiles from a mergeable sketch; a row finds
-    its part in three steps of 15 comparisons, among every 256th cut, every 16th in between, and the rest.
+    its part by halving, in plain expressions, as lambdas would copy the cuts to every row. The cuts are staged: sketches
+    merged in another order give other ones, and callers read the parts more than once.
     """
     by = list(by)
     n = FAN * FAN * FAN
@@ -42,11 +45,8 @@ def sketch_parts(df: DataFrame, value: Column, by: Sequence[str], name: str = "_
     cuts = F.expr(f"percentile_approx(_v, cast(split('{shares}', ',') as array<double>), {4 * n})")
     wanted = join_stats(keyed, large, by, "left_semi") if by else keyed
     sketch = wanted.groupBy(*by).agg(F.count("_v").alias("_n"), cuts.alias("_cuts")).filter(F.col("_n") > whole).drop("_n")
-    joined = join_stats(valued, sketch, by)
-    steps = (FAN * FAN, FAN, 1)
-    places = [f"transform(sequence(1, {FAN - 1}), i -> _cuts[_cut + i * {step} - 1])" for step in steps]
+    joined = join_stats(valued, stage(sketch, "cuts"), by)
     joined = joined.withColumn("_cut", F.lit(0))
-    for step, cuts_here in zip(steps, places):
-        below = f"size(filter({cuts_here}, c -> c <= _v))"
-        joined = joined.withColumn("_cut", F.expr(f"if(_cuts is null, 0, _cut + {step} * {below})"))
+    for step in (2**i for i in reversed(range((n - 1).bit_length()))):
+        joined = joined.withColumn("_cut", F.expr(f"if(get(_cuts, _cut + {step - 1}) <= _v, _cut + {step}, _cut)"))
     return joined.withColumn(name, F.expr("coalesce(bigint(_cut), 0L)")).drop("_v", "_cuts", "_cut")
