@@ -90,3 +90,18 @@ def test_information_from_neighbours(spark, parts_shaken, monkeypatch):
     monkeypatch.setattr(T, "Axis", lambda **kw: Axis(**kw, whole=100))
     cut = T.mutual_info_neighbours(df, ["x", "z"], "y").collect()
     assert sorted(cut) == [(c, pytest.approx(v, abs=1e-9)) for c, v in sorted(whole)] and len(cut) == 2
+
+
+def test_sketches_stay_with_their_task(spark, monkeypatch):
+    """Merged sketches keep nearly all their samples, so memory and time of a merge would grow with the number of tasks."""
+    sketch = F.percentile_approx
+
+    def of_one_task(c, ps, accuracy):
+        near = F.max(c) - F.min(c) < 1000
+        return F.when(near, sketch(c, ps, accuracy)).otherwise(F.raise_error("a sketch of several tasks"))
+
+    monkeypatch.setattr(quantiles.F, "percentile_approx", of_one_task)
+    df = spark.range(0, 12_000, 1, 12).selectExpr("'a' AS symbol", "double(id) AS x", "double(id div 5) AS z")
+    got = {r["column"]: r.q for r in quantiles.exact_quantiles(df, ["x", "z"], [0.0, 0.25, 0.5, 1.0], accuracy=100).collect()}
+    np.testing.assert_allclose(got["x"], [0, 0.25 * 11_999, 0.5 * 11_999, 11_999])
+    np.testing.assert_allclose(got["z"], np.quantile(np.arange(12_000) // 5, [0.0, 0.25, 0.5, 1.0]))

@@ -1,21 +1,24 @@
 """Exact quantiles per group, for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch gives, for each
-wanted probability, a bracket of values that is certain to hold the two ranks the quantile lies between;
-a second pass counts the rows below and inside the brackets, and only values inside a bracket are ranked.
+``percentile`` keeps every distinct value of a group in one task. Here sketches of the group's share in each task
+give points, and these, weighed and sorted, for each wanted probability a bracket of values that is certain to
+hold the two ranks the quantile lies between; a second pass counts the rows below and inside the brackets, and only values inside a bracket are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.parts import join_stats
 from tidemark.plans.series import Axis, running, total
 from tidemark.session import stage
 
+#: Points taken from the sketch of a chunk.
+POINTS = 2000
+
 
 def unpivot(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Long form (by..., column, x) with nulls, NaN and infinities left out."""
@@ -33,25 +36,35 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows (by..., column, n, q): ``q`` is the array of linearly interpolated quantiles in order of ``probs``.
 
-    Brackets reach ``margin`` times the sketch's error of n / ``accuracy`` ranks to both sides. A rank outside its bracket
-    (the sketch broke its bound) ends the job; it never becomes a null. Sketches merged in another order give other brackets,
+    Brackets reach ``margin`` times a sketch's error of n / ``accuracy`` ranks and two points to both sides. A rank outside its
+    bracket (a sketch broke its bound) ends the job; it never becomes a null. Rows dealt to tasks otherwise give other brackets,
     so these are staged before tasks share them, and so are the counts, which the ranks read twice.
     """
     by = list(by)
     group = [*by, "column"]
     long = unpivot(df, by, cols)
-    reach, m = margin / accuracy, len(probs)
-    low = [max(0.0, p - reach) for p in probs]
-    high = [min(1.0, p + reach) for p in probs]
-    # A sketch error is at most n / accuracy ranks. Up to `accuracy` values the whole group is the bracket.
-    sketch = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", [*low, *high], accuracy).alias("_s"))
-
-    def edges(ps: Sequence[float], first: int, sign: str) -> str:
-        open_end = f"double('{sign}Infinity')"
-        each = [open_end if p in (0.0, 1.0) else f"if(n <= {accuracy}, {open_end}, _s[{first + i}])" for i, p in enumerate(ps)]
-        return f"sort_array(array({', '.join(each)}))"
-
-    brackets = stage(sketch.selectExpr(*group, "n", f"{edges(low, 0, '-')} AS _lo", f"{edges(high, m, '')} AS _hi"), "brackets")
+    # A chunk is what one task reads, so no sketches are merged: merged ones keep nearly all their samples, and each merge copies them.
+    shares = ",".join(str(i / POINTS) for i in range(1, POINTS + 1))
+    points = F.expr(f"cast(split('{shares}', ',') as array<double>)")
+    chunks = long.withColumn("_chunk", F.spark_partition_id()).groupBy(*group, "_chunk")
+    chunks = chunks.agg(F.count(F.lit(1)).alias("_c"), F.percentile_approx("x", points, accuracy).alias("_s")).drop("_chunk")
+    # Point i is the value at rank ceil(share * rows) of its chunk and stands for the ranks since the point before.
+    rank = "bigint(ceil(double(_i + {}) / {} * _c))"
+    weight = f"if(n <= {accuracy}, _c, {rank.format(1, POINTS)} - {rank.format(0, POINTS)})"
+    sizes = chunks.withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
+    # Up to `accuracy` values the whole group is the bracket.
+    placed = sizes.select(*group, "n", "_c", F.expr(f"posexplode(if(n <= {accuracy}, array(double(null)), _s)) AS (_i, _v)"))
+    placed = placed.select(*group, "n", "_v", F.expr(weight).alias("_w")).filter("_w > 0")
+    placed = placed.withColumn("_upto", F.sum("_w").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    # A point's rank is off by n / accuracy at most, one between points by the ranks a point stands for and one for rounding.
+    reach = margin / accuracy + 2 / POINTS
+    low, high = [], []
+    for p in probs:
+        below, above = (F.lit(p > 0.0) & (F.col("_upto") <= F.lit(p - reach) * F.col("n")), F.lit(p < 1.0) & (F.col("_upto") >= F.lit(p + reach) * F.col("n")))
+        low.append(F.coalesce(F.max(F.when(below, F.col("_v"))), F.lit(float("-inf"))))
+        high.append(F.coalesce(F.min(F.when(above, F.col("_v"))), F.lit(float("inf"))))
+    brackets = placed.groupBy(*group, "n").agg(F.sort_array(F.array(*low)).alias("_lo"), F.sort_array(F.array(*high)).alias("_hi"))
+    brackets = stage(brackets, "brackets")
     # Inside a bracket more lower ends than upper ones lie behind a value; the first upper end ahead is then that of a bracket around it.
     ends = join_stats(long, brackets, group).selectExpr(
         *group, "n", "x", "_lo", "_hi", "size(filter(_lo, v -> v <= x)) AS _in", "size(filter(_hi, v -> v < x)) AS _out"
